@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import line_dedup, mixing, near_dedup, packing, quality
+from quantloom.llm import bit_sliced, chat_format, language_id, line_dedup, link_graph, lm_score, mixing, near_dedup, packing, quality
 from quantloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,22 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(table(spark, sf_dir, "documents"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_report(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.url_report(table(spark, sf_dir, "pages"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_report(table(spark, sf_dir, "conversations"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -35,16 +51,32 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+OPERATORS = (
+    op1_language_id,
+    op2_lm_scoring,
+    op3_url_filters,
+    op4_chat_formatting,
+    op5_best_fit_packing,
+    op6_quality_rules,
+    op7_source_mixing,
+    op8_near_dedup,
+    op9_exact_top_k,
+    op10_line_dedup,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {
-        f.__name__: f
-        for f in (op5_best_fit_packing, op6_quality_rules, op7_source_mixing, op8_near_dedup, op10_line_dedup)
-    }
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": mixing.ORACLE_SQL}
+    """For those that SQL can express; the others are held against brute force in tests."""
+    return {"op7_source_mixing": mixing.ORACLE_SQL, "op9_exact_top_k": bit_sliced.ORACLE_SQL}
