@@ -231,7 +231,9 @@ def prefix_links(left: DataFrame, sets: DataFrame, known: DataFrame, threshold:
 
     With elements ordered by how many documents have them, rarest first, sets of similarity t or
     more share one of their first n - ceil(t * n) + 1 elements, and the smaller has t times the
-    size of the larger at least. What many documents share (a common passage) is no prefix.
+    size of the larger at least. At the first element that they share, at places i and j, what can
+    still be shared is 1 + min(m - i, n - j), and t / (1 + t) of the sum of sizes is needed. So documents
+    that share a common passage and less than t besides do not meet.
     """
     size = F.size("elements")
     held = left.join(sets, "id").select("id", "label", size.alias("n"), F.explode("elements").alias("element"))
@@ -239,13 +241,14 @@ def prefix_links(left: DataFrame, sets: DataFrame, known: DataFrame, threshold:
     order = Window.partitionBy("id").orderBy("holders", "element")
     ranked = held.join(counts, "element").withColumn("place", F.row_number().over(order))
     prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).where("holders > 1")
-    prefix = stored(prefix.select("element", "id", "label", "n"), "near-prefix")
+    prefix = stored(prefix.select("element", "id", "label", "n", "place"), "near-prefix")
     several = prefix.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element")
     open_ = prefix.join(stored(several, "near-several"), "element", "left_semi")
-    a = open_.select("element", F.col("id").alias("a"), F.col("label").alias("p"), F.col("n").alias("m"))
-    b = open_.select("element", F.col("id").alias("b"), F.col("label").alias("q"), "n")
+    a = open_.select("element", F.col("id").alias("a"), F.col("label").alias("p"), F.col("n").alias("m"), F.col("place").alias("i"))
+    b = open_.select("element", F.col("id").alias("b"), F.col("label").alias("q"), "n", F.col("place").alias("j"))
     like = (F.col("n") >= threshold * F.col("m") - 1e-9) & (F.col("m") >= threshold * F.col("n") - 1e-9)
-    pairs = a.join(b, "element").where((F.col("p") > F.col("q")) & like).select("a", "b").distinct()
+    enough = 1 + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= threshold / (1 + threshold) * (F.col("m") + F.col("n")) - 1e-9
+    pairs = a.join(b, "element").where((F.col("p") > F.col("q")) & like & enough).select("a", "b").distinct()
     either = known.union(known.select("b", "a"))
     fresh = stored(pairs.join(either, ["a", "b"], "left_anti"), "near-more")
     return stored(similarities(fresh, sets).where(F.col("similarity") >= threshold).select("a", "b"), "near-links")
