@@ -43,6 +43,8 @@ from quantloom.llm.common import stored
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
+#: Documents whose signatures are computed in one go.
+TOGETHER = 128
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -78,26 +80,33 @@ def shingles(text: bytes, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     return elements, counts.astype(np.float64)
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
-    """DartMinHash: for each coordinate the dart of least rank among the set's darts."""
-    rank_limit = coordinates * (np.log(coordinates) + 2) / weights.sum()
-    while True:
-        rank, dart = _darts(elements, weights, rank_limit)
-        at = (mixed(dart + _C) % _U(coordinates)).astype(np.int64)
-        order = np.lexsort((dart, rank))
-        coordinate, first = np.unique(at[order], return_index=True)
-        if len(coordinate) == coordinates:
-            return dart[order][first]
-        rank_limit *= 2
-
-
-def _darts(elements: np.ndarray, weights: np.ndarray, rank_limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks and names of all darts up to rank_limit that land within the weights.
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], coordinates: int = COORDINATES) -> np.ndarray:
+    """DartMinHash: a row a set (elements, weights); for each coordinate the dart of least rank among the set's darts."""
+    out = np.zeros((len(sets), coordinates), _U)
+    limit = coordinates * (np.log(coordinates) + 2) / np.array([w.sum() for _, w in sets])
+    todo = np.arange(len(sets))
+    while len(todo):
+        elements, weights = (np.concatenate([sets[i][k] for i in todo]) for k in (0, 1))
+        owner = np.repeat(np.arange(len(todo)), [len(sets[i][0]) for i in todo])
+        owner, rank, dart = _darts(owner, elements, weights, limit[todo])
+        cell = owner * coordinates + (mixed(dart + _C) % _U(coordinates)).astype(np.int64)
+        order = np.lexsort((dart, rank, cell))
+        cell, dart = cell[order], dart[order]
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        out[todo[cell[first] // coordinates], cell[first] % coordinates] = dart[first]
+        # A set with an empty coordinate throws on, twice as far.
+        todo = todo[np.bincount(cell[first] // coordinates, minlength=len(todo)) < coordinates]
+        limit[todo] *= 2
+    return out
+
+
+def _darts(owner: np.ndarray, elements: np.ndarray, weights: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, rank and name of all darts up to the owner's limit that land within the weights.
 
     Weight slice 0 is [0, 1), slice s is [2 ** (s - 1), 2 ** s). In a slice of width d darts come at
     exponential gaps of mean 1 / d in rank, each at a hashed weight within the slice.
     """
-    ranks, names = [], []
+    found: list[tuple] = []
     low, width, number = 0.0, 1.0, 0
     while True:
         inside = np.flatnonzero(weights > low)
@@ -105,24 +114,26 @@ def _darts(elements: np.ndarray, weights: np.ndarray, rank_limit: float) -> tupl
             break
         with np.errstate(over="ignore"):
             state = mixed(elements[inside] ^ mixed(np.full(1, number + 1, _U) * _A))
-        weight, rank = weights[inside], np.zeros(len(inside))
+        who, weight, rank = owner[inside], weights[inside], np.zeros(len(inside))
+        most = limit[who]
         while len(state):
             with np.errstate(over="ignore"):
                 state = mixed(state + _A)
             rank = rank - np.log(uniform(state)) / width
-            near = rank <= rank_limit
-            state, weight, rank = state[near], weight[near], rank[near]
-            lands = low + width * uniform(mixed(state ^ _B)) <= weight
-            ranks.append(rank[lands]), names.append(state[lands])
+            near = rank <= most
+            state, who, weight, rank, most = state[near], who[near], weight[near], rank[near], most[near]
+            lands = low + width * uniform(mixed(state ^ _B)) <= weight if low or (weight < 1).any() else slice(None)
+            found.append((who[lands], rank[lands], state[lands]))
         low, width, number = low + width, max(1.0, low + width), number + 1
-    return np.concatenate(ranks), np.concatenate(names)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    keys = np.arange(bands, dtype=_U) * _A
+def band_keys(signed_: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A row a signature, a key a band."""
     with np.errstate(over="ignore"):
-        for column in sig.reshape(bands, rows).T:
-            keys = mixed(keys + _A ^ column)
+        keys = np.broadcast_to(np.arange(bands, dtype=_U) * _A, (len(signed_), bands))
+        for k in range(rows):
+            keys = mixed(keys + _A ^ signed_[:, k::rows])
     return keys.view(np.int64)
 
 
@@ -135,12 +146,13 @@ def signed(docs: DataFrame, by_count: bool = False) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys = [], []
-            for text in (t.as_py() for t in batch["text"]):
-                elements, counts = shingles(text)
-                digests.append(hashlib.blake2b(text, digest_size=16).digest())
-                keys.append(band_keys(signature(elements, _weights(counts, by_count))))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                texts = part["text"].to_pylist()
+                sets = [(elements, _weights(counts, by_count)) for elements, counts in map(shingles, texts)]
+                digests = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+                keys = list(band_keys(signatures(sets)))
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"])
 
     return _texts(docs).mapInArrow(per_batch, "id long, digest binary, keys array<long>")
 
