@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.time import whole_hours
+
 PRICES = ("open", "high", "low", "close")
 FLOWS = ("volume", "quote_volume", "trades", "taker_buy_quote", "n_minutes")
 
@@ -50,7 +52,7 @@ def with_membership(features: DataFrame, chosen: DataFrame, rebalance_every_h: i
     picks = chosen.select("symbol", F.col("asof").alias("ts"), F.col("asof"))
     past = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     joined = features.join(picks, ["symbol", "ts"], "left").withColumn("asof", F.last("asof", ignorenulls=True).over(past))
-    inside = F.col("asof").isNotNull() & (F.timestampdiff("HOUR", F.col("asof"), F.col("ts")) < rebalance_every_h)
+    inside = F.col("asof").isNotNull() & (whole_hours(F.col("asof"), F.col("ts")) < rebalance_every_h)
     return joined.withColumn("in_universe", inside).drop("asof")
 
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR = 3_600_000_000
+from quantloom.functions.time import HOUR_MICROS as HOUR
+from quantloom.functions.time import whole_hours
 
 
 @dataclass(frozen=True)
@@ -18,6 +19,8 @@ class UniverseRules:
     adv_min_bars: int = 360
     min_adv_usd: float = 1e5
     stale_window_h: int = 24
+    #: Bars that the stale window has to hold; None: one an hour.
+    stale_min_bars: int | None = None
     min_coverage: float = 0.9
     max_symbols: int = 50
     #: Rows that a fully covered hour has.
@@ -38,8 +41,8 @@ def universe(panel: DataFrame, rules: UniverseRules = UniverseRules()) -> DataFr
     seen = timed.select(
         "symbol", "ts",
         F.when(F.count("quote_volume").over(adv) >= rules.adv_min_bars, F.avg("quote_volume").over(adv)).alias("adv_usd"),
-        F.when(F.count("n_minutes").over(stale) >= rules.stale_window_h, F.sum("n_minutes").over(stale)).alias("rows"),
-        F.timestampdiff("HOUR", F.min("ts").over(by_symbol), F.col("ts")).alias("history_h"),
+        F.when(F.count("n_minutes").over(stale) >= (rules.stale_window_h if rules.stale_min_bars is None else rules.stale_min_bars), F.sum("n_minutes").over(stale)).alias("rows"),
+        whole_hours(F.min("ts").over(by_symbol), F.col("ts")).alias("history_h"),
     )
     covered = seen.withColumn("coverage_24h", F.col("rows") / F.lit(rules.stale_window_h * rules.rows_per_h))
     eligible = covered.where(
