@@ -16,7 +16,7 @@ Queries are dealt into blocks too; a task sees one block of rows and one block o
 
 Defined cases: null vectors and vectors with a null, NaN or infinite component take no part, as
 queries or candidates, nor do rows without an id; a shorter vector counts as padded with zeros; rows with the
-query's id are the query's own; repeated rows are candidates each; fewer candidates than k
+query's id are the query's own; repeated rows are candidates each and one query; fewer candidates than k
 give fewer rows; an empty table gives none; other columns are not looked at. Quantised components have to be under
 2**24, so that a score of 2**14 dimensions fits a long; larger ones raise an error.
 """
@@ -36,7 +36,7 @@ SCALE, K, EVERY = 256.0, 5, 50
 BLOCK, QUERY_BLOCK = 16_384, 128
 LIMIT = 1 << 24
 
-HITS = "query_id long, vec_id long, score long"
+HITS = "query_id long, query_hash long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -160,23 +160,25 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SC
     # A copy of a block of rows for each block of queries, and a copy of a query for each block of rows.
     deal = F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks)).cast("int")
     held = rows.withColumn("block", deal).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("query", F.lit(False))
-    asked = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "q"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = asked.withColumn("query_block", F.pmod(F.xxhash64("vec_id", "q"), F.lit(query_blocks)).cast("int")).withColumn("query", F.lit(True))
 
     def answer(table: pa.Table) -> pa.Table:
         is_query = np.asarray(table["query"])
         matrix, ids = _matrix(table["q"], width), np.asarray(table["vec_id"])
         index = Slices(ids[~is_query], matrix[~is_query])
-        found = [(q, *index.top(v, q, k)) for q, v in zip(ids[is_query].tolist(), matrix[is_query], strict=True)]
-        query = np.concatenate([np.full(len(i), q, np.int64) for q, i, _ in found] + [np.zeros(0, np.int64)])
+        hashes = np.asarray(table["hash"])[is_query].tolist()
+        found = [((q, h), *index.top(v, q, k)) for q, h, v in zip(ids[is_query].tolist(), hashes, matrix[is_query], strict=True)]
+        query = np.concatenate([np.tile(np.array([q], np.int64), (len(i), 1)) for q, i, _ in found] + [np.zeros((0, 2), np.int64)])
         return pa.table({
-            "query_id": query,
+            "query_id": query[:, 0],
+            "query_hash": query[:, 1],
             "vec_id": np.concatenate([i for _, i, _ in found] + [np.zeros(0, np.int64)]),
             "score": np.concatenate([s for _, _, s in found] + [np.zeros(0, np.int64)]),
         })
 
-    hits = held.unionByName(asked).groupBy("block", "query_block").applyInArrow(answer, HITS)
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    hits = held.unionByName(asked).withColumn("hash", F.xxhash64("q")).groupBy("block", "query_block").applyInArrow(answer, HITS)
+    best = F.row_number().over(Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", best.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

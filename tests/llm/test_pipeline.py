@@ -1,0 +1,29 @@
+"""The corpus pipeline, stage by stage, on a small table."""
+
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+from tests.llm.test_operators import documents, near_rows
+
+
+def test_stages_run_in_order(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [r for r in near_rows() if r[0] is not None] + [(9000 + k, " ".join("x***" for _ in range(30 + rng.randrange(9))), "a", "s1") for k in range(5)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 0 if i >= 9000 else 1, 0) for i, *_ in rows]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, sizes = docs.columns, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = f"{tmp_path}/stage{k}"
+        stage(spark, docs, str(tmp_path)).write.parquet(out)
+        docs = spark.read.parquet(out)
+        sizes.append(docs.count())
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns, name
+    assert sizes[0] < len(rows) and sizes[1] == sizes[0] and sizes[2] < sizes[1]
+    again = corpus_pipeline.run(spark, str(tmp_path))
+    assert again.count() == sizes[-1]
+    assert again.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
