@@ -24,13 +24,13 @@ carried and not looked at. A text whose lines all go is left as an empty text.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from quantloom.llm.common import stored
 
@@ -38,44 +38,53 @@ from quantloom.llm.common import stored
 LEAST_WORDS = 8
 
 LINES = "id long, part long, line int, n_words int, copy binary, halves array<long>"
-VARIANTS = "copy binary, id long, part long, line int, n_words int, variant long, self boolean"
+VARIANTS = "number long, variant long, self boolean"
 
 
 def _short(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+    return xxh3_64_intdigest(data) - (1 << 63)
 
 
 def halves(words: list[bytes]) -> list[int]:
     """Hashes such that two lines within one edit have one in common.
 
-    A line of n words and its partner of n - 1, n or n + 1 agree on the first half or on the
-    second half of the shorter one, so a line gives the halves of its own length and of n - 1.
+    A line and a partner no shorter agree on the first half of the shorter one's words or on the
+    rest of them from the end, so a line gives both for its own length and for one word less.
     """
-    n, out = len(words), set()
-    for short in (n - 1, n):
-        first = (short + 1) // 2
-        out.add(_short(b"<" + b" ".join(words[:first])))
-        out.add(_short(b">" + b" ".join(words[n - (short - first) :])))
-        out.add(_short(b">" + b" ".join(words[n - first :])))
-    return sorted(out)
+    n = len(words)
+    firsts, lasts = {n // 2, (n + 1) // 2}, {(n - 1) // 2, n // 2}
+    return [_short(b"<" + b" ".join(words[:k])) for k in firsts] + [_short(b">" + b" ".join(words[n - k :])) for k in lasts]
 
 
-def variants(words: list[bytes]) -> list[tuple[int, bool]]:
-    """Keys of the deletion neighbourhood, and whether a key says that the line itself is the variant.
+def variants(words: list[bytes]) -> tuple[list[int], list[int]]:
+    """Hashes of the line's own content and of the contents left by each deletion, in order of place.
 
-    First the line's own content and the contents left by one deletion (insertions), then
-    the deletions with their place and the line's length (exchanges).
+    Also the places at which a deletion leaves other words than the one before did.
     """
-    whole = b" ".join(words)
-    starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-    out, last = [(_short(b"=" + whole), True)], None
+    whole, at, found, places, last = b" ".join(words), 0, [], [], None
+    found.append(_short(whole))
     for i, word in enumerate(words):
-        rest = whole[: starts[i]] + whole[starts[i + 1] :] if i + 1 < len(words) else whole[: max(0, starts[i] - 1)]
-        if word != last:  # deleting either of two equal neighbours leaves the same words
-            out.append((_short(b"=" + rest), False))
-        last = word
-        out.append((_short(b"%d/%d " % (i, len(words)) + rest), False))
-    return out
+        after = at + len(word) + 1
+        found.append(_short(whole[:at] + whole[after:] if after <= len(whole) else whole[: max(at - 1, 0)]))
+        if word != last:
+            places.append(i)
+        at, last = after, word
+    return found, places
+
+
+def variant_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the deletion neighbourhood, and which of them say that the line itself is the variant.
+
+    Contents are keys for insertions: the line's own, and those that deletions leave. With the place and
+    the line's length they are keys for exchanges.
+    """
+    found, places = variants(words)
+    own = np.array(found, np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        placed = np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(words)) * np.uint64(0xBF58476D1CE4E5B9)
+        exchanged = (own[1:] ^ placed) * np.uint64(0x94D049BB133111EB)
+    keys = np.concatenate([own[:1], own[1:][places], exchanged ^ (exchanged >> np.uint64(31))])
+    return keys.view(np.int64), np.arange(len(keys)) == 0
 
 
 def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -104,7 +113,7 @@ def lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 for number, line in enumerate((text.as_py() or b"").split(b"\n")):
                     if words := line.split():
                         ids.append(id_), parts.append(part), numbers.append(number), counts.append(len(words))
-                        copies.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                        copies.append(xxh3_128_digest(b" ".join(words)))
                         keys.append(halves(words) if len(words) >= least_words - 1 else [])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(numbers, pa.int32()), pa.array(counts, pa.int32()), pa.array(copies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -125,7 +134,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for number in numbers:
                     words = held[number].split()
                     whole = b" ".join(words)
-                    out.append((hashlib.blake2b(whole, digest_size=16).digest(), id_, part, number, len(words), whole))
+                    out.append((xxh3_128_digest(whole), id_, part, number, len(words), whole))
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             types = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             names = ["copy", "id", "part", "line", "n_words", "words"]
@@ -143,13 +152,11 @@ def _variant_rows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [variants(w.split()) for w in part["words"].to_pylist()]
-                index = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
-                arrays = [part[c].take(index) for c in ("copy", "id", "part", "line", "n_words")]
-                arrays += [pa.array([v for f in found for v, _ in f], pa.int64()), pa.array([s for f in found for _, s in f], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(arrays, ["copy", "id", "part", "line", "n_words", "variant", "self"])
+                found = [variant_keys(w.split()) for w in part["words"].to_pylist()]
+                number = np.repeat(np.asarray(part["number"]), [len(k) for k, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(number), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], ["number", "variant", "self"])
 
-    return texts.mapInArrow(per_batch, VARIANTS)
+    return texts.select("number", "words").mapInArrow(per_batch, VARIANTS)
 
 
 def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -159,31 +166,25 @@ def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     first = stored(index.groupBy("copy").agg(F.min(place).alias("first")), "lines-first")
 
     # Lines that share a half with a different line.
-    half = index.where(F.size("halves") > 0).select("copy", F.xxhash64("copy").alias("short"), F.explode("halves").alias("half"))
-    shared = stored(half.groupBy("half").agg(F.min("short").alias("low"), F.max("short").alias("high")).where("low <> high").select("half"), "lines-halves")
-    suspects = half.join(shared, "half", "left_semi").select("copy").distinct()
+    half = index.where(F.size("halves") > 0).select("copy", F.explode("halves").alias("half"))
+    short = F.xxhash64("copy")
+    shared = half.groupBy("half").agg(F.min(short).alias("low"), F.max(short).alias("high")).where("low <> high").select("half")
+    suspects = half.join(stored(shared, "lines-halves"), "half", "left_semi").select("copy").distinct()
     wanted = first.join(suspects, "copy", "left_semi").select("first.*")
-    texts = stored(_line_texts(docs, wanted), "lines-texts")
+    # Numbered in order of their places, so that the earliest line of a key is the least number.
+    texts = _line_texts(docs, wanted).orderBy("id", "part", "line").withColumn("number", F.monotonically_increasing_id())
+    texts = stored(texts.select("number", "copy", "n_words", "words"), "lines-texts")
 
     # The earliest line of every key; a key's shorter line (self) is apart from the longer ones.
     rows = stored(_variant_rows(texts), "lines-variants")
-    who = F.struct("id", "part", "line", "copy")
-    own, other = F.when(F.col("self"), who), F.when(~F.col("self"), who)
+    own, other = F.when(F.col("self"), F.col("number")), F.when(~F.col("self"), F.col("number"))
     keys = rows.groupBy("variant").agg(F.min(own).alias("own"), F.min(other).alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     keys = stored(keys, "lines-keys")  # a stored side leaves the join free to split a hot key
-    linked = rows.join(keys, "variant").select(
-        F.col("copy").alias("late"), place.alias("at"), F.explode(F.array("own", "other")).alias("early")
-    )
-    links = linked.where("early is not null and early.copy <> late and struct(early.id, early.part, early.line) < at")
-    pairs = links.select("late", F.col("early.copy").alias("early")).distinct()
-    held = texts.select("copy", "words", "n_words")
-    near = _verified(
-        pairs.join(held.select(F.col("copy").alias("late"), F.col("words").alias("a"), F.col("n_words").alias("m")), "late").join(
-            held.select(F.col("copy").alias("early"), F.col("words").alias("b"), F.col("n_words").alias("n")), "early"
-        ),
-        least_words,
-    )
-    near = stored(near.distinct(), "lines-near")
+    linked = rows.join(keys, "variant").select(F.col("number").alias("late"), F.explode(F.array("own", "other")).alias("early"))
+    pairs = linked.where("early < late").distinct()
+    late = texts.select(F.col("number").alias("late"), "copy", F.col("words").alias("a"), F.col("n_words").alias("m"))
+    early = texts.select(F.col("number").alias("early"), F.col("words").alias("b"), F.col("n_words").alias("n"))
+    near = stored(_verified(pairs.join(late, "late").join(early, "early"), least_words).distinct(), "lines-near")
 
     # All copies of a near copy go, and all but the first of the others.
     slim = index.select("copy", "id", "part", "line")
@@ -198,17 +199,17 @@ def _verified(pairs: DataFrame, least_words: int) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                late
-                for late, a, b in zip(*(batch[c].to_pylist() for c in ("late", "a", "b")), strict=True)
+                copy
+                for copy, a, b in zip(*(batch[c].to_pylist() for c in ("copy", "a", "b")), strict=True)
                 if within_one_edit(a.split(), b.split())
             ]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["copy"])
 
-    return pairs.where(F.greatest("m", "n") >= least_words).select("late", "a", "b").mapInArrow(per_batch, "copy binary")
+    return pairs.where(F.greatest("m", "n") >= least_words).select("copy", "a", "b").mapInArrow(per_batch, "copy binary")
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with text rewritten, and columns __lines, __exact, __near: lines with a word, dropped as copies, as near copies."""
+    """docs with text rewritten, and columns __exact, __near: lines dropped as copies, as near copies."""
     gone = dropped_lines(docs, least_words).groupBy("id", "part").agg(
         F.collect_set("line").alias("__gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("line")))).alias("__near")
     )
@@ -220,21 +221,19 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     # Numbers of dropped lines become a set once for the row; a line's test is then a look-up.
     held = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(held, lambda i: F.get(parts, i)), "\n"))
-    counted = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
     return joined.withColumns(
         {
-            "__lines": counted,
             "__dropped": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")),
             "__near": F.coalesce("__near", F.lit(0)),
             "__text": text,
         }
-    ).select(*[F.col("__text").alias("text") if c == "text" else docs[c] for c in docs.columns], "__lines", (F.col("__dropped") - F.col("__near")).alias("__exact"), "__near")
+    ).select(*[F.col("__text").alias("text") if c == "text" else docs[c] for c in docs.columns], (F.col("__dropped") - F.col("__near")).alias("__exact"), "__near")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_exact, n_near, text: what was dropped from each document, and what is left of it."""
+    """doc_id, n_exact, n_near, text: what was dropped from each document, and what is left of it."""
     found = dedup_lines(docs.select("doc_id", "text"))
-    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__exact").alias("n_exact"), F.col("__near").alias("n_near"), "text")
+    return found.select("doc_id", F.col("__exact").alias("n_exact"), F.col("__near").alias("n_near"), "text")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
