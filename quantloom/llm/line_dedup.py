@@ -231,9 +231,11 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_exact, n_near, text: what was dropped from each document, and what is left of it."""
-    found = dedup_lines(docs.select("doc_id", "text"))
-    return found.select("doc_id", F.col("__exact").alias("n_exact"), F.col("__near").alias("n_near"), "text")
+    """doc_id, n_lines (with a word), n_exact, n_near, text: what was dropped from each document, and what is left of it."""
+    # A line with a word is one match: from its first character of a word to its end.
+    held = docs.select("doc_id", "text", F.coalesce(F.regexp_count("text", F.lit(r"[^\x09-\x0D\x20][^\n]*")), F.lit(0)).alias("n_lines"))
+    found = dedup_lines(held)
+    return found.select("doc_id", "n_lines", F.col("__exact").alias("n_exact"), F.col("__near").alias("n_near"), "text")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:

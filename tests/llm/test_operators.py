@@ -535,9 +535,13 @@ def test_line_dedup_is_that_of_all_pairs(spark):
             if w and w not in seen:
                 seen.append(w)
         want[i] = "\n".join(kept)
+    lines = {(i, t): sum(bool(x.split()) for x in (t or "").split("\n")) for i, t, *_ in rows}
+    assert Counter(r["n_lines"] for r in found) == Counter(lines[i, t] for i, t, *_ in rows)
     for r in found:
         assert r["text"] == want.get(r["doc_id"])
         assert r["n_exact"] >= 0 <= r["n_near"]
+        left = sum(bool(x.split()) for x in (r["text"] or "").split("\n"))
+        assert r["n_lines"] - r["n_exact"] - r["n_near"] == left
 
 
 def test_line_dedup_carries_columns(spark):
