@@ -15,14 +15,19 @@ rows; other columns are not looked at. Ties go to the piece that comes first in
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +36,10 @@ from quantloom.llm.common import stored
 
 #: Pieces of a shard, about; tokens of a sequence; the id that ends a document.
 SHARD, CAPACITY, END_ID = 4096, 4096, 1
-#: Distinct words that a task remembers at most; then it starts anew.
-CACHE_WORDS = 400_000
+#: Distinct words that a Python worker remembers at most, then it starts anew; texts tokenised in one go.
+CACHE_WORDS, TOGETHER = 400_000, 1024
+#: New words that are tokenised as one text.
+RUN = 1000
 
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -42,33 +49,72 @@ class WordTokens:
     """Token ids of whole texts from the ids of their words, each word tokenised once.
 
     Sound where the tokenizer drops white space and normalises character by character, so that
-    no token depends on what stands beyond white space, as in a word-end BPE.
+    no token depends on what stands beyond white space, as in a word-end BPE that also parts letters
+    from other characters.
     """
 
     def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only wait for each other
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Special tokens are found in the whole text before words are, so such texts go whole.
-        self.special = re.compile("|".join(map(re.escape, special)).encode()) if special else None
-        self.cache: dict[bytes, bytes] = {}
-
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids of a UTF-8 text, without special ones added."""
-        if self.special and self.special.search(text):
-            return _packed(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        words, cache = text.split(), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            cache.update(zip(new, (_packed(e.ids) for e in found), strict=True))
-            return b"".join([cache[w] for w in words])
+        self.special = "|".join(map(re.escape, special)) if special else None
+        self.cache: dict[str, bytes] = {"": b""}
+        self.folds = self._each(["Az"]) == self._each(["az"])  # whether case makes no difference
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {m: self._each([m])[0] for m in ".,"}
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words to the cache. A mark after letters is a token of its own, and runs of letters go together in one text."""
+        cache = self.cache
+        marked = [w for w in words if w[-1] in self.marks and w[-2:-1].isalpha()]
+        wanted = [w for w in dict.fromkeys([*words, *(w[:-1] for w in marked)]) if w not in cache and not (w[-1] in self.marks and w[-2:-1].isalpha())]
+        letters = [w for w in wanted if w.isalpha()]
+        for at in range(0, len(letters), RUN):
+            run = letters[at : at + RUN]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(run):  # one end a word: the tokens up to it are the word's
+                data, to = ids.tobytes(), (4 * (last + 1)).tolist()
+                cache.update(zip(run, [data[i:j] for i, j in zip([0, *to], to, strict=False)], strict=True))
+        others = [w for w in wanted if w not in cache]
+        cache.update(zip(others, self._each(others), strict=True))
+        cache.update([(w, cache[w[:-1]] + self.marks[w[-1]]) for w in marked])
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of texts (null: empty), without special ones added.
+
+        Arrow splits the texts and numbers their distinct words; only those are looked up.
+        """
+        texts = texts.fill_null("")
+        whole = np.flatnonzero(pc.match_substring_regex(texts, self.special)) if self.special else np.zeros(0, int)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.folds else texts)
+        offsets = np.asarray(split.offsets)
+        numbered = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        words, which = numbered.dictionary.to_pylist(), np.asarray(numbered.indices)
+        new = [w for w in words if w not in self.cache]
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache = {"": b""} | {w: self.cache[w] for w in words if w in self.cache}
+        self._learn(new)
+        held = [self.cache[w] for w in words]
+        numbers, cuts = which.tolist(), (offsets - offsets[0]).tolist()
+        out = [b"".join(map(held.__getitem__, numbers[i:j])) for i, j in itertools.pairwise(cuts)]
+        for i in whole:
+            out[i] = _packed(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids)
+        return out
+
+
+@lru_cache(maxsize=1)
+def word_tokens(tokenizer_file: str) -> WordTokens:
+    """One for all tasks that a Python worker runs, so that a word is tokenised once a worker."""
+    return WordTokens(tokenizer_file)
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -79,12 +125,13 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
     """Rows of PIECES; row is a number of the piece's own, unique in the result."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, n = WordTokens(tokenizer_file), TaskContext.get().partitionId() << 40
+        tokens, n = word_tokens(tokenizer_file), TaskContext.get().partitionId() << 40
         end = struct.pack("<I", END_ID)
-        for batch in batches:
+        for batch in (whole.slice(at, TOGETHER) for whole in batches for at in range(0, whole.num_rows, TOGETHER)):
             out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = tokens.ids(text.as_py() or b"") + end
+            found = tokens.ids(batch["text"])
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), found, strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((n, doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -94,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
             names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return slim.mapInArrow(cut, PIECES)
 
 
