@@ -48,7 +48,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
