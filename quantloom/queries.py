@@ -363,7 +363,7 @@ def cscv_cloud(spark, sf_dir):
 
 
 @query("""SELECT round(avg(CASE WHEN logit < 0 THEN 1.0 ELSE 0.0 END), 8) + 0.0 AS pbo, count(*) AS n_combinations, round(median(is_sharpe), 8) + 0.0 AS median_is_sharpe, round(median(oos_sharpe), 8) + 0.0 AS median_oos_sharpe,
-  round(avg(CASE WHEN oos_sharpe < 0 THEN 1.0 ELSE 0.0 END), 8) + 0.0 AS prob_oos_loss, round(coalesce(regr_slope(oos_sharpe, is_sharpe), 0), 6) + 0.0 AS deterioration_slope, round(median(is_sharpe) - median(oos_sharpe), 8) + 0.0 AS selection_premium FROM cloud""", *_UP_TO_CLOUD)
+  round(avg(CASE WHEN oos_sharpe < 0 THEN 1.0 ELSE 0.0 END), 8) + 0.0 AS prob_oos_loss, round(coalesce(nullif(regr_slope(oos_sharpe, is_sharpe), CAST('NaN' AS DOUBLE)), 0), 6) + 0.0 AS deterioration_slope, round(median(is_sharpe) - median(oos_sharpe), 8) + 0.0 AS selection_premium FROM cloud""", *_UP_TO_CLOUD)
 def pbo_summary(spark, sf_dir):
     return rounded(audit.pbo_summary(audit.cscv_cloud(series(spark, sf_dir), BLOCKS)), 8, deterioration_slope=6)
 
