@@ -163,10 +163,13 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def swap_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """The same pieces in no more bins: donors are emptied by moves and exchanges, emptiest first."""
+    """The same pieces in no more bins: donors are emptied by moves and exchanges, emptiest first.
+
+    Ends where no donor gives anything more, or as few bins are left as the pieces need if cut at will.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    done: set[int] = set()
-    while True:
+    fewest, done = -(-sum(fill) // capacity), set()
+    while sum(map(bool, bins)) > fewest:
         underfull = [b for b in range(len(bins)) if bins[b] and fill[b] < capacity and b not in done]
         if len(underfull) < 2:
             break
