@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import WORD, stored
 
-#: Hash bits of a histogram level, and levels: 56 bits of the id's MD5 in all.
-BITS, LEVELS = 14, 4
+#: Hash bits of a histogram level, and levels: 60 bits of the id's MD5 in all.
+BITS, LEVELS = 10, 6
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 
 
 def id_hash(column: str = "doc_id"):
-    """56 bits of the MD5 of the id as text; a null id hashes like an empty text."""
+    """60 bits of the MD5 of the id as text; a null id hashes like an empty text."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
     return F.conv(F.substring(F.md5(text), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
