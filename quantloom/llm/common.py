@@ -43,3 +43,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+#: Rows of a few columns that may go to every task; more are shuffled.
+FEW = 1 << 18
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, to be broadcast in a join if it is counted to have at most that many rows, else left to be shuffled.
+
+    df should be stored, since it is counted here and read again.
+    """
+    return F.broadcast(df) if df.count() <= most else df

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from quantloom.llm.common import stored
+from quantloom.llm.common import few, stored
 
 #: Shorter lines are compared for equality only: one word is too much of them.
 LEAST_WORDS = 8
@@ -140,7 +140,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             names = ["copy", "id", "part", "line", "n_words", "words"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    of_document = wanted.groupBy("id", "part").agg(F.collect_list("line").alias("lines"))
+    of_document = few(stored(wanted.groupBy("id", "part").agg(F.collect_list("line").alias("lines")), "lines-wanted"))
     held = docs.select(*_keyed(docs)).join(of_document, ["id", "part"])
     # Repeated rows give a line twice; one is enough.
     found = held.mapInArrow(per_batch, "copy binary, id long, part long, line int, n_words int, words binary")

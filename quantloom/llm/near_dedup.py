@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import stored
+from quantloom.llm.common import few, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -224,7 +224,8 @@ def near_classes(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD
     keys = texts.select("id", "digest", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("most")).where("leader <> most").select("key", "leader")
     held = stored(keys.join(stored(shared, "near-leaders"), "key").select("key", "id", "digest", "leader"), "near-held")
-    sets = stored(shingle_sets(docs, held.select("id", "digest").distinct(), by_count), "near-sets")
+    wanted = few(stored(held.select("id", "digest").distinct(), "near-wanted"))  # few: the texts are not shuffled
+    sets = stored(shingle_sets(docs, wanted, by_count), "near-sets")
 
     pairs = held.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     compared = stored(similarities(pairs, sets), "near-compared")
@@ -281,8 +282,9 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, by_count: bool =
 
 
 def first_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with their columns, that are the first of their class; repeated rows leave one."""
+    """The documents, with their columns, that are the first of their class; rows of one id leave the one of least text."""
     stay = near_groups(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("__first")).distinct()
     nameless = docs.where("doc_id is null")
-    named = docs.join(stay, F.col("doc_id") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(nameless)
+    order = Window.partitionBy("doc_id").orderBy("text")
+    named = docs.join(stay, F.col("doc_id") == F.col("__first"), "left_semi").withColumn("__nth", F.row_number().over(order))
+    return named.where("__nth = 1").drop("__nth").unionByName(nameless)
