@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,18 +144,18 @@ def test_lm_is_a_distribution_and_beats_the_base(spark, monkeypatch):
     held = [r for r in found if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     # All words after one context, and one unseen word for each class, have probability one together.
-    vocabulary = [bytes(r["word"]) for r in fitted.counts.collect()]
+    vocabulary = [r["word"] for r in fitted.counts.collect()]
     unseen = {}
     for k in itertools.count():
-        w = f"unseen{k}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}".encode()
+        w = f"unseen{k}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}"
         unseen.setdefault(lm_score.class_of(w), w)
         if len(unseen) == lm_score.CLASSES:
             break
     every = vocabulary + list(unseen.values())
-    model, counts = fitted.model, {bytes(r["word"]): r["c"] for r in fitted.counts.collect()}
+    model, counts = fitted.model, {r["word"]: r["c"] for r in fitted.counts.collect()}
     total = 0.0
     for w in every:
-        t = lm_score.tokens(model, [[b"x1", b"x2", w]])
+        t = lm_score.tokens(model, pa.array(["x1 x2" if w == lm_score.END else f"x1 x2 {w}"]))
         lp = lm_score.score_tokens(model, t)[2]
         if t.rank[2] < 0:
             lp += math.log10((counts.get(w, 0) + 0.5) / fitted.tail_totals[lm_score.class_of(w)])
