@@ -6,7 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quantloom.llm import lm_score
+from pyspark.sql import functions as F
+
+from quantloom.llm import common, line_dedup, lm_score
+from quantloom.llm.common import few
 
 # --- op2 ---
 
@@ -46,3 +49,26 @@ def test_lm_buckets_follow_the_training_tokens():
     assert [lm_score.buckets_for(n) for n in (0, 1 << 24, (1 << 24) + 1, 1 << 26, (1 << 26) + 1, 1 << 32, 1 << 40)] == [1 << 14, 1 << 14, 1 << 15, 1 << 15, 1 << 16, 1 << 18, 1 << 18]
     f = np.random.default_rng(1).integers(0, 1 << 18, 5000).astype(np.uint32)
     assert (lm_score._order(f) == np.argsort(f, kind="stable")).all()
+
+
+# --- op8, op10 ---
+
+
+def is_broadcast(df):
+    return "broadcast" in df._jdf.queryExecution().logical().toString()
+
+
+def test_few_is_bounded_by_bytes_not_rows(spark):
+    slim = spark.range(3).select("id", F.sequence(F.lit(1), F.lit(2)).alias("lines"))
+    long_ = spark.range(3).select("id", F.sequence(F.lit(1), F.lit(10_000)).alias("lines"))
+    assert is_broadcast(few(slim, 1 << 16)) and not is_broadcast(few(long_, 1 << 16))
+    assert is_broadcast(few(slim.limit(0), 1 << 16))
+
+
+def test_line_dedup_is_the_same_if_candidates_are_shuffled(spark, monkeypatch):
+    line = "one two three four five six seven eight nine"
+    rows = [(k, f"{line}\n{line.replace('five', f'other{k}')}\nown words of {k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = sorted(line_dedup.dedup_report(docs).collect())
+    monkeypatch.setattr(common, "FEW", -1)
+    assert sorted(line_dedup.dedup_report(docs).collect()) == sent and sum(r["n_near"] for r in sent) > 0
