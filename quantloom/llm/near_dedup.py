@@ -24,7 +24,8 @@ stored tables; nothing of it is collected.
 
 Defined cases: null text is a class of its own for each row; texts without five words are one
 shingle of all their words, texts without any word are equal only to the same text; repeated rows
-are copies; ties go to the smaller id; an empty table gives no rows; other columns are carried.
+are copies; ties go to the smaller id; an empty table gives no rows; other columns are carried. An id
+with several texts is a document for each: texts are told apart by digest, and class_text tells classes with one class_id apart.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import few, stored
@@ -58,6 +59,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
+def digest_of(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()[:16]
+
+
+def digest_column(text: str = "text") -> Column:
+    """digest_of as a Column; null stays null."""
+    return F.substring(F.unhex(F.sha2(F.col(text).cast("binary"), 256)), 1, 16)
+
+
 def uniform(x: np.ndarray) -> np.ndarray:
     """Hashes to (0, 1]."""
     return ((x >> _U(11)).astype(np.float64) + 1.0) * 2.0**-53
@@ -150,7 +160,7 @@ def signed(docs: DataFrame, by_count: bool = False) -> DataFrame:
                 part = batch.slice(at, TOGETHER)
                 texts = part["text"].to_pylist()
                 sets = [(elements, _weights(counts, by_count)) for elements, counts in map(shingles, texts)]
-                digests = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+                digests = [digest_of(t) for t in texts]
                 keys = list(band_keys(signatures(sets)))
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"])
 
@@ -163,13 +173,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, by_count: bool = False) -> DataFrame:
-    """id, elements (sorted 32-bit hashes) of the wanted (id, digest); with by_count an element for each occurrence."""
+    """id, elements (sorted 32-bit hashes) of the wanted (id, doc, digest); with by_count an element for each occurrence."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets = [], []
             for id_, digest, text in zip(*(batch[c].to_pylist() for c in ("id", "digest", "text")), strict=True):
-                if hashlib.blake2b(text, digest_size=16).digest() != digest:
+                if digest_of(text) != digest:
                     continue
                 elements, counts = shingles(text)
                 if by_count:
@@ -178,7 +188,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, by_count: bool = False) ->
                 ids.append(id_), sets.append(np.unique((elements >> _U(32)).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["id", "elements"])
 
-    found = _texts(docs).join(wanted, "id").select("id", "digest", "text").mapInArrow(per_batch, "id long, elements array<int>")
+    found = _texts(docs).withColumnRenamed("id", "doc").join(wanted, "doc").select("id", "digest", "text").mapInArrow(per_batch, "id long, elements array<int>")
     return found.dropDuplicates(["id"])  # repeated rows give one set
 
 
@@ -220,11 +230,11 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, by_count: bool = False) -> DataFrame:
-    """id, label of the documents that are near copies of another, for texts: (id, digest, keys), all different."""
-    keys = texts.select("id", "digest", F.explode("keys").alias("key"))
+    """id, label of the documents that are near copies of another, for texts: (id, doc, digest, keys), all different; doc is the doc_id."""
+    keys = texts.select("id", "doc", "digest", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("most")).where("leader <> most").select("key", "leader")
-    held = stored(keys.join(stored(shared, "near-leaders"), "key").select("key", "id", "digest", "leader"), "near-held")
-    wanted = few(stored(held.select("id", "digest").distinct(), "near-wanted"))  # few: the texts are not shuffled
+    held = stored(keys.join(stored(shared, "near-leaders"), "key").select("key", "id", "doc", "digest", "leader"), "near-held")
+    wanted = few(stored(held.select("id", "doc", "digest").distinct(), "near-wanted"))  # few: the texts are not shuffled
     sets = stored(shingle_sets(docs, wanted, by_count), "near-sets")
 
     pairs = held.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
@@ -268,23 +278,35 @@ def prefix_links(left: DataFrame, sets: DataFrame, known: DataFrame, threshold:
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, by_count: bool = False) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), text_id (the least doc_id with the same text)."""
+    """doc_id, class_id (the least doc_id of its class), text_id (the least doc_id with the same text), text_digest, class_text.
+
+    class_text is the digest of the class's first text: that of class_id, the least of its texts in the class.
+    """
     signatures = stored(signed(docs, by_count), "near-signatures")
-    firsts = stored(signatures.groupBy("digest").agg(F.min("id").alias("text_id")), "near-texts")
-    member = signatures.select("id", "digest").join(firsts, "digest").select(F.col("id").alias("doc_id"), "text_id")
-    # One row for each text; an id that repeats with other texts stands for the least of them.
-    own = signatures.join(firsts.groupBy("text_id").agg(F.min("digest").alias("its")), F.col("id") == F.col("text_id"))
-    texts = own.where("digest = its").select("id", "digest", "keys").dropDuplicates(["id"])
-    labels = near_classes(docs, texts, threshold, by_count).withColumnRenamed("id", "own")
-    classed = member.join(labels, F.col("text_id") == F.col("own"), "left").select("doc_id", F.coalesce("label", "text_id").alias("class_id"), "text_id")
-    rest = docs.where("text is null or doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    return classed.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_id")))
+    firsts = signatures.groupBy("digest").agg(F.min("id").alias("text_id"))
+    # One number for each text, in order of ids.
+    texts = stored(firsts.orderBy("text_id", "digest").withColumn("number", F.monotonically_increasing_id()), "near-texts")
+    held = signatures.join(texts, "digest")
+    own = held.where("id = text_id").select(F.col("number").alias("id"), F.col("text_id").alias("doc"), "digest", "keys").dropDuplicates(["id"])
+    labels = near_classes(docs, own, threshold, by_count).withColumnRenamed("id", "own")
+    first = texts.select(F.col("number").alias("label"), F.col("text_id").alias("class_id"), F.col("digest").alias("class_text"))
+    member = signatures.select("id", "digest").join(texts, "digest")
+    classed = member.join(labels.join(first, "label"), F.col("number") == F.col("own"), "left").select(
+        F.col("id").alias("doc_id"), F.coalesce("class_id", "text_id").alias("class_id"), "text_id",
+        F.col("digest").alias("text_digest"), F.coalesce("class_text", "digest").alias("class_text"),
+    )
+    id_, none = F.col("doc_id").cast("long"), F.lit(None).cast("binary")
+    rest = docs.where("text is null or doc_id is null")
+    return classed.unionByName(rest.select(id_.alias("doc_id"), id_.alias("class_id"), id_.alias("text_id"), none.alias("text_digest"), none.alias("class_text")))
 
 
 def first_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with their columns, that are the first of their class; rows of one id leave the one of least text."""
-    stay = near_groups(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("__first")).distinct()
-    nameless = docs.where("doc_id is null")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.join(stay, F.col("doc_id") == F.col("__first"), "left_semi").withColumn("__nth", F.row_number().over(order))
-    return named.where("__nth = 1").drop("__nth").unionByName(nameless)
+    """The documents, with their columns, that are the first of their class; rows of one id and text leave one."""
+    first = near_groups(docs, threshold).where("doc_id = class_id and text_digest = class_text")
+    stay = first.select(F.col("doc_id").alias("__first"), F.col("text_digest").alias("__text")).distinct()
+    order = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy("text"))
+    keyed = docs.withColumn("__digest", digest_column())
+    named = keyed.join(stay, (F.col("doc_id") == F.col("__first")) & (F.col("__digest") == F.col("__text")), "left_semi")
+    empty = keyed.where("doc_id is not null and text is null")
+    kept = [df.withColumn("__nth", order).where("__nth = 1").drop("__nth", "__digest") for df in (named, empty)]
+    return kept[0].unionByName(kept[1]).unionByName(docs.where("doc_id is null"))

@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quantloom.llm import common, line_dedup, lm_score
+from quantloom.llm import common, line_dedup, lm_score, near_dedup
 from quantloom.llm.common import few
 
 # --- op2 ---
@@ -72,3 +72,15 @@ def test_line_dedup_is_the_same_if_candidates_are_shuffled(spark, monkeypatch):
     sent = sorted(line_dedup.dedup_report(docs).collect())
     monkeypatch.setattr(common, "FEW", -1)
     assert sorted(line_dedup.dedup_report(docs).collect()) == sent and sum(r["n_near"] for r in sent) > 0
+
+
+def test_near_dedup_tells_the_texts_of_an_id_apart(spark):
+    a, b, c = (" ".join(f"{name}{k}" for k in range(60)) for name in "abc")
+    rows = [(1, a), (1, b), (1, None), (1, c), (1, c), (2, b), (3, b + " more"), (4, a + " more"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = near_dedup.first_of_each(docs).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in stay) == sorted([(1, a), (1, b), (1, c), (1, ""), (5, "")])
+    found = near_dedup.near_groups(docs).where("text_digest is not null").collect()
+    class_of = {(r["doc_id"], bytes(r["text_digest"])): bytes(r["class_text"]) for r in found}
+    digest = {t: near_dedup.digest_of(t.encode()) for _, t in rows if t}
+    assert class_of == {(i, digest[t]): digest[next(x for x in (a, b, c) if t.startswith(x))] for i, t in rows if t}
