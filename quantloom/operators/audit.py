@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from quantloom.functions.deflation import expected_max_sharpe, probabilistic_sha
 from quantloom.operators.backtest import PERIODS_A_YEAR
 
 TIE_DIGITS = 12
+#: Bars whose returns, of all trials, a task holds as one matrix.
+BARS = 4096
+#: The costs that results are reported at.
 COSTS_BPS = (0.0, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0)
 
 
@@ -26,22 +31,39 @@ def finite(x: str | Column) -> Column:
 
 
 def numbered(series: DataFrame) -> DataFrame:
-    """trial, t (0, 1, ... in order of ts), net: every trial at every bar, 0 where it has none.
+    """trial, t (0, 1, ... in order of ts), n_bars (of all trials), net; where a trial has no bar, its return counts as 0.
 
-    The axis has one row a bar and the trials are a few dozen, so both are small beside the series.
+    The axis has one row a bar, so that numbering it in one task is little work beside the series.
     """
-    axis = series.select("ts").distinct().withColumn("t", (F.row_number().over(Window.orderBy("ts")) - 1).cast("long"))
-    every = axis.crossJoin(series.select("trial").distinct())
-    held = series.select("trial", "ts", finite("net").alias("net"))
-    return every.join(held, ["trial", "ts"], "left").select("trial", "t", F.coalesce("net", F.lit(0.0)).alias("net"))
+    order = F.row_number().over(Window.orderBy("ts")) - 1
+    axis = series.select("ts").distinct().select("ts", order.cast("long").alias("t"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("n_bars"))
+    return series.select("trial", "ts", finite("net").alias("net")).join(axis, "ts").select("trial", "t", "n_bars", "net")
+
+
+def trial_moments(bars: DataFrame) -> DataFrame:
+    """trial, mean, sd (sample) over all bars, those that a trial lacks being 0."""
+    n, c = F.col("n"), F.col("c")
+    own = bars.groupBy("trial").agg(F.max("n_bars").alias("n"), F.count(F.lit(1)).alias("c"), F.avg("net").alias("m"), F.var_pop("net").alias("v"))
+    squares = F.col("v") * c + F.col("m") * F.col("m") * c * (n - c) / n
+    return own.select("trial", (F.col("m") * c / n).alias("mean"), F.when(n > 1, F.sqrt(F.try_divide(squares, n - 1))).alias("sd"))
+
+
+def returns_matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Trials, and the returns of a block of BARS numbered bars by trial; 0 where there are none."""
+    t, n_bars = np.asarray(rows["t"]), int(rows["n_bars"][0].as_py())
+    first = int(t[0]) // BARS * BARS
+    names, column = np.unique(np.asarray(rows["trial"]), return_inverse=True)
+    matrix = np.zeros((min(BARS, n_bars - first), len(names)))
+    matrix[t - first, column] = np.asarray(rows["net"])
+    return names, matrix
 
 
 def block_moments(bars: DataFrame, n_blocks: int) -> DataFrame:
     """trial, block, n, s, ss over equal contiguous blocks; bars that do not fill one more each are left out."""
-    length = bars.agg(F.floor((F.max("t") + 1) / n_blocks).alias("size"))
-    inside = bars.crossJoin(F.broadcast(length)).where(F.col("t") < F.col("size") * n_blocks)
+    size = F.floor(F.col("n_bars") / n_blocks)
+    inside = bars.withColumn("size", size).where(F.col("t") < F.col("size") * n_blocks)
     block = F.floor(F.col("t") / F.col("size")).cast("int")
-    return inside.groupBy("trial", block.alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sum("net").alias("s"), F.sum(F.col("net") * F.col("net")).alias("ss"))
+    return inside.groupBy("trial", block.alias("block")).agg(F.max("size").alias("n"), F.sum("net").alias("s"), F.sum(F.col("net") * F.col("net")).alias("ss"))
 
 
 def _moment_sharpe(n: Column, s: Column, ss: Column) -> Column:
@@ -59,14 +81,15 @@ def cscv_cloud(series: DataFrame, n_blocks: int = 10) -> DataFrame:
     """split, is_sharpe, oos_sharpe, logit: the in-sample winner of every choice of half the blocks.
 
     A split is a number whose binary digits say which blocks are in sample. At most 12 870 splits
-    (16 blocks) meet a row for each trial and block, so moments, not bars, are joined.
+    (16 blocks) meet a row for each trial and block, so moments, not bars, are multiplied.
     """
     blocks = even(n_blocks)
     moments = block_moments(numbered(series), blocks)
-    masks = series.sparkSession.range(1 << blocks).where(F.bit_count("id") == blocks // 2).select(F.col("id").alias("split"))
+    masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << blocks) - 1).cast("long")), lambda m: F.bit_count(m) == blocks // 2)
     side = F.expr("(split >> block) & 1") == 1
-    both = moments.crossJoin(F.broadcast(masks)).groupBy("split", "trial").agg(
-        *[F.sum(F.when(test, F.col(c))).alias(f"{c}{k}") for k, test in (("i", side), ("o", ~side)) for c in ("n", "s", "ss")]
+    both = moments.withColumn("split", F.explode(masks)).groupBy("split", "trial").agg(
+        *[(F.max("n") * (blocks // 2)).alias(f"n{k}") for k in "io"],
+        *[F.sum(F.when(test, F.col(c)).otherwise(0.0)).alias(f"{c}{k}") for k, test in (("i", side), ("o", ~side)) for c in ("s", "ss")],
     )
     ratios = both.select(
         "split", "trial", _moment_sharpe(F.col("ni"), F.col("si"), F.col("ssi")).alias("i"), _moment_sharpe(F.col("no"), F.col("so"), F.col("sso")).alias("o")
@@ -98,22 +121,28 @@ def pbo_summary(cloud: DataFrame) -> DataFrame:
 def correlations(series: DataFrame) -> DataFrame:
     """a, b, rho of every pair of trials, 0 where one is constant.
 
-    Pairs are made of trials, not of bars: each bar gives the products of its row of trials to sums
-    that are combined map-side.
+    A task multiplies the returns of BARS bars by themselves; blocks of bars are then added up, so that
+    what is moved is the returns once and a row for each pair and block.
     """
-    bars = numbered(series)
-    row = bars.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("trial", "net"))).alias("row"))
-    pairs = row.select(F.explode("row").alias("x"), "row").select("x", F.explode("row").alias("y"))
-    x, y = F.col("x.net"), F.col("y.net")
-    sums = pairs.groupBy(F.col("x.trial").alias("a"), F.col("y.trial").alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy")
-    )
+
+    def squares(rows: pa.Table) -> pa.Table:
+        names, matrix = returns_matrix(rows)
+        k = len(names)
+        return pa.table({"a": np.repeat(names, k).astype(np.int64), "b": np.tile(names, k).astype(np.int64), "n": np.full(k * k, int(rows["n_bars"][0].as_py())), "s": np.repeat(matrix.sum(0), k), "sxy": (matrix.T @ matrix).ravel()})
+
+    blocks = numbered(series).groupBy(F.floor(F.col("t") / BARS).alias("block")).applyInArrow(squares, "a long, b long, n long, s double, sxy double")
+    products = blocks.groupBy("a", "b").agg(F.max("n").alias("n"), F.sum("s").alias("s"), F.sum("sxy").alias("sxy"))
+    own = products.where("a = b").select("a", "n", F.col("s").alias("sx"), F.col("sxy").alias("sxx"))
+    # All trials in one row, to pair those that have no block of bars in common, too.
+    every = own.agg(F.collect_list(F.struct(F.col("a").alias("b"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"))).alias("others"))
+    pairs = own.crossJoin(F.broadcast(every)).select("*", F.inline("others")).join(products.select("a", "b", "sxy"), ["a", "b"], "left").withColumn("sxy", F.coalesce("sxy", F.lit(0.0)))
     over = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     other = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     cross = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     usable = (over > 1e-18) & (other > 1e-18)
     rho = F.when(F.col("a") == F.col("b"), F.when(usable, 1.0).otherwise(0.0)).otherwise(F.when(usable, cross / F.sqrt(F.greatest(over * other, F.lit(1e-300)))).otherwise(0.0))
-    return sums.select("a", "b", rho.alias("rho"))
+    kind = series.schema["trial"].dataType
+    return pairs.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), rho.alias("rho"))
 
 
 def participation(rho: DataFrame) -> DataFrame:

@@ -21,13 +21,16 @@ PERIODS_A_YEAR = 8760
 @dataclass(frozen=True)
 class Trial:
     number: int
-    expression: str
+    #: Text of the signal language, its tree, or any Column over the panel.
+    expression: str | Expression | Column
     rebalance_every_h: int = 24
     cost_bps: float = 5.0
+    #: Bars that a Column looks back; that of an expression is known.
+    column_lookback: int = 0
 
     @property
     def lookback(self) -> int:
-        return lookback(self.expression)
+        return self.column_lookback if isinstance(self.expression, Column) else lookback(self.expression)
 
 
 def _rebalances(every_h: int) -> Column:
@@ -68,8 +71,10 @@ def bar_sums(weighted: DataFrame, names: list[str]) -> DataFrame:
     return moved.groupBy("ts").agg(*sums)
 
 
-def unsigned(expression: str | Expression) -> tuple[Expression, int]:
-    """An expression without the negations around it, and its sign."""
+def unsigned(expression: str | Expression | Column) -> tuple[Expression | Column, int]:
+    """An expression without the negations around it, and its sign; a Column as it is."""
+    if isinstance(expression, Column):
+        return expression, 1
     node, sign = as_expression(expression), 1
     while isinstance(node, Call) and node.name == "neg":
         node, sign = node.of, -sign
@@ -137,21 +142,20 @@ class WalkForward:
 def folds(series: DataFrame, walk: WalkForward = WalkForward()) -> DataFrame:
     """fold, train_lo, train_hi, test_lo, test_hi: expanding training up to a gap before each test block.
 
-    Only the bars at the blocks' edges leave the numbered time axis.
+    One pass over the time axis, which has one row a bar; too few bars give no fold.
     """
+    blocks, whole = walk.n_splits + 1, Window.partitionBy(F.lit(0))
     axis = series.select("ts").distinct()
-    numbered = axis.withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1)
-    n, blocks = axis.count(), walk.n_splits + 1
-    edges = [round(i * n / blocks) for i in range(blocks + 1)]
-    schema = "fold int, train_lo timestamp, train_hi timestamp, test_lo timestamp, test_hi timestamp"
-    if n < 2 * blocks:
-        return series.sparkSession.createDataFrame([], schema)
-    wanted = series.sparkSession.createDataFrame([(k, edges[k + 1], edges[k + 2] - 1) for k in range(walk.n_splits)], "fold int, lo int, hi int")
-    first = axis.agg(F.min("ts").alias("train_lo"))
-    lo, hi = numbered.select(F.col("i").alias("lo"), F.col("ts").alias("test_lo")), numbered.select(F.col("i").alias("hi"), F.col("ts").alias("test_hi"))
+    axis = axis.select("ts", (F.row_number().over(Window.orderBy("ts")) - 1).alias("i"), F.count(F.lit(1)).over(whole).alias("n"), F.min("ts").over(whole).alias("first"))
+    fold = axis.where(F.col("n") >= 2 * blocks).select("*", F.explode(F.sequence(F.lit(0), F.lit(walk.n_splits - 1))).alias("fold"))
+
+    def edge(k: Column) -> Column:
+        return F.bround(k * F.col("n") / blocks).cast("long")
+
+    lo, hi = F.col("i") == edge(F.col("fold") + 1), F.col("i") == edge(F.col("fold") + 2) - 1
     gap = F.expr(f"interval {walk.embargo_h + walk.label_horizon_h} hours")
-    found = wanted.join(lo, "lo").join(hi, "hi").crossJoin(first).withColumn("train_hi", F.col("test_lo") - gap)
-    return found.select("fold", "train_lo", "train_hi", "test_lo", "test_hi")
+    found = fold.where(lo | hi).groupBy("fold").agg(F.min("first").alias("train_lo"), F.max(F.when(lo, F.col("ts"))).alias("test_lo"), F.max(F.when(hi, F.col("ts"))).alias("test_hi"))
+    return found.select("fold", "train_lo", (F.col("test_lo") - gap).alias("train_hi"), "test_lo", "test_hi")
 
 
 def fold_sharpes(series: DataFrame, blocks: DataFrame, lookbacks: dict[int, int], periods: int = PERIODS_A_YEAR) -> DataFrame:
@@ -170,7 +174,7 @@ def fold_sharpes(series: DataFrame, blocks: DataFrame, lookbacks: dict[int, int]
 def trial_table(series: DataFrame, trials: list[Trial], walk: WalkForward = WalkForward(), periods: int = PERIODS_A_YEAR) -> DataFrame:
     """Everything known of each trial, best in-sample first; ties by number."""
     spark = series.sparkSession
-    names = spark.createDataFrame([(t.number, t.expression, t.rebalance_every_h, t.cost_bps) for t in trials], "trial int, expr string, rebalance_every_h int, cost_bps double")
+    names = spark.createDataFrame([(t.number, str(t.expression), t.rebalance_every_h, t.cost_bps) for t in trials], "trial int, expr string, rebalance_every_h int, cost_bps double")
     whole = metrics(series, {t.number: t.rebalance_every_h for t in trials}, periods)
     by_fold = fold_sharpes(series, folds(series, walk), {t.number: t.lookback for t in trials}, periods)
     nested = by_fold.groupBy("trial").agg(

@@ -1,24 +1,28 @@
 """Stationary bootstrap of all trials together, under the null that each has zero mean.
 
 Bars are drawn in blocks of geometric length that wrap around, the same ones for all trials, so that
-neither the correlation of trials nor the memory of a trial is lost. A replicate needs only how often it draws
-each bar. Two ways, with the same result up to the draws: `draws` in DataFrame windows, for any number
-of bars and trials; or numpy for each replicate, where the matrix of returns is small enough to send to every
-task (MOST_CELLS numbers).
+neither the correlation of trials nor the memory of a trial is lost. Where a block begins, and at which bar, is read
+off the MD5 of the seed, the replicate and the place: `draws` says so in DataFrame windows, and `times_drawn` walks through
+a replicate in a task; both draw the same bars.
+
+A replicate needs only how often it draws each bar. Sums over what is drawn are then a product of two matrices, counts
+(replicates by bars) and returns (bars by trials), taken in blocks: a task holds REPLICATES counts of BARS bars and
+the returns of those bars, whatever the number of bars and replicates.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.operators.audit import TIE_DIGITS, numbered
+from quantloom.operators.audit import BARS, TIE_DIGITS, numbered, returns_matrix, trial_moments
 
-MOST_CELLS = 16_000_000
+REPLICATES = 512
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -27,14 +31,13 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def draws(axis: DataFrame, n_bars: int, n_boot: int, mean_block: float, seed: int) -> DataFrame:
+def draws(spark: SparkSession, n_bars: int, n_boot: int, mean_block: float, seed: int) -> DataFrame:
     """b, t, source: which bar replicate b has at place t.
 
     A block begins at place 0 and wherever a coin says so; the last beginning at or before a place
     (a running maximum) and the bar drawn there give the place's bar.
     """
-    replicates = axis.sparkSession.range(n_boot).select(F.col("id").alias("b"))
-    every = replicates.crossJoin(axis.select("t").distinct())
+    every = spark.range(n_boot if n_bars else 0).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bars - 1).cast("long"))).alias("t"))
     begins = (F.col("t") == 0) | (uniform(F.lit(seed), "b", "t", F.lit("block")) < 1.0 / max(mean_block, 1.0))
     start = F.floor(uniform(F.lit(seed), "b", "t", F.lit("start")) * n_bars)
     marked = every.withColumn("begun", F.when(begins, F.struct("t", start.alias("start"))))
@@ -43,61 +46,69 @@ def draws(axis: DataFrame, n_bars: int, n_boot: int, mean_block: float, seed: in
     return last.select("b", "t", ((F.col("last.start") + F.col("t") - F.col("last.t")) % n_bars).alias("source"))
 
 
-def null_sharpes(series: DataFrame, n_boot: int, mean_block: float, seed: int = 0) -> DataFrame:
-    """b, trial, sharpe (per bar) under the null, by windows and joins alone."""
-    bars = numbered(series)
-    n = bars.agg(F.max("t") + 1).first()[0] or 0
-    stats = bars.groupBy("trial").agg(F.avg("net").alias("mean"), F.stddev_samp("net").alias("sd"))
-    counts = draws(bars, n, n_boot, mean_block, seed).groupBy("b", "source").agg(F.count(F.lit(1)).alias("times"))
-    drawn = counts.join(bars.withColumnRenamed("t", "source"), "source").groupBy("b", "trial").agg((F.sum(F.col("net") * F.col("times")) / n).alias("drawn"))
-    ratio = F.when(F.col("sd") > 0, (F.col("drawn") - F.col("mean")) / F.col("sd")).otherwise(0.0)
-    return drawn.join(F.broadcast(stats), "trial").select("b", "trial", F.round(ratio, TIE_DIGITS).alias("sharpe"))
+def times_drawn(b: int, n_bars: int, mean_block: float, seed: int) -> np.ndarray:
+    """How often replicate b draws each bar."""
+    def number(t: int, what: str) -> float:
+        return (int.from_bytes(hashlib.md5(f"{seed}:{b}:{t}:{what}".encode()).digest()[:7], "big") >> 4) / (1 << 52)
 
+    rate = 1.0 / max(mean_block, 1.0)
+    at = np.array([t for t in range(n_bars) if not t or number(t, "block") < rate], np.int64)
+    start = np.array([int(number(t, "start") * n_bars) for t in at.tolist()], np.int64)
+    source = np.repeat(start - at, np.diff(np.append(at, n_bars))) + np.arange(n_bars)
+    return np.bincount(source % n_bars, minlength=n_bars)
 
-def stationary_sources(n: int, mean_block: float, rng: np.random.Generator) -> np.ndarray:
-    """The bars of one replicate."""
-    begins = rng.random(n) < 1.0 / max(mean_block, 1.0)
-    begins[0] = True
-    start = rng.integers(0, n, n)
-    at = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
-    return (start[at] + np.arange(n) - at) % n
 
+def drawn_counts(spark: SparkSession, n_bars: int, n_boot: int, mean_block: float, seed: int) -> DataFrame:
+    """bars, replicates (numbers of blocks), b, times: the counts of a replicate, BARS bars a row."""
 
-def resampled(matrix: np.ndarray, sources: np.ndarray) -> np.ndarray:
-    """Null Sharpe ratios, one a column, of the rows drawn."""
-    sd = matrix.std(0, ddof=1)
-    drawn = np.bincount(sources, minlength=len(matrix)) @ matrix / len(matrix)
-    return np.where(sd > 0, (drawn - matrix.mean(0)) / np.where(sd > 0, sd, 1.0), 0.0)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch["b"].to_pylist():
+                times = times_drawn(b, n_bars, mean_block, seed).astype(np.int32)
+                parts = [times[at : at + BARS] for at in range(0, n_bars, BARS)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(parts)), pa.int64()), pa.array([b // REPLICATES] * len(parts), pa.int64()), pa.array([b] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.int32()))],
+                    ["bars", "replicates", "b", "times"],
+                )
 
+    # A replicate is work of its own, so there are many tasks of few.
+    dealt = spark.range(0, n_boot if n_bars else 0, 1, max(1, n_boot // 16))
+    return dealt.select(F.col("id").alias("b")).mapInArrow(walk, "bars long, replicates long, b long, times array<int>")
 
-def null_best(series: DataFrame, n_boot: int, mean_block: float, seed: int = 0, most_cells: int = MOST_CELLS) -> DataFrame:
-    """b, best, s, ss: the best null Sharpe ratio of each replicate, and the sum and sum of squares of all.
 
-    A replicate has its own seed, so results do not depend on how replicates are dealt to tasks.
-    """
+def null_sharpes(series: DataFrame, n_boot: int, mean_block: float, seed: int = 0) -> DataFrame:
+    """b, trial, sharpe (per bar) under the null. series is read twice."""
     bars = numbered(series)
-    shape = bars.agg(F.countDistinct("t").alias("n"), F.countDistinct("trial").alias("k")).first()
-    if shape["n"] * shape["k"] > most_cells:
-        sharpes = null_sharpes(series, n_boot, mean_block, seed)
-        return sharpes.groupBy("b").agg(F.max("sharpe").alias("best"), F.sum("sharpe").alias("s"), F.sum(F.col("sharpe") * F.col("sharpe")).alias("ss"))
-    trials = sorted(r[0] for r in series.select("trial").distinct().collect())
-    wide = bars.groupBy("t").pivot("trial", trials).agg(F.first("net")).orderBy("t").drop("t")
-    spark = series.sparkSession
-    held = spark.sparkContext.broadcast(wide.toPandas().to_numpy(np.float64))
-
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix = held.value
-        for batch in batches:
-            found = [resampled(matrix, stationary_sources(len(matrix), mean_block, np.random.default_rng([seed, b]))) for b in batch["b"]]
-            yield pd.DataFrame({"b": batch["b"], "best": [f.max() for f in found], "s": [f.sum() for f in found], "ss": [(f * f).sum() for f in found]})
+    n = bars.agg(F.max("n_bars")).first()[0] or 0
+    blocks = max(1, -(-n_boot // REPLICATES))
+    copies = bars.withColumn("replicates", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    copies = copies.select(F.floor(F.col("t") / BARS).alias("bars"), "replicates", "t", "n_bars", "trial", "net")
+
+    def product(counts: pa.Table, returns: pa.Table) -> pa.Table:
+        names, sums, b = np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0, np.int64)
+        if counts.num_rows and returns.num_rows:
+            names, matrix = returns_matrix(returns)
+            b = np.asarray(counts["b"])
+            sums = np.asarray(counts["times"].combine_chunks().flatten()).reshape(len(b), len(matrix)).astype(float) @ matrix
+        return pa.table({"b": np.repeat(b, len(names)), "trial": np.tile(names, len(b)).astype(np.int64), "drawn": sums.ravel()})
+
+    both = drawn_counts(series.sparkSession, n, n_boot, mean_block, seed).groupBy("bars", "replicates").cogroup(copies.groupBy("bars", "replicates"))
+    drawn = both.applyInArrow(product, "b long, trial long, drawn double").groupBy("b", "trial").agg((F.sum("drawn") / n).alias("drawn"))
+    ratio = F.when(F.col("sd") > 0, (F.col("drawn") - F.col("mean")) / F.col("sd")).otherwise(0.0)
+    found = drawn.join(trial_moments(bars), "trial")
+    return found.select("b", F.col("trial").cast(series.schema["trial"].dataType).alias("trial"), F.round(ratio, TIE_DIGITS).alias("sharpe"))
+
 
-    return spark.range(n_boot).select(F.col("id").alias("b")).mapInPandas(per_batch, "b long, best double, s double, ss double")
+def null_best(series: DataFrame, n_boot: int, mean_block: float, seed: int = 0) -> DataFrame:
+    """b, best, s, ss: the best null Sharpe ratio of each replicate, and the sum and sum of squares of all."""
+    sharpes = null_sharpes(series, n_boot, mean_block, seed)
+    return sharpes.groupBy("b").agg(F.max("sharpe").alias("best"), F.sum("sharpe").alias("s"), F.sum(F.col("sharpe") * F.col("sharpe")).alias("ss"))
 
 
 def observed_best(series: DataFrame) -> DataFrame:
     """trial, sharpe (per bar, 0 for a constant series)."""
-    spread = F.stddev_samp("net")
-    return numbered(series).groupBy("trial").agg(F.round(F.coalesce(F.when(spread > 0, F.avg("net") / spread), F.lit(0.0)), TIE_DIGITS).alias("sharpe"))
+    ratio = F.when(F.col("sd") > 0, F.col("mean") / F.col("sd")).otherwise(0.0)
+    return trial_moments(numbered(series)).select("trial", F.round(ratio, TIE_DIGITS).alias("sharpe"))
 
 
 def reality_check(best: DataFrame, observed: DataFrame, n_trials: int) -> DataFrame:
@@ -105,7 +116,7 @@ def reality_check(best: DataFrame, observed: DataFrame, n_trials: int) -> DataFr
     top = observed.agg(F.max("sharpe").alias("statistic"))
     n = F.count(F.lit(1)) * n_trials
     spread = F.sqrt(F.greatest(F.sum("ss") / n - F.pow(F.sum("s") / n, 2), F.lit(0.0)))
-    return best.crossJoin(F.broadcast(top)).agg(
+    return best.crossJoin(F.broadcast(top)).agg(  # top is one row
         F.avg((F.round("best", TIE_DIGITS) >= F.col("statistic")).cast("double")).alias("p_value"), F.max("statistic").alias("statistic"),
         F.avg("best").alias("mean_best"), F.percentile("best", 0.95).alias("q95"), spread.alias("null_sd"),
     )

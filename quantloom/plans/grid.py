@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from quantloom.functions.signals import FIELDS, OPERATIONS
 from quantloom.plans.expressions import Call, Expression, as_expression
 
 
-def column_name(node: Expression) -> str:
+def column_name(node: Expression | Column) -> str:
     return "x_" + hashlib.md5(str(node).encode()).hexdigest()[:12]
 
 
@@ -23,9 +23,12 @@ def depth(node: Expression) -> int:
     return 1 + depth(node.of) if isinstance(node, Call) else 0
 
 
-def with_signals(panel: DataFrame, expressions: list[str | Expression]) -> tuple[DataFrame, list[str]]:
-    """panel with a column for every expression, and the columns' names in the order asked for."""
-    wanted = [as_expression(e) for e in expressions]
+def with_signals(panel: DataFrame, expressions: list[str | Expression | Column]) -> tuple[DataFrame, list[str]]:
+    """panel with a column for every expression, and the columns' names in the order asked for.
+
+    A Column is a signal as it is: whatever DataFrame functions can say of the panel.
+    """
+    wanted = [e if isinstance(e, Column) else as_expression(e) for e in expressions]
     nodes: dict[str, Expression] = {}
 
     def gather(node: Expression) -> None:
@@ -34,8 +37,9 @@ def with_signals(panel: DataFrame, expressions: list[str | Expression]) -> tuple
         nodes.setdefault(column_name(node), node)
 
     for node in wanted:
-        gather(node)
-    done = panel
+        if not isinstance(node, Column):
+            gather(node)
+    done = panel.withColumns({column_name(c): c for c in wanted if isinstance(c, Column)})
     for step in sorted({depth(n) for n in nodes.values()}):
         added = {}
         for name, node in nodes.items():

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.operators import audit, bootstrap
-from quantloom.operators.backtest import Trial, WalkForward, equity, fold_sharpes, folds, metrics, trial_series, with_weights
+from quantloom.operators.backtest import Trial, WalkForward, equity, fold_sharpes, folds, metrics, trial_series, trial_table, with_weights
 from quantloom.operators.features import asof_join, feature_panel, gap_free
 from quantloom.operators.universe import UniverseRules, universe
 from quantloom.plans.grid import with_signals
@@ -27,7 +27,8 @@ TRIALS = [
     )
 ]
 WALK = WalkForward(n_splits=3)
-BLOCKS, BOOT, MEAN_BLOCK, SEED = 6, 20, 12.0, 3
+#: As runs have them; places of draws are shown for the first DRAWN replicates.
+BLOCKS, BOOT, MEAN_BLOCK, SEED, DRAWN = 10, 2000, 48.0, 3, 20
 
 
 def r(x: Column | str, digits: int = 8) -> Column:
@@ -272,10 +273,12 @@ for _name, (_text, _expected) in _OPERATIONS.items():
 # --- weights, returns, metrics, folds ---
 
 
-@query("SELECT symbol, ts, round(w, 8) + 0.0 AS w FROM weighted WHERE trial = 0", *_UP_TO_SERIES)
+@query("SELECT trial, symbol, ts, round(w, 8) + 0.0 AS w FROM weighted", *_UP_TO_SERIES)
 def weights(spark, sf_dir):
-    found, (column,) = with_signals(panel(spark, sf_dir), [TRIALS[0].expression])
-    return with_weights(found, {"w": (column, TRIALS[0].rebalance_every_h)}).select("symbol", "ts", r("w").alias("w"))
+    found, columns = with_signals(panel(spark, sf_dir), [t.expression for t in TRIALS])
+    weighted = with_weights(found, {f"w{t.number}": (c, t.rebalance_every_h) for t, c in zip(TRIALS, columns, strict=True)})
+    rows = F.array(*[F.struct(F.lit(t.number).alias("trial"), r(f"w{t.number}").alias("w")) for t in TRIALS])
+    return weighted.select("symbol", "ts", F.inline(rows))
 
 
 @query(f"SELECT trial, ts, {_sql_round('gross turnover gross_exposure net')} FROM series", *_UP_TO_SERIES)
@@ -302,10 +305,13 @@ def drawdown(spark, sf_dir):
     return equity(series(spark, sf_dir)).groupBy("trial").agg(fall.alias("max_drawdown")).select("trial", signed_log("max_drawdown").alias("max_drawdown"))
 
 
-@query(f"""SELECT trial, count(*) AS n_bars, round(avg(net) / nullif(stddev_samp(net), 0) * {_ANN}, 6) + 0.0 AS sharpe, round(avg(gross) / nullif(stddev_samp(gross), 0) * {_ANN}, 6) + 0.0 AS gross_sharpe,
+_METRICS = f"""SELECT trial, count(*) AS n_bars, round(avg(net) / nullif(stddev_samp(net), 0) * {_ANN}, 6) + 0.0 AS sharpe, round(avg(gross) / nullif(stddev_samp(gross), 0) * {_ANN}, 6) + 0.0 AS gross_sharpe,
   round(avg(net) * 8760, 6) + 0.0 AS ann_return, round(stddev_samp(net) * {_ANN}, 6) + 0.0 AS ann_vol, round(min((equity - peak) / nullif(peak, 0)), 6) + 0.0 AS max_drawdown,
   round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS hit_rate, round(CASE WHEN avg(turnover) > 0 THEN avg(gross) / avg(turnover) * 1e4 END, 6) + 0.0 AS break_even_bps,
-  round(avg(turnover) * any_value(every), 6) + 0.0 AS turnover_per_rebal FROM peaks JOIN trials USING (trial) GROUP BY 1""", *_UP_TO_SERIES, _CURVE)
+  round(avg(turnover) * any_value(every), 6) + 0.0 AS turnover_per_rebal FROM peaks JOIN trials USING (trial) GROUP BY 1"""
+
+
+@query(_METRICS, *_UP_TO_SERIES, _CURVE)
 def trial_metrics(spark, sf_dir):
     return rounded(metrics(series(spark, sf_dir), {t.number: t.rebalance_every_h for t in TRIALS}), 6)
 
@@ -329,6 +335,17 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold_sharpes(spark, sf_dir).groupBy("trial").agg(F.avg("is_sharpe").alias("is_sharpe"), F.avg("oos_sharpe").alias("oos_sharpe"))
 
 
+@query(f"""SELECT m.trial, t.expr, t.every AS rebalance_every_h, {COST} + 0.0 AS cost_bps, n_bars, sharpe, gross_sharpe, ann_return, ann_vol, max_drawdown, hit_rate, turnover_per_rebal, break_even_bps, folds,
+  round(r.is_sharpe, 6) + 0.0 AS is_sharpe, round(r.oos_sharpe, 6) + 0.0 AS oos_sharpe
+  FROM ({_METRICS}) m JOIN (VALUES {', '.join(f"({t.number}, '{t.expression}', {t.rebalance_every_h})" for t in TRIALS)}) t(trial, expr, every) USING (trial) LEFT JOIN ranked r USING (trial)
+  LEFT JOIN (SELECT trial, string_agg(fold || ':' || coalesce(printf('%.4f', round(is_sharpe, 4) + 0.0), 'null') || ':' || coalesce(printf('%.4f', round(oos_sharpe, 4) + 0.0), 'null'), ' ' ORDER BY fold) AS folds FROM fold_sharpes GROUP BY 1) USING (trial)""", *_UP_TO_FOLDS, _CURVE)
+def trial_results(spark, sf_dir):
+    """The whole table of trials; nested folds are shown as text."""
+    found = trial_table(series(spark, sf_dir), TRIALS, WALK)
+    fold = F.transform("folds", lambda f: F.format_string("%d:%.4f:%.4f", f["fold"], r(f["is_sharpe"], 4), r(f["oos_sharpe"], 4)))
+    return rounded(found.withColumn("folds", F.array_join(fold, " ")), 6)
+
+
 @query("SELECT trial, CAST(row_number() OVER (ORDER BY round(is_sharpe, 9) DESC NULLS LAST, trial) AS INTEGER) AS place, round(is_sharpe, 6) + 0.0 AS is_sharpe FROM ranked", *_UP_TO_FOLDS)
 def trial_rank(spark, sf_dir):
     place = F.row_number().over(Window.orderBy(F.desc_nulls_last(F.round("is_sharpe", 9)), "trial"))
@@ -399,10 +416,17 @@ def market_factor(spark, sf_dir):
     return rounded(audit.factor_model(panel(spark, sf_dir)), 7)
 
 
-@query("SELECT b, t, source FROM draws", *_UP_TO_SERIES, _AXIS, _DRAWS)
+@query(f"SELECT b, t, source FROM draws WHERE b < {DRAWN}", *_UP_TO_SERIES, _AXIS, _DRAWS)
 def bootstrap_draws(spark, sf_dir):
-    bars = audit.numbered(series(spark, sf_dir))
-    return bootstrap.draws(bars, bars.agg(F.max("t") + 1).first()[0] or 0, BOOT, MEAN_BLOCK, SEED)
+    n = series(spark, sf_dir).select("ts").distinct().count()
+    return bootstrap.draws(spark, n, DRAWN, MEAN_BLOCK, SEED)
+
+
+@query("SELECT b, source, count(*) AS times FROM draws GROUP BY 1, 2", *_UP_TO_SERIES, _AXIS, _DRAWS)
+def bootstrap_counts(spark, sf_dir):
+    n = series(spark, sf_dir).select("ts").distinct().count()
+    counts = bootstrap.drawn_counts(spark, n, BOOT, MEAN_BLOCK, SEED).select("b", "bars", F.posexplode("times").alias("at", "times"))
+    return counts.where("times > 0").select("b", (F.col("bars") * audit.BARS + F.col("at")).alias("source"), F.col("times").cast("long").alias("times"))
 
 
 @query("SELECT b, trial, round(sharpe, 8) + 0.0 AS sharpe FROM nulls", *_UP_TO_SERIES, _AXIS, _NUMBERED, _DRAWS, _NULLS)
@@ -415,7 +439,7 @@ def bootstrap_null_sharpes(spark, sf_dir):
   FROM (SELECT b, max(sharpe) AS best, sum(sharpe) AS s, sum(sharpe * sharpe) AS ss FROM nulls GROUP BY 1), (SELECT max(round(coalesce(mean / nullif(sd, 0), 0), 12)) AS statistic FROM stats)""", *_UP_TO_SERIES, _AXIS, _NUMBERED, _DRAWS, _NULLS)
 def reality_check(spark, sf_dir):
     found = series(spark, sf_dir)
-    best = bootstrap.null_best(found, BOOT, MEAN_BLOCK, SEED, most_cells=0)
+    best = bootstrap.null_best(found, BOOT, MEAN_BLOCK, SEED)
     return rounded(bootstrap.reality_check(best, bootstrap.observed_best(found), len(TRIALS)))
 
 
