@@ -55,3 +55,11 @@ def universe(panel: DataFrame, rules: UniverseRules = UniverseRules()) -> DataFr
     rank = F.row_number().over(Window.partitionBy("ts").orderBy(F.desc("adv_usd"), "symbol"))
     ranked = eligible.withColumn("rank", rank.cast("int")).where(F.col("rank") <= rules.max_symbols)
     return ranked.select(F.col("ts").alias("asof"), "symbol", "adv_usd", "history_h", "coverage_24h", "rank")
+
+
+def last_rebalance(chosen: DataFrame, n: int = 5) -> DataFrame:
+    """asof, size, top: who was chosen last, the first n by rank; one row, none of an empty universe."""
+    latest = F.max_by(F.col("members"), F.col("asof"))
+    by_bar = chosen.groupBy("asof").agg(F.array_sort(F.collect_list(F.struct("rank", "symbol"))).alias("members"))  # max_symbols at most
+    row = by_bar.agg(F.max("asof").alias("asof"), latest.alias("members")).where("asof is not null")
+    return row.select("asof", F.size("members").alias("size"), F.transform(F.slice("members", 1, n), lambda m: m["symbol"]).alias("top"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import functools
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 
@@ -13,65 +13,103 @@ from pyspark.sql import functions as F
 
 from quantloom.operators.bars import bars
 
-#: Columns of a raw minute bar, by position.
+#: Columns of a raw minute bar, by position.
 RAW_COLUMNS = (
     "open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote", "ignore",
 )
+#: Columns of a stored panel.
+PANEL = "symbol string, ts timestamp, open double, high double, low double, close double, volume double, quote_volume double, trades long, taker_buy_quote double, n_minutes int"
 _WHOLE = ("open_time", "close_time", "trades")
-MINUTES = "symbol string, ts timestamp, seq long, " + ", ".join(f"{c} {'long' if c in _WHOLE else 'double'}" for c in RAW_COLUMNS)
-#: Times of open above this are microseconds, others milliseconds; a file is of one kind.
+MINUTES = "symbol string, month string, ts timestamp, seq long, " + ", ".join(f"{c} {'long' if c in _WHOLE else 'double'}" for c in RAW_COLUMNS)
+#: Fixed value: times of open above this are microseconds, others milliseconds; a file is of one kind.
 MICROS_FROM = 10**14
-_SYMBOL = re.compile(r"(?:symbol=)?([^/=]+?)(?:-1[mh].*)?/[^/]*$")
+#: Symbol (the folder, or its partition) and month (in the name, else the name itself) of an archive's path.
+_NAMES = (r"(?:symbol=)?([^/=]+)/[^/]*$", r"(\d{4}-\d{2})[^/]*$", r"([^/]+)\.[^/.]*$")
 
 
-def read_minutes(spark: SparkSession, path: str) -> DataFrame:
-    """Minute bars of all zip files below path: symbol (the folder's name), ts, seq (line), RAW_COLUMNS.
+def zipped(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, month, modified, content of all zip files below path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    symbol, month, name = (F.regexp_extract("path", pattern, 1) for pattern in _NAMES)
+    return files.select(symbol.alias("symbol"), F.when(month != "", month).otherwise(name).alias("month"), F.col("modificationTime").alias("modified"), "content")
+
 
-    Files are read by Spark, unpacked and parsed one at a time in tasks; a header line is passed over.
+def minutes(archives: DataFrame) -> DataFrame:
+    """Minute bars of archives: symbol, month, ts, seq (line), RAW_COLUMNS.
+
+    Archives are unpacked and parsed one at a time in tasks; a header line is passed over.
     """
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path_, content in zip(batch["path"], batch["content"], strict=True):
+            for symbol, month, content in zip(batch["symbol"], batch["month"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(archive.namelist()[0]) as file:
                     raw = file.read()
-                rows = pd.read_csv(io.BytesIO(raw), header=None, names=list(RAW_COLUMNS), skiprows=1 if raw[:9] == b"open_time" else 0)
+                rows = pd.read_csv(io.BytesIO(raw), header=None, names=list(RAW_COLUMNS), skiprows=1 if raw[:9].lower() == b"open_time" else 0)
                 if rows.empty:
                     continue
                 unit = "us" if rows["open_time"].iloc[0] > MICROS_FROM else "ms"
                 rows.insert(0, "seq", range(len(rows)))
                 rows.insert(0, "ts", pd.to_datetime(rows["open_time"], unit=unit))
-                rows.insert(0, "symbol", _SYMBOL.search(path_)[1])
+                rows.insert(0, "month", month)
+                rows.insert(0, "symbol", symbol)
                 yield rows.astype({c: "int64" if c in _WHOLE else "float64" for c in RAW_COLUMNS})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(parsed, MINUTES)
+    return archives.select("symbol", "month", "content").mapInPandas(parsed, MINUTES)
 
 
-def hourly(minutes: DataFrame) -> DataFrame:
-    return bars(minutes, "hour")
+def read_minutes(spark: SparkSession, *paths: str) -> DataFrame:
+    """Minute bars of all zip files below the paths."""
+    return minutes(functools.reduce(DataFrame.unionByName, (zipped(spark, p) for p in paths)))
+
+
+def hourly(ticks: DataFrame) -> DataFrame:
+    """Hourly bars; with ticks of archives, an archive's bars say of which month it is."""
+    return bars(ticks, "hour", ("symbol", "month") if "month" in ticks.columns else ("symbol",))
 
 
 def write_panel(panel: DataFrame, path: str) -> None:
-    """One folder a symbol; symbols that are written again replace what was there, others stay."""
-    panel.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("symbol").parquet(path)
+    """A folder for each symbol and month (that of the archive, else of ts); those that are written again are replaced, others stay."""
+    if "month" not in panel.columns:
+        panel = panel.withColumn("month", F.date_format("ts", "yyyy-MM"))
+    dealt = panel.repartition("symbol", "month")  # one file a folder
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("symbol", "month").parquet(path)
 
 
 def read_panel(spark: SparkSession, path: str, symbols: list[str] | None = None) -> DataFrame:
     """A stored panel; asking for symbols reads their folders only."""
-    panel = spark.read.parquet(path)
+    panel = spark.read.option("mergeSchema", "false").schema(PANEL + ", month string").parquet(path).drop("month")
     return panel.where(F.col("symbol").isin(symbols)) if symbols else panel
 
 
-def outdated(spark: SparkSession, sources: str, built: str) -> DataFrame:
-    """path of the source files that are newer than every file built from their symbol, or have none."""
-    def listed(path: str) -> DataFrame:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        return files.select("path", "modificationTime", F.regexp_extract("path", r"(?:symbol=)?([^/=]+)/[^/]*$", 1).alias("symbol"))
-
-    done = listed(built).groupBy("symbol").agg(F.max("modificationTime").alias("built"))
-    found = listed(sources).join(done, "symbol", "left")
-    return found.where(F.col("built").isNull() | (F.col("modificationTime") > F.col("built"))).select("path")
+def built_months(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, month, built (when its files were written, the oldest) of a stored panel; none where there is no panel yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "symbol string, month string, built timestamp")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    # Names of folders are quoted as in a URL, and so is the path that is read.
+    symbol, month = (F.url_decode(F.url_decode(F.regexp_extract("path", pattern, 1))) for pattern in (r"/symbol=([^/]+)/", r"/month=([^/]+)/"))
+    return files.groupBy(symbol.alias("symbol"), month.alias("month")).agg(F.min("modificationTime").alias("built"))
+
+
+def outdated(archives: DataFrame, built: DataFrame) -> DataFrame:
+    """The archives whose month has not been built or is newer than what was."""
+    found = archives.join(built, ["symbol", "month"], "left")
+    return found.where(F.col("built").isNull() | (F.col("modified") > F.col("built"))).select(archives.columns)
+
+
+def ingest(archives: DataFrame, path: str) -> int:
+    """Builds the months of a panel that are missing or older than their archive, and no others; returns how many."""
+    spark = archives.sparkSession
+    # Of a month that was fetched twice, the later archive.
+    latest = archives.groupBy("symbol", "month").agg(F.max("modified").alias("modified"))
+    todo = outdated(latest, built_months(spark, path)).select("symbol", "month", "modified").collect()  # names only
+    if todo:
+        wanted = spark.createDataFrame(todo, "symbol string, month string, modified timestamp")
+        once = archives.join(wanted, ["symbol", "month", "modified"]).groupBy("symbol", "month").agg(F.any_value("content").alias("content"))
+        write_panel(hourly(minutes(once)), path)
+    return len(todo)
 
 
 def event_ticks(events: DataFrame) -> DataFrame:

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.operators.bars import aggregates
+
+COLUMNS = ("open", "high", "low", "close", "volume", "quote_volume", "trades", "taker_buy_quote", "n_minutes")
 
 def streaming_bars(ticks: DataFrame, late: str = "2 hours", bucket: str = "1 hour") -> DataFrame:
     """Bars of a streaming table of ticks; a bar is final, and its state dropped, `late` after its end.
 
-    The same aggregates as the batch operator's, over an event-time window behind a watermark.
+    The batch operator's aggregates, over an event-time window behind a watermark.
     """
-    at = F.struct("ts", "seq")
     grouped = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", bucket).alias("span"))
-    return grouped.agg(
-        F.min_by("open", at).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", at).alias("close"),
-        F.sum("quote_volume").cast("double").alias("quote_volume"), F.count(F.lit(1)).alias("trades"),
-    ).select("symbol", F.col("span.start").alias("ts"), "open", "high", "low", "close", "quote_volume", "trades")
+    return grouped.agg(*aggregates()).withColumn("ts", F.col("span.start")).select("symbol", "ts", *COLUMNS)
