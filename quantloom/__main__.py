@@ -1,4 +1,4 @@
-"""Command line: python -m quantloom ingest | preview | run | runs | show | delete | export | null-test.
+"""Command line: python -m quantloom download | ingest | preview | run | runs | show | delete | export | null-test.
 
 A thin layer over the library; `spark-submit` sets the cluster.
 """
@@ -9,12 +9,19 @@ import argparse
 import json
 import sys
 
-from quantloom.operators.universe import universe
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from quantloom.operators.universe import last_rebalance, universe
 from quantloom.plans import runs
 from quantloom.session import session
-from quantloom.sources.bars import hourly, read_minutes, read_panel, write_panel
+from quantloom.sources import archive
+from quantloom.sources.bars import ingest, read_panel, zipped
 from quantloom.sources.simulated import calibrated, null_panel
 
+#: Fixed by the archive: the folder that symbols are listed below.
+KLINES = "data/spot/monthly/klines/"
+
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quantloom", description=__doc__.splitlines()[0])
@@ -26,7 +33,13 @@ def parser() -> argparse.ArgumentParser:
             made.add_argument(n)
         return made
 
-    command("ingest", "archive", "panel").add_argument("--universe", help="also write the universe there")
+    fetched = command("download", "base", "archive", "months")
+    fetched.add_argument("--symbols", nargs="*", help="else all that the listing has")
+    fetched.add_argument("--listing", help="address of the listing of the archive")
+    built = command("ingest", "archive", "panel")
+    built.add_argument("--universe", help="also write the universe there")
+    built.add_argument("--zips", action="store_true", help="archive is a folder of zip files, not a table of downloads")
+    built.add_argument("--manifest", help="a store to write manifest.json to")
     command("preview", "spec")
     command("run", "store", "panel", "spec").add_argument("--symbols", nargs="*")
     command("runs", "store")
@@ -45,17 +58,43 @@ def spec_of(text: str) -> dict:
         return json.load(file)
 
 
+def download(spark: SparkSession, asked: argparse.Namespace) -> int:
+    """Months are given as 2023-12,2024-01; a month that cannot be reached does not end the others."""
+    symbols = asked.symbols or archive.listed_symbols(asked.listing or asked.base, KLINES)
+    pairs = [(s, m) for s in symbols for m in asked.months.split(",")]
+    outcomes = archive.download(spark.createDataFrame(pairs, "symbol string, month string"), asked.base, asked.archive)
+    found = {r["outcome"]: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
+    print(json.dumps({"symbols": len(symbols), "months": asked.months.split(","), "outcomes": found}, indent=1))
+    return int(bool(found.keys() & {archive.LATER, archive.REFUSED}))
+
+
+def build(spark: SparkSession, asked: argparse.Namespace) -> int:
+    archives = zipped(spark, asked.archive) if asked.zips else archive.archived(spark, asked.archive)
+    rebuilt = ingest(archives, asked.panel)
+    panel = read_panel(spark, asked.panel)
+    size = panel.agg(F.count(F.lit(1)).alias("bars"), F.countDistinct("symbol").alias("symbols"), F.min("ts").alias("start"), F.max("ts").alias("end")).first()
+    manifest = {"archives": archives.count(), "months_rebuilt": rebuilt, **size.asDict()}
+    if asked.universe:
+        universe(panel).write.mode("overwrite").option("compression", "zstd").parquet(asked.universe)
+        chosen = spark.read.parquet(asked.universe)
+        last = last_rebalance(chosen).first()
+        manifest |= {"universe_rows": chosen.count(), "last_rebalance": last.asDict() if last else None}
+    if asked.manifest:
+        runs.ResultStore(spark, asked.manifest).put_json("manifest.json", manifest)
+    print(json.dumps(manifest, indent=1, default=str))
+    return 0
+
+
 def main(arguments: list[str] | None = None) -> int:
     asked = parser().parse_args(arguments)
     if asked.command == "preview":
         print(json.dumps(runs.preview(spec_of(asked.spec)), indent=1))
         return 0
     spark = session()
+    if asked.command == "download":
+        return download(spark, asked)
     if asked.command == "ingest":
-        write_panel(hourly(read_minutes(spark, asked.archive)), asked.panel)
-        if asked.universe:
-            universe(read_panel(spark, asked.panel)).write.mode("overwrite").option("compression", "zstd").parquet(asked.universe)
-        return 0
+        return build(spark, asked)
     store = runs.ResultStore(spark, asked.store)
     if asked.command == "run":
         run = runs.create(store, runs.RunSpec.of(spec_of(asked.spec)))

@@ -8,15 +8,14 @@ from __future__ import annotations
 
 import json
 import math
-import os
+import posixpath
 import re
-import shutil
+import time
 import traceback
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +27,8 @@ from quantloom.operators.features import feature_panel
 from quantloom.operators.universe import UniverseRules, universe
 from quantloom.plans.expressions import expand, parse
 
-#: Version of the artefacts' layout; 0 is what was written before there were versions.
+#: Fixed values, with the bounds and defaults below, the order of trials and the keys of artefacts: a run's specification and its
+#: results can be read wherever such runs are known. Version of the artefacts' layout; 0 is what was written before there were versions.
 SCHEMA_VERSION = 4
 
 
@@ -111,44 +111,70 @@ class RunSpec:
 
 
 class ResultStore:
-    """Artefacts by key below a folder: JSON by the driver, tables by Spark."""
+    """Artefacts by key below a folder of any file system that Spark reaches: JSON through Hadoop's, tables by Spark."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root).resolve()
-
-    def path(self, key: str) -> Path:
-        found = (self.root / key).resolve()
-        if found == self.root or self.root not in found.parents:
+        self.spark = spark
+        fs = spark._jvm.org.apache.hadoop.fs
+        configuration, root_ = spark._jsc.hadoopConfiguration(), fs.Path(root)
+        self.files = root_.getFileSystem(configuration)
+        self.root = self.files.makeQualified(root_).toString().rstrip("/")
+        self.context = fs.FileContext.getFileContext(self.files.getUri(), configuration)
+
+    def path(self, key: str) -> str:
+        inner = posixpath.normpath(key)
+        if not key or inner in (".", "..") or inner.startswith(("../", "/")):
             raise ValueError(f"{key!r} is not below the store")
-        return found
+        return f"{self.root}/{inner}"
+
+    def _at(self, path: str):  # noqa: ANN202
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
     def put_json(self, key: str, value: object) -> None:
+        """The file appears whole, in the place of an older one."""
         to = self.path(key)
-        to.parent.mkdir(parents=True, exist_ok=True)
-        part = to.with_name(f".{to.name}.{uuid.uuid4().hex}.part")
-        part.write_text(json.dumps(value, indent=1, default=str))
-        os.replace(part, to)
+        part = f"{to}.{uuid.uuid4().hex}.part"
+        stream = self.files.create(self._at(part), True)
+        stream.write(bytearray(json.dumps(value, indent=1, default=str).encode()))
+        stream.close()
+        kind = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        self.context.rename(self._at(part), self._at(to), options)
 
     def get_json(self, key: str) -> dict:
-        return json.loads(self.path(key).read_text())
+        at = self._at(self.path(key))
+        if not self.files.exists(at):
+            raise KeyError(key)
+        stream = self.files.open(at)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def put_table(self, key: str, table: DataFrame, *by: str) -> DataFrame:
-        table.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(str(self.path(key)))
+        table.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(self.path(key))
         return self.get_table(key)
 
     def get_table(self, key: str) -> DataFrame:
-        return self.spark.read.parquet(str(self.path(key)))
+        return self.spark.read.parquet(self.path(key))
 
     def exists(self, key: str) -> bool:
-        return self.path(key).exists()
+        return self.files.exists(self._at(self.path(key)))
 
     def keys(self, name: str = "status.json") -> list[str]:
-        return sorted(str(p.relative_to(self.root)) for p in self.root.glob(f"*/{name}"))
+        found = self.files.globStatus(self._at(f"{self.root}/*/{name}")) or []
+        return sorted("/".join(f.getPath().toString().rsplit("/", 2)[1:]) for f in found)
 
     def delete(self, prefix: str) -> None:
-        at = self.path(prefix)
-        if at.exists():
-            shutil.rmtree(at)
+        self.files.delete(self._at(self.path(prefix)), True)
+
+    def copy(self, key: str, to: ResultStore) -> None:
+        """The artefact, a file or a table, in the place of what the other store has."""
+        configuration, util = self.spark._jsc.hadoopConfiguration(), self.spark._jvm.org.apache.hadoop.fs.FileUtil
+        to.delete(key)
+        to.files.mkdirs(to._at(posixpath.dirname(to.path(key))))
+        util.copy(self.files, self._at(self.path(key)), to.files, to._at(to.path(key)), False, configuration)
 
 
 def _now() -> str:
@@ -171,6 +197,13 @@ def execute(store: ResultStore, run: str, bars: DataFrame, **rules: float) -> di
         status.update(changes)
         store.put_json(f"{run}/status.json", status)
 
+    began, seconds = time.monotonic(), {}
+
+    def phase(name: str, **changes: object) -> None:
+        """The phase begins; the one before has taken until now."""
+        seconds[status["phase"]] = round(time.monotonic() - began - sum(seconds.values()), 3)
+        save(phase=name, **changes)
+
     save(state="running", phase="preparing", error=None, finished_at=None, n_done=0)
     try:
         limits = spec.universe.rules(**rules)
@@ -178,11 +211,13 @@ def execute(store: ResultStore, run: str, bars: DataFrame, **rules: float) -> di
         known = panel.agg(F.count(F.lit(1)).alias("n"), F.bool_or("in_universe").alias("any")).first()
         if known["n"] < 2 or not known["any"]:
             raise ValueError("nothing to trade in this universe: ask for less volume or history, or read more bars")
-        save(provenance=_row(audit.provenance(panel, limits.rebalance_every_h)), phase="trials")
+        phase("trials", provenance=_row(audit.provenance(panel, limits.rebalance_every_h)))
         series = store.put_table(f"{run}/series.parquet", trial_series(panel, spec.trials()))
-        save(n_done=len(spec.trials()), phase="audit")
+        phase("audit", n_done=len(spec.trials()))
         finalise(store, run, spec, series, status["provenance"])
-        save(state="done", phase="done", finished_at=_now())
+        phase("done", state="done", finished_at=_now())
+        context = store.spark.sparkContext
+        store.put_json(f"{run}/execution.json", {"run_id": run, "seconds": seconds, "application_id": context.applicationId, "spark_version": context.version, "parallelism": context.defaultParallelism})
     except Exception:  # noqa: BLE001  whatever it is, it is the run's outcome
         save(state="failed", phase="failed", error=traceback.format_exc(), finished_at=_now())
     return status
@@ -205,7 +240,7 @@ def finalise(store: ResultStore, run: str, spec: RunSpec, series: DataFrame, pro
     cloud = audit.cscv_cloud(series, spec.n_blocks)
     cloud = store.put_table(f"{run}/pbo_cloud.parquet", cloud.withColumns({"is_sharpe_ann": F.col("is_sharpe") * root, "oos_sharpe_ann": F.col("oos_sharpe") * root}))
     null = search_null(series, deflation, len(trials), spec.n_boot, spec.mean_block_h)
-    points = audit.cost_curve(own).orderBy("cost_bps").collect()
+    points = audit.cost_curve(own, tuple(sorted({*audit.COSTS_BPS, float(spec.cost_bps)}))).orderBy("cost_bps").collect()
     pbo = {**_row(audit.pbo_summary(cloud)), "n_trials": len(trials), "n_blocks": spec.n_blocks}
     report = {
         "schema_version": SCHEMA_VERSION, "run_id": run, "provenance": provenance, "universe": asdict(spec.universe), "winner": winner,
@@ -258,16 +293,24 @@ def delete(store: ResultStore, run: str) -> None:
     store.delete(run)
 
 
+#: Columns of trials.parquet that may order it.
+TRIAL_COLUMNS = ("trial", "expr", "rebalance_every_h", "cost_bps", "n_bars", "sharpe", "gross_sharpe", "ann_return", "ann_vol", "max_drawdown", "hit_rate", "turnover_per_rebal", "break_even_bps", "is_sharpe", "oos_sharpe")
+
+
+def trials(store: ResultStore, run: str, by: str = "is_sharpe", descending: bool = True) -> DataFrame:
+    """A run's table of trials in the order of a column; those without a value come last, ties by number."""
+    if by not in TRIAL_COLUMNS:
+        raise ValueError(f"{by!r} is none of {', '.join(TRIAL_COLUMNS)}")
+    return store.get_table(f"{run}/trials.parquet").orderBy((F.desc_nulls_last if descending else F.asc_nulls_last)(by), "trial")
+
+
 def export(store: ResultStore, to: str) -> list[str]:
     """Copies the served artefacts of finished runs; returns their ids."""
-    served, done = ("spec.json", "status.json", "audit.json", "trials.parquet", "pbo_cloud.parquet", "equity.parquet"), []
-    for status in runs(store):
-        if status["state"] == "done":
-            for name in served:
-                source, target = store.path(f"{status['run_id']}/{name}"), Path(to) / status["run_id"] / name
-                target.parent.mkdir(parents=True, exist_ok=True)
-                (shutil.copytree if source.is_dir() else shutil.copy2)(source, target)
-            done.append(status["run_id"])
+    served, target = ("spec.json", "status.json", "audit.json", "trials.parquet", "pbo_cloud.parquet", "equity.parquet"), ResultStore(store.spark, to)
+    done = [status["run_id"] for status in runs(store) if status["state"] == "done"]
+    for run in done:
+        for name in served:
+            store.copy(f"{run}/{name}", target)
     return done
 
 
