@@ -1,6 +1,9 @@
 """Runs from specification to artefacts, sources, streams, and every query against its SQL."""
 
+import http.client
 import io
+import os
+import time
 import urllib.error
 import zipfile
 from datetime import datetime, timedelta
@@ -8,12 +11,13 @@ from datetime import datetime, timedelta
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quantloom import queries
 from quantloom.plans import runs
 from quantloom.sources import archive
-from quantloom.sources.bars import RAW_COLUMNS, hourly, outdated, read_minutes, read_panel, write_panel
+from quantloom.sources.bars import RAW_COLUMNS, built_months, hourly, ingest, outdated, read_minutes, read_panel, write_panel, zipped
 from quantloom.sources.simulated import calibrated, null_panel, random_walks
 from quantloom.streaming.bars import streaming_bars
 
@@ -40,13 +44,20 @@ def test_a_run_leaves_an_audit(spark, bars, tmp_path):
     assert set(found) >= {"schema_version", "run_id", "provenance", "universe", "winner", "deflation", "pbo", "search_null", "cost_curve", "survives"}
     assert store.get_table(f"{run}/trials.parquet").count() == 4 and store.get_table(f"{run}/equity.parquet").columns == ["ts", "equity", "equity_gross"]
     assert runs.export(store, str(tmp_path / "out")) == [run]
+    exported = runs.ResultStore(spark, f"file://{tmp_path}/out")
+    assert exported.get_json(f"{run}/audit.json") == found and exported.get_table(f"{run}/trials.parquet").count() == 4
+    assert set(store.get_json(f"{run}/execution.json")["seconds"]) == {"preparing", "trials", "audit"}
+    by = [r["max_drawdown"] for r in runs.trials(store, run, "max_drawdown", descending=False).collect()]
+    assert by == sorted(by)
+    with pytest.raises(ValueError):
+        runs.trials(store, run, "folds")
     failed = runs.create(store, runs.RunSpec.of({**SMALL, "universe": {"min_adv_usd": 1e12}}))
     assert runs.execute(store, failed, bars)["state"] == "failed"
     runs.delete(store, run)
     assert not store.exists(f"{run}/status.json")
     with pytest.raises(KeyError):
         runs.delete(store, "nothing")
-    for bad in ("../x", ""):
+    for bad in ("../x", "", "a/../../x", "/x"):
         with pytest.raises(ValueError):
             store.path(bad)
 
@@ -72,7 +83,7 @@ def test_noise_does_not_survive(spark, bars, tmp_path):
     assert found["n_survived"] == 0
 
 
-def zipped(path, first, step, n, header):
+def zipped_file(path, first, step, n, header):
     path.parent.mkdir(parents=True, exist_ok=True)
     rows = [[first + k * step, 1.0 + k, 2.0 + k, 0.5, 1.5 + k, 3.0, first + k * step + 1, 10.0, 2, 1.0, 4.0, 0] for k in range(n)]
     text = (",".join(RAW_COLUMNS) + "\n" if header else "") + "\n".join(",".join(map(str, r)) for r in rows)
@@ -82,53 +93,95 @@ def zipped(path, first, step, n, header):
 
 def test_archives_become_hourly_bars(spark, tmp_path):
     raw = tmp_path / "raw"
-    zipped(raw / "AAA" / "AAA-1m-2024-01.zip", 1704067200000, 60_000, 90, True)
-    zipped(raw / "BBB" / "BBB-1m-2024-01.zip", 1704067200000000, 60_000_000, 60, False)
-    found = hourly(read_minutes(spark, str(raw)))
+    zipped_file(raw / "AAA" / "AAA-1m-2024-01.zip", 1704067200000, 60_000, 90, True)
+    zipped_file(raw / "BBB" / "BBB-1m-2024-01.zip", 1704067200000000, 60_000_000, 60, False)
+    found = hourly(read_minutes(spark, str(raw / "AAA"), str(raw / "BBB"))).drop("month")
     assert {(r["symbol"], r["ts"]): (r["n_minutes"], r["open"], r["close"], r["high"], r["low"], r["trades"]) for r in found.collect()} == {
         ("AAA", datetime(2024, 1, 1, 0)): (60, 1.0, 60.5, 61.0, 0.5, 120), ("AAA", datetime(2024, 1, 1, 1)): (30, 61.0, 90.5, 91.0, 0.5, 60), ("BBB", datetime(2024, 1, 1, 0)): (60, 1.0, 60.5, 61.0, 0.5, 120),
     }
-    silver = str(tmp_path / "silver")
-    write_panel(found.where("symbol = 'AAA'"), silver)
-    assert [r["path"].split("/")[-2] for r in outdated(spark, str(raw), silver).collect()] == ["BBB"]
-    write_panel(found.where("symbol = 'BBB'"), silver)
-    assert read_panel(spark, silver).count() == 3 and read_panel(spark, silver, ["AAA"]).count() == 2
 
 
-def test_fetching_tries_again_where_that_helps(monkeypatch):
-    waits, answers = [], []
+def test_ingest_builds_what_is_missing_or_newer_and_leaves_the_rest(spark, tmp_path):
+    raw, silver = tmp_path / "raw", str(tmp_path / "silver")
+    old = time.time() - 7200
+    for symbol, month, first in (("AAA", "2024-01", 1704067200000), ("BBB", "2024-01", 1704067200000), ("Ü=1", "2024-01", 1704067200000)):
+        zipped_file(raw / symbol / f"{symbol}-1m-{month}.zip", first, 60_000, 60, False)
+        os.utime(raw / symbol / f"{symbol}-1m-{month}.zip", (old, old))
+    archives = lambda: zipped(spark, str(raw))
+    assert ingest(archives(), silver) == 2 + 1 and ingest(archives(), silver) == 0
+    before = {(r["symbol"], r["month"]): r["built"] for r in built_months(spark, silver).collect()}
+    assert set(before) == {(r["symbol"], r["month"]) for r in archives().collect()}
+    # A month is added to a symbol, and a month of another one is changed.
+    zipped_file(raw / "AAA" / "AAA-1m-2024-02.zip", 1706745600000, 60_000, 120, True)
+    zipped_file(raw / "BBB" / "BBB-1m-2024-01.zip", 1704067200000, 60_000, 180, True)
+    later = time.time() + 5
+    for path in (raw / "AAA" / "AAA-1m-2024-02.zip", raw / "BBB" / "BBB-1m-2024-01.zip"):
+        os.utime(path, (later, later))
+    assert {(r["symbol"], r["month"]) for r in outdated(archives(), built_months(spark, silver)).collect()} == {("AAA", "2024-02"), ("BBB", "2024-01")}
+    assert ingest(archives(), silver) == 2
+    after = {(r["symbol"], r["month"]): r["built"] for r in built_months(spark, silver).collect()}
+    assert after["AAA", "2024-01"] == before["AAA", "2024-01"] and set(after) == {*before, ("AAA", "2024-02")}
+    panel = read_panel(spark, silver)
+    assert {(r["symbol"], r["ts"].month): r["count"] for r in panel.groupBy("symbol", F.date_trunc("month", "ts").alias("ts")).count().collect() if r["symbol"] in ("AAA", "BBB")} == {("AAA", 1): 1, ("AAA", 2): 2, ("BBB", 1): 3}
+    assert read_panel(spark, silver, ["AAA"]).count() == 3 and "month" not in panel.columns
+    rows = panel.where("symbol = 'BBB'").collect()
+    write_panel(spark.createDataFrame(rows, panel.schema), silver)  # a panel without archives has months by time
+    assert sorted(read_panel(spark, silver, ["BBB"]).collect()) == sorted(rows) and read_panel(spark, silver).count() == 3 + 3 + 1
+
+
+def test_fetching_asks_again_where_that_helps(monkeypatch):
+    waits, answers, asked = [], [], []
 
     def opened(url, timeout):
+        asked.append(url)
         answer = answers.pop(0)
         if isinstance(answer, Exception):
             raise answer
         return io.BytesIO(answer)
 
+    def refusal(code):
+        return urllib.error.HTTPError("u", code, "", None, None)
+
     monkeypatch.setattr(archive.urllib.request, "urlopen", opened)
-    answers[:] = [urllib.error.HTTPError("u", 503, "", None, None), ConnectionError(), b"ok"]
-    assert archive.fetch("u", wait=waits.append) == b"ok" and 1 <= waits[0] < 2 <= waits[1] < 3
-    for code in (403, 404):
-        answers[:] = [urllib.error.HTTPError("u", code, "", None, None)]
-        with pytest.raises(urllib.error.HTTPError):
-            archive.fetch("u", wait=waits.append)
-    answers[:] = [TimeoutError()] * 3
-    with pytest.raises(TimeoutError):
-        archive.fetch("u", tries=3, wait=waits.append)
+    answers[:] = [refusal(503), ConnectionError(), b"ok"]
+    assert archive.fetch("u", sleep=waits.append) == archive.Answer(200, b"ok") and 1 <= waits[0] <= 1.5 and 2 <= waits[1] <= 3
+    for code, outcome in ((403, "missing"), (404, "missing"), (401, "refused")):
+        answers[:], asked[:] = [refusal(code)], []
+        assert archive.fetch("u", sleep=waits.append).outcome == outcome and len(asked) == 1
+    for broken in (TimeoutError(), urllib.error.URLError("x"), http.client.IncompleteRead(b""), refusal(429)):
+        answers[:], asked[:] = [broken] * 3, []
+        assert archive.fetch("u", waits=(1, 1), sleep=waits.append).outcome == "unreachable" and len(asked) == 3
+
+
+def listing_page(names, token=None):
+    folders = "".join(f"<CommonPrefixes><Prefix>p/{n}/</Prefix></CommonPrefixes>" for n in names)
+    more = f"<IsTruncated>true</IsTruncated><NextContinuationToken>{token}</NextContinuationToken>" if token else "<IsTruncated>false</IsTruncated>"
+    return archive.Answer(200, f'<ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/"><Name>x</Name>{more}{folders}</ListBucketResult>'.encode())
 
 
 def test_listing_and_download(spark, tmp_path):
-    pages = iter([b"<IsTruncated>true</IsTruncated><CommonPrefixes><Prefix>p/BUSDT/</Prefix></CommonPrefixes><CommonPrefixes><Prefix>p/XBTC/</Prefix></CommonPrefixes><NextContinuationToken>t</NextContinuationToken>", b"<IsTruncated>false</IsTruncated><CommonPrefixes><Prefix>p/AUSDT/</Prefix></CommonPrefixes>"])
-    assert archive.listed_symbols("http://l", "p/", get=lambda url: next(pages)) == ["AUSDT", "BUSDT"]
+    asked, pages = [], iter([listing_page(["BUSDT", "XBTC", "A&amp;BUSDT"], "t/1"), listing_page(["AUSDT", "BUSDT"])])
+    assert archive.listed_symbols("http://l", "p/", get=lambda url: asked.append(url) or next(pages)) == ["A&BUSDT", "AUSDT", "BUSDT"]
+    assert "continuation-token=t%2F1" in asked[1] and "continuation-token" not in asked[0]
+    with pytest.raises(ConnectionError):
+        archive.listed_symbols("http://l", "p/", get=lambda url: archive.Answer(500))
     assert archive.month_url("http://b", "ü", "2024-01").endswith("/%C3%BC/1m/%C3%BC-1m-2024-01.zip")
 
+    zipped_file(tmp_path / "AAA.zip", 1704067200000, 60_000, 60, False)
+    content = (tmp_path / "AAA.zip").read_bytes()
+
     def get(url):
-        if "GONE" in url:
-            raise urllib.error.HTTPError(url, 404, "", None, None)
-        return b"zip"
+        return archive.Answer(404 if "GONE" in url else 0 if "AWAY" in url else 200, content)
 
-    months = spark.createDataFrame([("AAA", "2024-01"), ("GONE", "2024-01")], "symbol string, month string")
-    outcome = lambda: {r["symbol"]: r["outcome"] for r in archive.download(months, "http://b", str(tmp_path), get=get).collect()}
-    assert outcome() == {"AAA": "new", "GONE": "missing"} and outcome() == {"AAA": "there", "GONE": "missing"}
+    table, panel = str(tmp_path / "table"), str(tmp_path / "panel")
+    months = spark.createDataFrame([("AAA", "2024-01"), ("AAA", "2024-01"), ("GONE", "2024-01"), ("AWAY", "2024-01")], "symbol string, month string")
+    assert archive.archived(spark, table).count() == 0
+    outcome = lambda: {r["symbol"]: r["outcome"] for r in archive.download(months, "http://b", table, get=get).collect()}
+    assert outcome() == {"AAA": "new", "GONE": "missing", "AWAY": "unreachable"}
+    assert outcome() == {"AAA": "there", "GONE": "missing", "AWAY": "unreachable"}
+    assert [(r["symbol"], bytes(r["content"])) for r in archive.archived(spark, table).collect()] == [("AAA", content)]
+    assert ingest(archive.archived(spark, table), panel) == 1 and ingest(archive.archived(spark, table), panel) == 0
+    assert read_panel(spark, panel).count() == 1
 
 
 def test_streamed_bars_equal_batch(spark, tmp_path):
@@ -141,10 +194,10 @@ def test_streamed_bars_equal_batch(spark, tmp_path):
     query = streaming_bars(stream, "0 seconds").writeStream.outputMode("append").format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "ck")).start()
     query.processAllAvailable()
     query.stop()
-    got = {r["ts"]: (r["open"], r["close"], r["trades"]) for r in spark.table("streamed").collect()}
+    got = {r["ts"]: r.asDict() for r in spark.table("streamed").collect()}
     from quantloom.operators.bars import bars as batch
 
-    want = {r["ts"]: (r["open"], r["close"], r["n_minutes"]) for r in batch(frame).collect()}
+    want = {r["ts"]: r.asDict() for r in batch(frame).collect()}
     assert got and all(want[t] == v for t, v in got.items()) and len(got) == len(want) - 1  # the last is not final yet
 
 
