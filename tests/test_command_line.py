@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.__main__ import main
-from quantloom.operators.backtest import bar_sums, with_weights
+from quantloom.operators.backtest import Trial, bar_sums, trial_series, with_weights
+from quantloom.plans.grid import with_signals
 from quantloom.sources.bars import write_panel
 from quantloom.sources.simulated import random_walks
 
@@ -33,3 +34,20 @@ def test_a_market_by_hand(spark):
     found = bar_sums(with_weights(panel, {"w": ("s", 24)}), ["w"]).orderBy("ts").collect()
     assert [r["w_gross"] for r in found] == pytest.approx([0.0, 0.06, 0.05])
     assert [r["w_turnover"] for r in found] == pytest.approx([0.0, 1.0, 0.0]) and [r["w_exposure"] for r in found] == pytest.approx([0.0, 1.0, 1.0])
+
+
+def test_four_coins_by_hand(spark):
+    """Returns of 10, 5, -5 and -10 % have z-scores in the ratio 2 : 1 : -1 : -2, so weights of 1/3, 1/6, -1/6 and -1/3."""
+    at, rows = datetime(2024, 1, 1), []
+    for symbol, closes, rets in (("a", (100, 110, 113.3), (None, 0.10, 0.03)), ("b", (100, 105, 105), (None, 0.05, 0.0)), ("c", (100, 95, 89.3), (None, -0.05, -0.06)), ("d", (100, 90, 90), (None, -0.10, 0.0))):
+        rows += [(symbol, at + timedelta(hours=t), float(c), r) for t, (c, r) in enumerate(zip(closes, rets, strict=True))]
+    panel = spark.createDataFrame(rows, "symbol string, ts timestamp, close double, ret double").withColumn("in_universe", F.lit(True))
+    found, (column,) = with_signals(panel, ["cs_zscore(ts_ret(close, 1))"])
+    second = found.where(F.col("ts") == F.lit(at + timedelta(hours=1)))
+    deviation = (2 * (0.1**2 + 0.05**2) / 3) ** 0.5
+    assert [r[column] for r in second.orderBy("symbol").collect()] == pytest.approx([r / deviation for r in (0.1, 0.05, -0.05, -0.1)])
+    weighted = with_weights(found, {"w": (column, 1)}).where(F.col("ts") == F.lit(at + timedelta(hours=1)))
+    assert [r["w"] for r in weighted.orderBy("symbol").collect()] == pytest.approx([1 / 3, 1 / 6, -1 / 6, -1 / 3])
+    last = trial_series(panel, [Trial(0, "cs_zscore(ts_ret(close, 1))", 1, 10.0)]).orderBy("ts").collect()[-1]
+    # A third of 3 % and a sixth of 6 %; everything is bought at once, at 10 basis points.
+    assert (last["gross"], last["turnover"], last["gross_exposure"], last["net"]) == pytest.approx((0.02, 1.0, 1.0, 0.019))
