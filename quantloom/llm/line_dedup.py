@@ -14,7 +14,14 @@ distance on the words before anything is dropped.
 
 Variants of all lines would be as many rows as the corpus has words. One edit leaves
 the first or the second half of a line alone, so lines that share no half with a different line
-are set aside first by hashes of their halves; that loses no link.
+are set aside first by hashes of their halves, and of the others only words beyond a shared half are
+deleted; that loses no link.
+
+Texts are not moved for this. Tasks read them once more and send on the lines that a `BitFilter` of the shared
+halves lets pass, of documents that have such lines by another filter; rows of variants that a filter of the variants of several lines denies go no farther,
+nor do the texts of documents that lose nothing. The filters have a fixed size and spare work only: the joins
+behind them are exact. Where there are so many members that a filter lets everything pass, all lines' words
+and all documents' texts are shuffled once each.
 
 Defined cases: null text stays null; lines without a word are always kept; rows with equal
 doc_id and text are one document (its copies keep the same lines); a null doc_id comes first;
@@ -32,58 +39,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from quantloom.llm.common import few, stored
+from quantloom.llm.common import BitFilter, sliced, stored
 
+#: Documents whose lines a task holds in words at a time.
+TOGETHER = 256
 #: Shorter lines are compared for equality only: one word is too much of them.
 LEAST_WORDS = 8
 
-LINES = "id long, part long, line int, n_words int, copy binary, halves array<long>"
+LINES = "id long, part long, line int, a long, b long, halves array<long>"
+SUSPECTS = "id long, part long, line int, a long, b long, n_words int, words binary, halves array<struct<half: long, low: int, high: int>>"
 VARIANTS = "number long, variant long, self boolean"
 
 
-def _short(data: bytes) -> int:
-    return xxh3_64_intdigest(data) - (1 << 63)
+def _short(data: bytes, seed: int = 0) -> int:
+    return xxh3_64_intdigest(data, seed) - (1 << 63)
 
 
-def halves(words: list[bytes]) -> list[int]:
-    """Hashes such that two lines within one edit have one in common.
+def halves(words: list[bytes]) -> list[tuple[int, int, int]]:
+    """Hashes such that two lines within one edit have one in common, and between which places the edit is then.
 
     A line and a partner no shorter agree on the first half of the shorter one's words or on the
     rest of them from the end, so a line gives both for its own length and for one word less.
     """
     n = len(words)
-    firsts, lasts = {n // 2, (n + 1) // 2}, {(n - 1) // 2, n // 2}
-    return [_short(b"<" + b" ".join(words[:k])) for k in firsts] + [_short(b">" + b" ".join(words[n - k :])) for k in lasts]
+    k = n // 2
+    firsts, lasts = ((k, k + 1), (k,)) if n % 2 else ((k,), (k - 1, k))
+    return [(_short(b" ".join(words[:i]), 1), i, n) for i in firsts] + [(_short(b" ".join(words[n - i :]), 2), 0, n - i) for i in lasts]
 
 
-def variants(words: list[bytes]) -> tuple[list[int], list[int]]:
-    """Hashes of the line's own content and of the contents left by each deletion, in order of place.
+def variant_keys(words: list[bytes], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the deletion neighbourhood by words from low to high, and which of them say that the line itself is the variant.
 
-    Also the places at which a deletion leaves other words than the one before did.
+    Contents are keys for insertions: the line's own, and those that deletions leave (one of a run of equal
+    words). With the place and the line's length they are keys for exchanges.
     """
-    whole, at, found, places, last = b" ".join(words), 0, [], [], None
-    found.append(_short(whole))
-    for i, word in enumerate(words):
+    whole = b" ".join(words)
+    at = sum(map(len, words[:low])) + low
+    found, apart, last = [_short(whole)], [], None
+    for word in words[low:high]:
         after = at + len(word) + 1
         found.append(_short(whole[:at] + whole[after:] if after <= len(whole) else whole[: max(at - 1, 0)]))
-        if word != last:
-            places.append(i)
+        apart.append(word != last)
         at, last = after, word
-    return found, places
-
-
-def variant_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the deletion neighbourhood, and which of them say that the line itself is the variant.
-
-    Contents are keys for insertions: the line's own, and those that deletions leave. With the place and
-    the line's length they are keys for exchanges.
-    """
-    found, places = variants(words)
     own = np.array(found, np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
-        placed = np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(words)) * np.uint64(0xBF58476D1CE4E5B9)
+        placed = np.arange(low, high, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(words)) * np.uint64(0xBF58476D1CE4E5B9)
         exchanged = (own[1:] ^ placed) * np.uint64(0x94D049BB133111EB)
-    keys = np.concatenate([own[:1], own[1:][places], exchanged ^ (exchanged >> np.uint64(31))])
+    keys = np.concatenate([own[:1], own[1:][np.array(apart, bool)], exchanged ^ (exchanged >> np.uint64(31))])
     return keys.view(np.int64), np.arange(len(keys)) == 0
 
 
@@ -103,139 +105,175 @@ def _keyed(docs: DataFrame) -> list[Column]:
     return [id_.alias("id"), F.xxhash64("text").alias("part"), F.col("text").cast("binary").alias("text")]
 
 
+class _Lines:
+    """The lines with a word of a batch of documents: place, 128 bits of the words, halves (of lines that can be near another)."""
+
+    def __init__(self, batch: pa.RecordBatch, least_words: int, documents: np.ndarray | None = None):
+        texts, some = batch["text"], range(batch.num_rows) if documents is None else np.flatnonzero(documents).tolist()
+        self.words: list[list[bytes]] = []
+        self.halves: list[list[tuple[int, int, int]]] = []
+        digests, numbers, counts = [], [], []
+        for i in some:
+            before = len(numbers)
+            for number, line in enumerate((texts[i].as_py() or b"").split(b"\n")):
+                if words := line.split():
+                    numbers.append(number)
+                    digests.append(xxh3_128_digest(b" ".join(words)))
+                    self.words.append(words)
+                    self.halves.append(halves(words) if len(words) >= least_words - 1 else [])
+            counts.append(len(numbers) - before)
+        owner = np.repeat(np.array(some, np.int64), counts)
+        copies = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        self.columns = {
+            "id": np.asarray(batch["id"])[owner], "part": np.asarray(batch["part"])[owner], "line": np.array(numbers, np.int32),
+            "a": np.ascontiguousarray(copies[:, 0]), "b": np.ascontiguousarray(copies[:, 1]),
+        }
+        self.sizes = np.fromiter(map(len, self.halves), np.int64, len(self.halves))
+        self.flat = np.fromiter((h for f in self.halves for h, _, _ in f), np.int64, int(self.sizes.sum()))
+
+    def where(self, flat: np.ndarray) -> np.ndarray:
+        """Places of the lines that have a half for which flat says so."""
+        some = np.zeros(len(self.sizes), bool)
+        some[np.repeat(np.arange(len(self.sizes)), self.sizes)[flat]] = True
+        return np.flatnonzero(some)
+
+
 def lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Rows of LINES: every line with a word, the hash of its words, the hashes of its halves."""
+    """Rows of LINES: every line with a word, 128 bits of its words (a, b), the hashes of its halves."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, parts, numbers, counts, copies, keys = [], [], [], [], [], []
-            for id_, part, text in zip(batch["id"].to_pylist(), batch["part"].to_pylist(), batch["text"], strict=True):
-                for number, line in enumerate((text.as_py() or b"").split(b"\n")):
-                    if words := line.split():
-                        ids.append(id_), parts.append(part), numbers.append(number), counts.append(len(words))
-                        copies.append(xxh3_128_digest(b" ".join(words)))
-                        keys.append(halves(words) if len(words) >= least_words - 1 else [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(numbers, pa.int32()), pa.array(counts, pa.int32()), pa.array(copies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "part", "line", "n_words", "copy", "halves"],
-            )
+        for batch in sliced(batches, TOGETHER):
+            found = _Lines(batch, least_words)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(found.sizes)]), pa.int32()), pa.array(found.flat))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, found.columns.values()), lists], [*found.columns, "halves"])
 
     return docs.select(*_keyed(docs)).mapInArrow(per_batch, LINES)
 
 
-def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """copy, id, part, line, n_words and words (of a line, joined by spaces) for the wanted lines."""
+def _with_suspects(index: DataFrame, shared: BitFilter) -> DataFrame:
+    """key of the documents of which a line may share a half."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for id_, part, text, numbers in zip(*(batch[c].to_pylist() for c in ("id", "part", "text", "lines")), strict=True):
-                held = text.split(b"\n")
-                for number in numbers:
-                    words = held[number].split()
-                    whole = b" ".join(words)
-                    out.append((xxh3_128_digest(whole), id_, part, number, len(words), whole))
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            names = ["copy", "id", "part", "line", "n_words", "words"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    of_document = few(stored(wanted.groupBy("id", "part").agg(F.collect_list("line").alias("lines")), "lines-wanted"))
-    held = docs.select(*_keyed(docs)).join(of_document, ["id", "part"])
-    # Repeated rows give a line twice; one is enough.
-    found = held.mapInArrow(per_batch, "copy binary, id long, part long, line int, n_words int, words binary")
-    return found.dropDuplicates(["copy"])
-
-
-def _variant_rows(texts: DataFrame) -> DataFrame:
+            sizes = np.asarray(batch["halves"].value_lengths()).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)[shared.holds(np.asarray(batch["halves"].flatten()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.asarray(batch["key"])[row]))], ["key"])
+
+    return index.select(F.xxhash64("id", "part").alias("key"), "halves").mapInArrow(per_batch, "key long")
+
+
+def _suspects(docs: DataFrame, documents: BitFilter, shared: BitFilter, least_words: int) -> DataFrame:
+    """Rows of SUSPECTS: lines of which a half may be shared, with their words and those halves."""
+    half = pa.struct([("half", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [variant_keys(w.split()) for w in part["words"].to_pylist()]
-                number = np.repeat(np.asarray(part["number"]), [len(k) for k, _ in found])
-                yield pa.RecordBatch.from_arrays([pa.array(number), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], ["number", "variant", "self"])
+        for batch in sliced(batches, TOGETHER):
+            found = _Lines(batch, least_words, documents.holds(np.asarray(batch["key"])))
+            some = found.where(shared.holds(found.flat))
+            words = [found.words[i] for i in some.tolist()]
+            held = [[{"half": h, "low": low, "high": high} for h, low, high in found.halves[i]] for i in some.tolist()]
+            place = [pa.array(c[some]) for c in found.columns.values()]
+            own = [pa.array(map(len, words), pa.int32()), pa.array(map(b" ".join, words), pa.binary()), pa.array(held, pa.list_(half))]
+            yield pa.RecordBatch.from_arrays([*place, *own], [*found.columns, "n_words", "words", "halves"])
 
-    return texts.select("number", "words").mapInArrow(per_batch, VARIANTS)
+    keyed = docs.select(*_keyed(docs)).withColumn("key", F.xxhash64("id", "part"))
+    return keyed.mapInArrow(per_batch, SUSPECTS)
 
 
-def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """id, part, line, near: every line that goes, and whether it is a near rather than an exact copy."""
-    index = stored(lines(docs, least_words), "lines-index")
-    place = F.struct("id", "part", "line")
-    first = stored(index.groupBy("copy").agg(F.min(place).alias("first")), "lines-first")
-
-    # Lines that share a half with a different line.
-    half = index.where(F.size("halves") > 0).select("copy", F.explode("halves").alias("half"))
-    short = F.xxhash64("copy")
-    shared = half.groupBy("half").agg(F.min(short).alias("low"), F.max(short).alias("high")).where("low <> high").select("half")
-    suspects = half.join(stored(shared, "lines-halves"), "half", "left_semi").select("copy").distinct()
-    wanted = first.join(suspects, "copy", "left_semi").select("first.*")
+def _variant_rows(texts: DataFrame, met: BitFilter | None = None) -> DataFrame:
+    """Rows of VARIANTS of the lines; with met, those that it lets pass."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, TOGETHER):
+            found = [variant_keys(w.split(), low, high) for w, low, high in zip(*(part[c].to_pylist() for c in ("words", "low", "high")), strict=True)]
+            number = np.repeat(np.asarray(part["number"]), [len(k) for k, _ in found])
+            keys, own = (np.concatenate(x) for x in zip(*found, strict=True))
+            here = met.holds(keys) if met else slice(None)
+            yield pa.RecordBatch.from_arrays([pa.array(x[here]) for x in (number, keys, own)], ["number", "variant", "self"])
+
+    return texts.select("number", "words", "low", "high").mapInArrow(per_batch, VARIANTS)
+
+
+def near_lines(docs: DataFrame, index: DataFrame, least_words: int) -> DataFrame:
+    """a, b of the lines that are within one edit of an earlier line."""
+    # Lines that share a half with a different line, with their words; of equal lines the first.
+    half = index.select("a", F.explode("halves").alias("half"))
+    shared = half.groupBy("half").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least <> most").select("half")
+    shared = stored(shared, "lines-halves")
+    some = BitFilter(shared, "half")
+    found = _suspects(docs, BitFilter(_with_suspects(index, some), "key"), some, least_words)
+    firsts = found.groupBy("a", "b").agg(F.min_by(F.struct("id", "part", "line", "n_words", "words", "halves"), F.struct("id", "part", "line")).alias("first"))
+    firsts = stored(firsts.select("a", "b", "first.*"), "lines-suspects")
     # Numbered in order of their places, so that the earliest line of a key is the least number.
-    texts = _line_texts(docs, wanted).orderBy("id", "part", "line").withColumn("number", F.monotonically_increasing_id())
-    texts = stored(texts.select("number", "copy", "n_words", "words"), "lines-texts")
+    texts = stored(firsts.orderBy("id", "part", "line").withColumn("number", F.monotonically_increasing_id()).drop("id", "part", "line"), "lines-texts")
+    each = texts.select("number", F.inline("halves")).join(shared, "half", "left_semi")
+    between = each.groupBy("number").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    texts = stored(texts.drop("halves").join(between, "number"), "lines-texts")
 
     # The earliest line of every key; a key's shorter line (self) is apart from the longer ones.
-    rows = stored(_variant_rows(texts), "lines-variants")
     own, other = F.when(F.col("self"), F.col("number")), F.when(~F.col("self"), F.col("number"))
-    keys = rows.groupBy("variant").agg(F.min(own).alias("own"), F.min(other).alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    keys = stored(keys, "lines-keys")  # a stored side leaves the join free to split a hot key
+    keys = _variant_rows(texts).groupBy("variant").agg(F.min(own).alias("own"), F.min(other).alias("other"), F.count(F.lit(1)).alias("n"))
+    keys = stored(keys.where("n > 1").drop("n"), "lines-keys")  # a stored side leaves the join free to split a hot key
+    rows = _variant_rows(texts, BitFilter(keys, "variant"))
     linked = rows.join(keys, "variant").select(F.col("number").alias("late"), F.explode(F.array("own", "other")).alias("early"))
     pairs = linked.where("early < late").distinct()
-    late = texts.select(F.col("number").alias("late"), "copy", F.col("words").alias("a"), F.col("n_words").alias("m"))
-    early = texts.select(F.col("number").alias("early"), F.col("words").alias("b"), F.col("n_words").alias("n"))
-    near = stored(_verified(pairs.join(late, "late").join(early, "early"), least_words).distinct(), "lines-near")
+    late = texts.select(F.col("number").alias("late"), "a", "b", F.col("words").alias("x"), F.col("n_words").alias("m"))
+    early = texts.select(F.col("number").alias("early"), F.col("words").alias("y"), F.col("n_words").alias("n"))
+    return _verified(pairs.join(late, "late").join(early, "early"), least_words).distinct()
 
+
+def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """id, part, line, near: every line that goes, and whether it is a near rather than an exact copy."""
+    index = stored(lines(docs, least_words), "lines-index")
+    place = F.struct("id", "part", "line")
+    repeated = index.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    near = near_lines(docs, index, least_words).withColumn("near", F.lit(True))
     # All copies of a near copy go, and all but the first of the others.
-    slim = index.select("copy", "id", "part", "line")
-    exact = slim.join(first, "copy").where(F.col("first") != place).select("copy", "id", "part", "line", F.lit(False).alias("near"))
-    also = slim.join(near, "copy", "left_semi").select("copy", "id", "part", "line", F.lit(True).alias("near"))
-    return exact.unionByName(also).select("id", "part", "line", "near")
+    decided = stored(repeated.join(near, ["a", "b"], "full_outer").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near")), "lines-decided")
+    some = BitFilter(decided, "a").column(F.col("a"))
+    met = index.select("a", "b", "id", "part", "line").where(some).join(decided, ["a", "b"])
+    return met.where(F.col("near") | (F.col("first") != place)).select("id", "part", "line", "near")
 
 
 def _verified(pairs: DataFrame, least_words: int) -> DataFrame:
-    """copy of the late lines of the pairs whose longer line has enough words and whose distance is one."""
+    """a, b of the late lines of the pairs whose longer line has enough words and whose distance is one."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                copy
-                for copy, a, b in zip(*(batch[c].to_pylist() for c in ("copy", "a", "b")), strict=True)
-                if within_one_edit(a.split(), b.split())
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["copy"])
+            fits = [within_one_edit(x.split(), y.split()) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    return pairs.where(F.greatest("m", "n") >= least_words).select("copy", "a", "b").mapInArrow(per_batch, "copy binary")
+    return pairs.where(F.greatest("m", "n") >= least_words).select("a", "b", "x", "y").mapInArrow(per_batch, "a long, b long")
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with text rewritten, and columns __exact, __near: lines dropped as copies, as near copies."""
-    gone = dropped_lines(docs, least_words).groupBy("id", "part").agg(
-        F.collect_set("line").alias("__gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("line")))).alias("__near")
+    gone = dropped_lines(docs, least_words).groupBy(F.col("id").alias("__id"), F.col("part").alias("__part")).agg(
+        F.collect_set("line").alias("__gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("line")))).cast("long").alias("__near")
     )
+    key = F.xxhash64("__id", "__part")
+    gone = stored(gone.withColumn("__key", key), "lines-gone")
+    loses = BitFilter(gone, "__key").column(key)
     id_, part, _ = _keyed(docs)
     keyed = docs.withColumns({"__id": id_, "__part": part})
-    gone = gone.withColumnsRenamed({"id": "__id", "part": "__part"})
-    joined = keyed.join(gone, ["__id", "__part"], "left")
     parts = F.split("text", "\n", -1)
     # Numbers of dropped lines become a set once for the row; a line's test is then a look-up.
     held = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(held, lambda i: F.get(parts, i)), "\n"))
-    return joined.withColumns(
-        {
-            "__dropped": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")),
-            "__near": F.coalesce("__near", F.lit(0)),
-            "__text": text,
-        }
-    ).select(*[F.col("__text").alias("text") if c == "text" else docs[c] for c in docs.columns], (F.col("__dropped") - F.col("__near")).alias("__exact"), "__near")
+    near, dropped = F.coalesce("__near", F.lit(0)), F.coalesce(F.size("__gone"), F.lit(0))  # the size of null is null
+    rewritten = keyed.where(loses).join(gone.drop("__key"), ["__id", "__part"], "left").select(
+        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], (F.greatest(dropped, F.lit(0)) - near).alias("__exact"), near.alias("__near")
+    )
+    return rewritten.unionByName(keyed.where(~loses).select(*docs.columns, F.lit(0).cast("long").alias("__exact"), F.lit(0).cast("long").alias("__near")))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (with a word), n_exact, n_near, text: what was dropped from each document, and what is left of it."""
-    # A line with a word is one match: from its first character of a word to its end.
-    held = docs.select("doc_id", "text", F.coalesce(F.regexp_count("text", F.lit(r"[^\x09-\x0D\x20][^\n]*")), F.lit(0)).alias("n_lines"))
-    found = dedup_lines(held)
-    return found.select("doc_id", "n_lines", F.col("__exact").alias("n_exact"), F.col("__near").alias("n_near"), "text")
+    # A line with a word is one match: from its first character of a word to its end. Those that went had words.
+    left = F.coalesce(F.regexp_count("text", F.lit(r"[^\x09-\x0D\x20][^\n]*")), F.lit(0))
+    found = dedup_lines(docs.select("doc_id", "text"))
+    n = (left + F.col("__exact") + F.col("__near")).cast("int")
+    return found.select("doc_id", n.alias("n_lines"), F.col("__exact").alias("n_exact"), F.col("__near").alias("n_near"), "text")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
