@@ -98,26 +98,3 @@ class BitFilter:
             return pd.Series(self.holds(values.to_numpy(np.int64)))
 
         return held(hashes)
-
-
-#: Bytes that may go through the driver to every task at once; more are shuffled.
-FEW = 1 << 25
-
-
-def _bytes(name: str, kind: str) -> Column:
-    """About the bytes of a value in a broadcast row; lists are of numbers."""
-    if kind.startswith("array"):
-        return F.lit(24) + 8 * F.size(name)
-    if kind in ("string", "binary"):
-        return F.lit(8) + F.octet_length(name)
-    return F.lit(8)
-
-
-def few(df: DataFrame, most: int | None = None) -> DataFrame:
-    """df, to be broadcast in a join if its rows are summed to have at most that many bytes (FEW), else left to be shuffled.
-
-    df should be stored, since it is summed here and read again.
-    """
-    row = sum((F.coalesce(_bytes(*c), F.lit(8)) for c in df.dtypes), F.lit(48))  # 48: a row of a hashed relation
-    held = df.agg(F.sum(row)).first()[0] or 0
-    return F.broadcast(df) if held <= (FEW if most is None else most) else df

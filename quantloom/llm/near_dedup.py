@@ -19,10 +19,15 @@ Jaccard similarity. BANDS of ROWS coordinates make keys; documents with an equal
    prefix filtering (`prefix_links`), so that no link is lost to the choice of leaders; pairs
    within a component, the bulk of a hot group, are never made.
 
+Texts are not shuffled. Tasks read them again and send on the shingle sets of those that a `BitFilter` of the
+candidates lets pass; the join with the candidates themselves is exact, as it is for the filter of
+shared keys. Filters have a fixed size and only spare work, so the plan is the same at every size.
+
 Components come from hooking to the least neighbour and pointer jumping, on DataFrames cut by
 stored tables; nothing of it is collected.
 
-Defined cases: null text is a class of its own for each row; texts without five words are one
+Defined cases: null text has no copies: its class is its own id, and of rows with one id and null text one stays; a row without
+an id takes no part, has class null and stays; texts without five words are one
 shingle of all their words, texts without any word are equal only to the same text; repeated rows
 are copies; ties go to the smaller id; an empty table gives no rows; other columns are carried. An id
 with several texts is a document for each: texts are told apart by digest, and class_text tells classes with one class_id apart.
@@ -39,13 +44,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import few, stored
+from quantloom.llm.common import BitFilter, sliced, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Documents whose signatures are computed in one go.
 TOGETHER = 128
+#: Numbers of documents with an element by which elements are ordered.
+LEVELS = (2, 16, 256)
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -151,20 +158,25 @@ def _weights(counts: np.ndarray, by_count: bool) -> np.ndarray:
     return counts if by_count else np.ones(len(counts))
 
 
+def _mark(id_: int, digest: bytes) -> int:
+    """A hash of a document's id and text."""
+    return (int.from_bytes(digest[:8], "little") ^ id_ * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63)
+
+
 def signed(docs: DataFrame, by_count: bool = False) -> DataFrame:
-    """id, digest (of the text), keys (of its bands) of every row of (doc_id, text) that has both."""
+    """id, digest (of the text), mark (of both), keys (of its bands) of every row of (doc_id, text) that has both."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                texts = part["text"].to_pylist()
-                sets = [(elements, _weights(counts, by_count)) for elements, counts in map(shingles, texts)]
-                digests = [digest_of(t) for t in texts]
-                keys = list(band_keys(signatures(sets)))
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"])
+        for part in sliced(batches, TOGETHER):
+            texts = part["text"].to_pylist()
+            sets = [(elements, _weights(counts, by_count)) for elements, counts in map(shingles, texts)]
+            digests = [digest_of(t) for t in texts]
+            marks = list(map(_mark, part["id"].to_pylist(), digests))
+            keys = list(band_keys(signatures(sets)))
+            columns = [part["id"], pa.array(digests, pa.binary()), pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "mark", "keys"])
 
-    return _texts(docs).mapInArrow(per_batch, "id long, digest binary, keys array<long>")
+    return _texts(docs).mapInArrow(per_batch, "id long, digest binary, mark long, keys array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -173,23 +185,27 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, by_count: bool = False) -> DataFrame:
-    """id, elements (sorted 32-bit hashes) of the wanted (id, doc, digest); with by_count an element for each occurrence."""
+    """id, elements (sorted hashes) of the wanted (id, doc, digest, mark); with by_count an element for each occurrence."""
+    some = BitFilter(wanted, "mark")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sets = [], []
-            for id_, digest, text in zip(*(batch[c].to_pylist() for c in ("id", "digest", "text")), strict=True):
-                if digest_of(text) != digest:
-                    continue
-                elements, counts = shingles(text)
+        for part in sliced(batches, TOGETHER):
+            ids, texts = part["id"].to_pylist(), part["text"].to_pylist()
+            digests = [digest_of(t) for t in texts]
+            passes = np.flatnonzero(some.holds(np.fromiter(map(_mark, ids, digests), np.int64, len(ids)))).tolist()
+            sets = []
+            for i in passes:
+                elements, counts = shingles(texts[i])
                 if by_count:
                     nth = np.concatenate([np.arange(c) for c in counts.astype(int)]).astype(_U)
-                    elements = mixed(np.repeat(elements, counts.astype(int)) + nth * _A)
-                ids.append(id_), sets.append(np.unique((elements >> _U(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["id", "elements"])
+                    elements = np.unique(mixed(np.repeat(elements, counts.astype(int)) + nth * _A))
+                sets.append(np.sort(elements.view(np.int64)))
+            columns = [pa.array([ids[i] for i in passes], pa.int64()), pa.array([digests[i] for i in passes], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "digest", "elements"])
 
-    found = _texts(docs).withColumnRenamed("id", "doc").join(wanted, "doc").select("id", "digest", "text").mapInArrow(per_batch, "id long, elements array<int>")
-    return found.dropDuplicates(["id"])  # repeated rows give one set
+    found = _texts(docs).mapInArrow(per_batch, "doc long, digest binary, elements array<long>")
+    # Repeated rows give one set.
+    return found.groupBy("doc", "digest").agg(F.first("elements").alias("elements")).join(wanted, ["doc", "digest"]).select("id", "elements")
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,12 +245,16 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         state = stored(moved.select("id", F.coalesce("q", "label").alias("label")), "near-labels")
 
 
-def near_classes(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, by_count: bool = False) -> DataFrame:
-    """id, label of the documents that are near copies of another, for texts: (id, doc, digest, keys), all different; doc is the doc_id."""
-    keys = texts.select("id", "doc", "digest", F.explode("keys").alias("key"))
+def near_classes(docs: DataFrame, texts: DataFrame, owned: DataFrame, threshold: float = THRESHOLD, by_count: bool = False) -> DataFrame:
+    """id, label of the documents that are near copies of another.
+
+    texts: (id, doc, digest, mark), all different; doc is the doc_id. owned: (id, keys), repeats allowed.
+    """
+    keys = owned.select("id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("most")).where("leader <> most").select("key", "leader")
-    held = stored(keys.join(stored(shared, "near-leaders"), "key").select("key", "id", "doc", "digest", "leader"), "near-held")
-    wanted = few(stored(held.select("id", "doc", "digest").distinct(), "near-wanted"))  # few: the texts are not shuffled
+    shared = stored(shared, "near-leaders")
+    held = stored(keys.where(BitFilter(shared, "key").column(F.col("key"))).join(shared, "key").select("key", "id", "leader"), "near-held")
+    wanted = stored(texts.join(held.select("id").distinct(), "id"), "near-wanted")
     sets = stored(shingle_sets(docs, wanted, by_count), "near-sets")
 
     pairs = held.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
@@ -252,19 +272,31 @@ def near_classes(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD
 def prefix_links(left: DataFrame, sets: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """Near copies (a, b) among left (id, label) with different labels, exactly, by prefix filtering.
 
-    With elements ordered by how many documents have them, rarest first, sets of similarity t or
-    more share one of their first n - ceil(t * n) + 1 elements, and the smaller has t times the
-    size of the larger at least. At the first element that they share, at places i and j, what can
-    still be shared is 1 + min(m - i, n - j), and t / (1 + t) of the sum of sizes is needed. So documents
-    that share a common passage and less than t besides do not meet.
+    In any one order of all elements, sets of similarity t or more share one of their first
+    n - ceil(t * n) + 1 elements, and the smaller has t times the size of the larger at least. At the first
+    element that they share, at places i and j, what can still be shared is 1 + min(m - i, n - j), and
+    t / (1 + t) of the sum of sizes is needed. The order is by how many of the LEVELS of holders (documents
+    with it) an element reaches, then by hash: so documents that share a common passage and
+    less than t besides do not meet. Levels come from filters; an element that one lets pass wrongly has
+    the same place for all documents, so that no link depends on it.
     """
-    size = F.size("elements")
-    held = left.join(sets, "id").select("id", "label", size.alias("n"), F.explode("elements").alias("element"))
-    counts = held.groupBy("element").agg(F.count(F.lit(1)).alias("holders"))
-    order = Window.partitionBy("id").orderBy("holders", "element")
-    ranked = held.join(counts, "element").withColumn("place", F.row_number().over(order))
-    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).where("holders > 1")
-    prefix = stored(prefix.select("element", "id", "label", "n", "place"), "near-prefix")
+    held = left.join(sets, "id").select("id", "label", "elements")
+    counts = stored(held.select(F.explode("elements").alias("element")).groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-counts")
+    levels = [BitFilter(counts.where(F.col("n") >= least), "element") for least in LEVELS]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, TOGETHER):
+            elements, sizes = np.asarray(part["elements"].flatten()), np.asarray(part["elements"].value_lengths()).astype(np.int64)
+            level = sum(f.holds(elements).astype(np.int8) for f in levels)
+            order = np.lexsort((elements, level, np.repeat(np.arange(len(sizes)), sizes)))
+            place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+            n = np.repeat(sizes, sizes)
+            taken = np.flatnonzero((place <= n - np.ceil(threshold * n - 1e-9) + 1) & (level[order] > 0))  # level 0: no other document has it
+            of = np.repeat(np.arange(len(sizes)), sizes)[taken]
+            columns = [pa.array(elements[order[taken]]), part["id"].take(pa.array(of)), part["label"].take(pa.array(of)), pa.array(n[taken].astype(np.int32)), pa.array(place[taken].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["element", "id", "label", "n", "place"])
+
+    prefix = stored(held.mapInArrow(prefixes, "element long, id long, label long, n int, place int"), "near-prefix")
     several = prefix.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element")
     open_ = prefix.join(stored(several, "near-several"), "element", "left_semi")
     a = open_.select("element", F.col("id").alias("a"), F.col("label").alias("p"), F.col("n").alias("m"), F.col("place").alias("i"))
@@ -283,14 +315,14 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, by_count: bool =
     class_text is the digest of the class's first text: that of class_id, the least of its texts in the class.
     """
     signatures = stored(signed(docs, by_count), "near-signatures")
-    firsts = signatures.groupBy("digest").agg(F.min("id").alias("text_id"))
+    firsts = signatures.groupBy("digest").agg(F.min("id").alias("text_id"), F.min_by("mark", "id").alias("mark"))
     # One number for each text, in order of ids.
     texts = stored(firsts.orderBy("text_id", "digest").withColumn("number", F.monotonically_increasing_id()), "near-texts")
-    held = signatures.join(texts, "digest")
-    own = held.where("id = text_id").select(F.col("number").alias("id"), F.col("text_id").alias("doc"), "digest", "keys").dropDuplicates(["id"])
-    labels = near_classes(docs, own, threshold, by_count).withColumnRenamed("id", "own")
+    owned = stored(signatures.join(texts.select("number", "mark"), "mark").select(F.col("number").alias("id"), "keys"), "near-keys")
+    own = texts.select(F.col("number").alias("id"), F.col("text_id").alias("doc"), "digest", "mark")
+    labels = near_classes(docs, own, owned, threshold, by_count).withColumnRenamed("id", "own")
     first = texts.select(F.col("number").alias("label"), F.col("text_id").alias("class_id"), F.col("digest").alias("class_text"))
-    member = signatures.select("id", "digest").join(texts, "digest")
+    member = signatures.select("id", "digest").join(texts.drop("mark"), "digest")
     classed = member.join(labels.join(first, "label"), F.col("number") == F.col("own"), "left").select(
         F.col("id").alias("doc_id"), F.coalesce("class_id", "text_id").alias("class_id"), "text_id",
         F.col("digest").alias("text_digest"), F.coalesce("class_text", "digest").alias("class_text"),
