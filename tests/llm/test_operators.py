@@ -54,14 +54,24 @@ def test_language_id_learns_and_marks_und(spark):
     rng = random.Random(1)
     syllables = {"a": ["the", "ing", "sh"], "b": ["eau", "ment", "oir"]}
     rows = [(k, " ".join("".join(rng.choice(syllables["ab"[k % 2]]) for _ in range(3)) for _ in range(30)), "ab"[k % 2], "s") for k in range(200)]
-    rows += [(900, None, "a", "s"), (901, "123 456 !", "a", "s"), (902, rows[0][1] * 200, "a", "s"), rows[1]]
-    found = collected(language_id.language_report(documents(spark, rows)))
+    rows += [(900, None, "a", "s"), (901, "123 456 !", "a", "s"), (902, rows[0][1] * 200, "a", "s"), rows[1], rows[1], (None, rows[2][1], "a", "s"), (903, "", "b", "s")]
+    docs = documents(spark, rows)
+    found = collected(language_id.language_report(docs))
     assert len(found) == len(rows)
+    # Every prediction is that of the network, byte by byte.
+    network = language_id.fit(docs.where(~F.coalesce(language_id.held_out(), F.lit(False))))
+    assert network.labels == ["a", "b"]
+    for i, text in ((i, t) for i, t, *_ in rows if i not in (900, 901, 902, 903)):
+        p = by_steps(network, text.encode())
+        got = [(r["lang_pred"], r["score"]) for r in found if r["doc_id"] == i]
+        assert got and all(lang == "ab"[int(p.argmax())] and score == pytest.approx(p.max(), abs=1e-3) for lang, score in got)
+    assert next(r for r in found if r["doc_id"] is None)["held_out"] is False
     by_id = {r["doc_id"]: r for r in found}
     assert by_id[900]["lang_pred"] == by_id[901]["lang_pred"] == "und" and by_id[900]["score"] == 0
     assert by_id[902]["lang_pred"] == "a"
-    held = [r for r in found if r["held_out"] and r["doc_id"] < 200]
-    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in found)
+    held = [r for r in found if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 200]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in found if r["doc_id"] is not None)
+    assert by_id[903]["lang_pred"] == "und"
     assert np.mean([r["lang_pred"] == "ab"[r["doc_id"] % 2] for r in held]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in found)
 
@@ -83,20 +93,34 @@ def test_language_id_gradients_match_differences():
         assert g[at] == pytest.approx((losses[0] - losses[1]) / 2e-2, rel=0.05, abs=1e-4)
 
 
+def by_steps(network, text):
+    """Mean of the network's distributions over all bytes, one step at a time."""
+    total = np.zeros(len(network.labels))
+    for at in range(0, len(text), language_id.WINDOW):
+        window = np.frombuffer(text[at : at + language_id.WINDOW], np.uint8)[:, None]
+        logits = np.tile(network.bias, (len(window), 1, 1)).astype(np.float32)
+        for reader, order in ((network.right, range(len(window))), (network.left, range(len(window) - 1, -1, -1))):
+            for t, _, state, *_ in reader.forward(window, order):
+                logits[t] += reader.out @ state
+        total += language_id.softmax(logits)[:, :, 0].sum(0)
+    return total / max(len(text), 1)
+
+
 def test_language_id_reading_equals_stepping():
     network = language_id.Network(["a", "b"], hidden=4)
     texts = [b"some text " * 40, b"", b"x", "äöü".encode() * 50]
-    got = network.pooled(texts)
-    for text, p in zip(texts, got, strict=True):
-        total = np.zeros(2)
-        for at in range(0, len(text), language_id.WINDOW):
-            window = np.frombuffer(text[at : at + language_id.WINDOW], np.uint8)[:, None]
-            logits = np.tile(network.bias, (len(window), 1, 1)).astype(np.float32)
-            for reader, order in ((network.right, range(len(window))), (network.left, range(len(window) - 1, -1, -1))):
-                for t, _, state, *_ in reader.forward(window, order):
-                    logits[t] += reader.out @ state
-            total += language_id.softmax(logits)[:, :, 0].sum(0)
-        assert p == pytest.approx(total / max(len(text), 1), abs=1e-4)
+    for text, p in zip(texts, network.pooled(texts), strict=True):
+        assert p == pytest.approx(by_steps(network, text), abs=1e-4)
+
+
+def test_language_id_leaves_no_language_out_and_ties_go_to_the_first(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_WINDOWS", 300)
+    docs = documents(spark, [(k, f"text of language {k % 150}", f"l{k % 150:03}", "s") for k in range(600)])
+    network = language_id.fit(docs)
+    assert len(network.labels) == 150
+    for w in network.weights():
+        w[:] = 0
+    assert {r["lang_pred"] for r in collected(language_id.identify(docs, network))} == {"l000"}
 
 
 def test_language_id_of_empty_tables(spark):
@@ -135,7 +159,7 @@ def test_lm_is_a_distribution_and_beats_the_base(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "HEAD", 60)  # so that words beside the head are joined
     rng = random.Random(3)
     rows = []
-    for k in range(300):
+    for k in range(1500):
         name = "xy"[k % 2]
         rows.append((k, " ".join(f"{name}{min(int(rng.expovariate(0.08)), 80)}" for _ in range(50)), "a", "s"))
     docs = documents(spark, rows)
@@ -163,6 +187,69 @@ def test_lm_is_a_distribution_and_beats_the_base(spark, monkeypatch):
     assert total == pytest.approx(1.0, abs=1e-3)
 
 
+def scalar_hash(buckets, kind, *parts):
+    """The bucket of a feature, in Python's integers."""
+    low = (1 << 64) - 1
+    x = kind * 0x9E3779B97F4A7C15 & low
+    for p in parts:
+        x = (x ^ p) * 0xBF58476D1CE4E5B9 & low
+        x ^= x >> 29
+    x = x * 0x94D049BB133111EB & low
+    return (x >> 40) % (buckets - 1) + 1
+
+
+def by_the_token(model, counts, tails, text):
+    """log10 probability of a text, one token and one softmax at a time."""
+
+    def place(w):
+        return model.words.index(w) if w in model.words else None
+
+    def number(w):
+        at = place(w)
+        return lm_score.HEAD + (zlib.crc32(w.encode()) & 0xFFFF) if at is None else at
+
+    def softmax(rows):
+        x = np.clip(np.sum(np.array(rows, float), axis=0), -40, 40)
+        return np.exp(x) / np.exp(x).sum()
+
+    m, total = len(model.class_weights), 0.0
+    before = [lm_score._START] * 3
+    for w in [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(text or "")] + ["\n"]:
+        a, b, c = before
+        at = place(w)
+        k, slot = (lm_score.class_of(w), 0) if at is None else (int(model.word_class[at]), int(model.slot[at]))
+        features = [scalar_hash(m, 1, a), scalar_hash(m, 2, b), scalar_hash(m, 3, a, b), scalar_hash(m, 4, c)]
+        p = softmax([model.class_weights[0], *(model.class_weights[f] for f in features)])[k]
+        q = softmax([model.slot_weights[f] for f in (k + 1, scalar_hash(m, 11, k, a), scalar_hash(m, 12, k, b))])[slot]
+        total += math.log10(p * q) + (0 if slot else math.log10((counts.get(w, 0) + 0.5) / tails[k]))
+        before = [number(w), a, b]
+    return total
+
+
+def test_lm_score_is_that_of_the_definition(spark):
+    rows = odd_rows() + [(500 + k, " ".join(words(30 + k, k, 60)) + f" Rare{k} ends.", "a", "s") for k in range(60)]
+    docs = documents(spark, rows)
+    fitted = lm_score.fit(docs.where(~lm_score.held_out()))
+    counts = {r["word"]: r["c"] for r in fitted.counts.collect()}
+    want = defaultdict(list)
+    for i, t, *_ in rows:
+        want[i].append(by_the_token(fitted.model, counts, fitted.tail_totals, (t or "")) if i != 103 else None)
+    assert any(fitted.model.slot == 0) and any(fitted.model.slot > 0)
+    for r in collected(lm_score.score(docs, fitted)):
+        if r["doc_id"] != 103:  # too long to do by the token
+            assert any(r["score"] == pytest.approx(w, rel=1e-4) for w in want[r["doc_id"]])
+        else:
+            assert r["n_tokens"] == 12_001 and r["score"] < 0
+
+
+def test_lm_scores_do_not_depend_on_how_rows_are_stored(spark):
+    rng = random.Random(21)
+    rows = [(k, " ".join(f"{'xy'[k % 2]}{min(int(rng.expovariate(0.05)), 90)}" for _ in range(60)), "a", "s") for k in range(400)]
+    docs = documents(spark, rows)
+    one, many = ({r["doc_id"]: r["score"] for r in lm_score.score_report(docs.repartition(parts)).collect()} for parts in (1, 16))
+    assert len(one) == 400 and all(many[i] == pytest.approx(x, rel=1e-3) for i, x in one.items())
+
+
 def test_lm_of_empty_table(spark):
     assert lm_score.score_report(documents(spark, EMPTY)).count() == 0
 
@@ -180,10 +267,13 @@ def test_url_rules_and_propagation(spark):
         page(5, "ftp://friend.net/q"), page(6, "http://bad.net/", "http://x.com/de/"), page(7, "http://x.com/de/1"), page(8, "http://x.com/fr/1"),
         page(9, None), page(10, "no scheme"), page(11, "http://alone.net"), page(12, "http://notorg/x"), page(13, "http://alone.net/?a://b.org/"),
         page(14, "http://bad.net/", "http://x.com/de/"),
+        (15, "http://nohtml.net/", None, "clash"), (None, "http://noid.net/x", "", "clash"), (16, "http://long.net/" + "a" * 100_000 + "?b", "<p>" + "x " * 200_000, "clash"),
     ]
+    rows += [rows[4], rows[4]]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
     found = {r["page_id"]: r for r in collected(link_graph.url_report(pages))}
-    assert len(found) == len(rows)
+    again = collected(link_graph.url_report(pages))
+    assert len(again) == len(rows) and len([r for r in again if r["page_id"] == 5 and r["verdict"] == "allow"]) == 3
     got = {i: (r["host"], r["path"], r["rule"], r["verdict"]) for i, r in found.items()}
     assert got[1] == ("a.org", "/x", "org/", "allow")
     assert got[2] == ("sub.example.org", "/en/1x", "example.org/en/1", "block")
@@ -193,6 +283,7 @@ def test_url_rules_and_propagation(spark):
     assert got[11] == ("alone.net", "", None, "allow") and got[12][2] is None and got[13][:3] == ("alone.net", "/", None)
     assert found[5]["trust"] > 0 and got[5][3] == "allow"  # a trusted host links to it
     assert got[6][3] == got[14][3] == "block"  # it links to a blocked host
+    assert got[15] == ("nohtml.net", "/", None, "allow") and got[None][3] == "allow" and len(got[16][1]) == 100_001
     assert link_graph.url_report(pages.limit(0)).count() == 0
 
 
@@ -204,14 +295,30 @@ def test_propagation_is_personalised_pagerank(spark):
         spark.createDataFrame([(str(a), str(b), n) for (a, b), n in edges.items()], "source string, target string, n long"),
         spark.createDataFrame([(str(h), n) for h, n in seeds.items()], "host string, n long"),
     )
-    rank = seed = np.array([seeds.get(h, 0) / 4 for h in range(12)])
-    out = np.array([[edges.get((a, b), 0) for b in range(12)] for a in range(12)], float)
+    want = personalised(edges, seeds, 12)
+    got = {int(r["host"]): r["rank"] for r in collected(found)}
+    assert [got.get(h, 0.0) for h in range(12)] == pytest.approx(list(want), abs=1e-6)
+
+
+def personalised(edges, seeds, n):
+    """The ranks at rest, by iteration in numpy to the last digit."""
+    rank = seed = np.array([seeds.get(h, 0) for h in range(n)]) / sum(seeds.values())
+    out = np.array([[edges.get((a, b), 0) for b in range(n)] for a in range(n)], float)
     share = out / np.maximum(out.sum(1, keepdims=True), 1)
-    for _ in range(link_graph.ITERATIONS):
+    for _ in range(400):
         moved = rank @ share
         rank = link_graph.DAMPING * moved + (1 - link_graph.DAMPING * moved.sum()) * seed
+    return rank
+
+
+def test_propagation_reaches_the_end_of_a_long_chain(spark):
+    edges = {(k, k + 1): 1 for k in range(29)} | {(0, 20): 1}
+    found = link_graph.propagate(
+        spark.createDataFrame([(str(a), str(b), n) for (a, b), n in edges.items()], "source string, target string, n long"),
+        spark.createDataFrame([("0", 2)], "host string, n long"),
+    )
     got = {int(r["host"]): r["rank"] for r in collected(found)}
-    assert [got.get(h, 0.0) for h in range(12)] == pytest.approx(list(rank), abs=1e-9)
+    assert len(got) == 30 and [got[h] for h in range(30)] == pytest.approx(list(personalised(edges, {0: 2}, 30)), abs=1e-6)
 
 
 # --- op4 ---
@@ -278,7 +385,7 @@ def test_packing_places_every_piece(spark):
     from tokenizers import Tokenizer
 
     rows = odd_rows() + [(300, "ÄÖ İstanbul\u00a0e\u0301\u2003x <|endoftext|> y's 12ab", "a", "s")]
-    found = collected(packing.pack(documents(spark, rows), tokenizer_file(), capacity=128, shard=20))
+    found = collected(packing.pack(documents(spark, rows), tokenizer_file(), capacity=128, sequences=20))
     tokenizer = Tokenizer.from_file(tokenizer_file())
     want = Counter()
     for i, t, *_ in rows:
@@ -300,18 +407,71 @@ def test_packing_places_every_piece(spark):
     assert packing.pack(documents(spark, EMPTY), tokenizer_file()).count() == 0
 
 
-def test_swap_search_never_needs_more_bins():
-    rng = random.Random(2)
-    saved = 0
-    for _ in range(60):
-        lengths = [rng.randrange(20, 60) for _ in range(40)]
-        first = packing.best_fit(lengths, 100)
-        after = packing.swap_search([list(b) for b in first], lengths, 100)
-        assert sorted(i for b in after for i in b) == list(range(40))
-        assert all(sum(lengths[i] for i in b) <= 100 for b in after) and len(after) <= len(first)
+def decreasing(lengths, capacity):
+    """How many bins best-fit decreasing takes."""
+    return len(packing.filled(sorted(lengths, reverse=True), capacity))
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(20, 60, 40), (1, 100, 60), (5, 14, 80), (25, 60, 40)])
+def test_swap_search_saves_bins_by_steps_that_raise_squares(low, high, n):
+    rng = random.Random(low)
+    saved = steps = against = total = 0
+    for _ in range(40):
+        lengths = [rng.randrange(low, high) for _ in range(n)]
+        first = packing.filled(lengths, 100)
+        search = packing.SwapSearch(first, lengths, 100)
+        after = search.run()
+        assert sorted(i for b in after for i in b) == list(range(n))
+        fills = [sum(lengths[i] for i in b) for b in after]
+        assert max(fills) <= 100 and search.squares[-1] == sum(f * f for f in fills)
+        assert all(a < b for a, b in itertools.pairwise(search.squares))
         saved += len(first) - len(after)
-    assert packing.swap_search([[0, 1], [2, 3], [4]], [50, 30, 40, 35, 45], 100) is not None
-    assert saved >= 0
+        steps += len(search.squares) - 1
+        against += len(after) - decreasing(lengths, 100)
+        total += len(after)
+    assert saved > 0 and steps > saved
+    assert against <= 0.025 * total  # about as good as sorting all pieces first
+
+
+def test_swap_search_ends_where_no_step_is_left():
+    rng = random.Random(9)
+    for _ in range(20):
+        lengths = [rng.randrange(30, 70) for _ in range(14)]
+        after = packing.SwapSearch(packing.filled(lengths, 100), lengths, 100).run()
+        fills = [sum(lengths[i] for i in b) for b in after]
+        if len(after) == -(-sum(lengths) // 100):
+            continue
+        for a, b in itertools.permutations(range(len(after)), 2):
+            if fills[b] >= fills[a]:
+                for k in (1, 2):
+                    for given in itertools.combinations(after[a], k):
+                        for taken in [(), *((i,) for i in after[b])]:
+                            if k == 1 or taken:
+                                gain = sum(lengths[i] for i in given) - sum(lengths[i] for i in taken)
+                                assert not 0 < gain <= 100 - fills[b]
+
+
+def test_a_step_of_each_kind():
+    for bins, lengths, step in (
+        ([[0], [1]], [40, 60], (1, [0], [])),
+        ([[0, 1], [2, 3]], [38, 50, 60, 30], (1, [0], [3])),
+        ([[0, 1], [2, 3]], [20, 15, 30, 60], (1, [0, 1], [2])),
+        ([[0, 1], [2, 3]], [50, 10, 60, 40], None),
+    ):
+        assert packing.SwapSearch(bins, lengths, 100).step(0) == step
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens_are_those_of_whole_texts(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    texts = [t or "" for _, t, *_ in odd_rows()] + ["It's  what\u00a0they'd\tsay, e\u0301 \u0301x 12ab 3.5!? <|endoftext|>don't", "ÄÖ İstanbul ß\n\n x"]
+    tokens, whole = packing.WordTokens(path), Tokenizer.from_file(path)
+    assert tokens.alone == name.startswith("word")
+    found = tokens.ids(pa.array(texts))
+    assert found == [packing._packed(whole.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 # --- op6 ---
@@ -335,6 +495,45 @@ def test_quality_counts(spark):
     assert not any(r["kept"] and r["base_failed"] for r in found)
 
 
+def path_length(tree, row, at=0, depth=0):
+    feature, cut, left, length = tree
+    if left[at] < 0:
+        return length[at]
+    return path_length(tree, row, left[at] + (row[feature[at]] > cut[at]), depth + 1)
+
+
+def test_quality_verdicts_are_those_of_paths_and_the_best_threshold(spark):
+    rng = random.Random(14)
+    rows = [(k, " ".join(w + ("#" if k % 9 == 0 and rng.random() < 0.7 else "") for w in words(60 + k % 50, k, 2000)), "a", "s") for k in range(250)]
+    rows += [(k, " ".join(f"{w}{rng.choice('#.A')}" for w in words(70, 90 + k, 900)), "a", "s") for k in range(250, 280)] + [rows[4], rows[4], (None, rows[7][1], "a", "s")]
+    truth = {k: int(k % 9 != 0 and k < 250 or k % 7 == 0) for k in range(270)}
+    given = [(k, q, 0) for k, q in truth.items()] + [(5, 1, 0), (5, 1, 0), (6, 0, 0), (6, 1, 0), (None, 0, 0), (8, None, 0)]
+    truth.pop(6)  # labelled both ways
+    docs, labels = documents(spark, rows), spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+    found = collected(quality.quality_report(docs, labels))
+    forest = quality.fit_forest(quality.statistics(docs), labels)
+    assert len(forest.trees) == quality.TREES
+    features = {t: quality.describe(t) for _, t, *_ in rows}
+    score = {}
+    for t, (*_, row) in features.items():
+        mean = sum(path_length(tree, row) for tree in forest.trees) / len(forest.trees)
+        score[t] = 2 ** (-mean / quality.expected_path(forest.size))
+    fails = {t: f[0] < 20 or 100 * f[4] > 30 * f[0] for t, f in features.items()}
+    known = [(math.floor(score[t] * quality.BUCKETS), truth[i]) for i, t, *_ in rows if i in truth and not fails[t]]
+    good, bad = [b for b, q in known if q], [b for b, q in known if not q]
+    gains = [sum(b >= k for b in bad) / len(bad) - quality.COST_OF_GOOD * sum(b >= k for b in good) / len(good) for k in range(quality.BUCKETS + 1)]
+    best = [k for k, g in enumerate(gains) if g == pytest.approx(max(gains), abs=1e-12)]
+    threshold = (best[0] + best[-1]) / 2 / quality.BUCKETS if max(gains) > 0 else 2.0
+    assert 0 < threshold < 1
+    text = defaultdict(list)
+    for i, t, *_ in rows:
+        text[i].append(t)
+    for r in found:
+        t = text[r["doc_id"]][0]
+        assert r["anomaly"] == pytest.approx(score[t]) and r["kept"] == (not fails[t] and score[t] < threshold)
+    assert len({r["kept"] for r in found}) == 2
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     rng = random.Random(4)
     rows, labels = [], []
@@ -396,9 +595,18 @@ def shingle_set(t):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {t}
 
 
-def brute_classes(rows, threshold=0.8):
+def shingle_bag(t):
+    """Every occurrence of a shingle, told apart by its number."""
+    seen, out, w = Counter(), set(), t.split()
+    for s in [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else [t]:
+        out.add((s, seen[s]))
+        seen[s] += 1
+    return out
+
+
+def brute_classes(rows, threshold=0.8, shingled=shingle_set):
     texts = sorted({t for i, t, *_ in rows if t is not None and i is not None})
-    sets = [shingle_set(t) for t in texts]
+    sets = [shingled(t) for t in texts]
     label = list(range(len(texts)))
     for a, b in itertools.combinations(range(len(texts)), 2):
         both = len(sets[a] & sets[b])
@@ -415,7 +623,7 @@ def brute_classes(rows, threshold=0.8):
 
 def near_rows(seed=6):
     rng = random.Random(seed)
-    rows, common = odd_rows()[:-2], words(60, 999, 9000)
+    rows, common = odd_rows(), words(60, 999, 9000)
     for family in range(12):
         base = words(120, 5000 + family, 9000)
         for k in range(14):
@@ -441,12 +649,31 @@ def test_near_classes_are_those_of_all_pairs(spark):
     assert next(r for r in found if r["doc_id"] == 100)["class_id"] == 100  # null text
 
 
+def test_weighted_near_classes_are_those_of_all_pairs(spark):
+    rng = random.Random(16)
+    rows = near_rows(7)[:150]
+    for family in range(8):
+        base = words(40, 8000 + family, 900)
+        for k in range(9):  # the same shingles, more or less often
+            again = [base[at : at + 12] for at in rng.choices((0, 12, 24), k=rng.randrange(k + 1))]
+            rows.append((6000 + family * 20 + k, " ".join([*base, *itertools.chain(*again)]), "a", "s"))
+    found = collected(near_dedup.near_groups(documents(spark, rows), by_count=True))
+    assert len(found) == len(rows)
+    groups = defaultdict(set)
+    for r in found:
+        if r["doc_id"] is not None and r["doc_id"] != 100:
+            groups[r["class_id"]].add(r["doc_id"])
+    want = brute_classes(rows, shingled=shingle_bag)
+    assert {frozenset(g) for g in groups.values()} == want != brute_classes(rows)
+
+
 def test_near_dedup_leaves_one_of_each(spark):
     rows = near_rows(9)
     docs = documents(spark, rows)
     stay = near_dedup.first_of_each(docs)
     ids = [r["doc_id"] for r in stay.where("doc_id is not null").collect()]
     assert sorted(ids) == sorted({min(g) for g in brute_classes(rows)} | {100})
+    assert stay.where("doc_id is null").count() == sum(r[0] is None for r in rows)
     assert stay.columns == docs.columns and near_dedup.first_of_each(docs.limit(0)).count() == 0
 
 
@@ -473,23 +700,47 @@ def test_signatures_do_not_depend_on_their_company():
 # --- op9 ---
 
 
-@pytest.mark.parametrize("block", [16, 4096])
-def test_top_k_is_exact(spark, block):
+@pytest.mark.parametrize(("block", "query_block"), [(16, 2), (4096, 4096)])
+def test_top_k_is_exact(spark, block, query_block):
     rng = random.Random(7)
     rows = [(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(120)]
-    rows += [(200, rows[4][1]), (201, rows[4][1]), (50, rows[50][1]), (202, None), (203, [1.0, None]), (204, [float("nan")] * 6), (205, [float("inf")] * 6), (250, [0.0] * 6), (251, [0.5]), (None, rows[0][1])]
+    rows += [(200, rows[4][1]), (201, rows[4][1]), (50, rows[50][1]), (50, rows[7][1]), (202, None), (203, [1.0, None]), (204, [float("nan")] * 6), (205, [float("inf")] * 6), (250, [0.0] * 6), (251, [0.5]), (None, rows[0][1])]
     rows += [(300, [math.inf, 1.0]), (400, [])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    found = collected(bit_sliced.search(vectors, block=block, query_block=2))
-    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    want = set()
-    for q, v in whole:
-        if q % 50 == 0:
-            scores = sorted(((sum(a * b for a, b in zip(v, w, strict=False)), -i) for i, w in whole if i != q), reverse=True)[:5]
-            want |= {(q, rank + 1, -i, s) for rank, (s, i) in enumerate(scores)}
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found} == want
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("q", F.lit(1)).withColumn("block", F.lit("x"))
+    found = collected(bit_sliced.search(vectors, block=block, query_block=query_block))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(brute_top(rows))
     assert bit_sliced.search(vectors.limit(0)).count() == 0
-    assert bit_sliced.search(vectors.where("vec_id = 50").limit(1)).count() == 0
+    assert bit_sliced.search(vectors.where("vec_id = 100").limit(1)).count() == 0
+
+
+def brute_top(rows, k=5):
+    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    for q, v in dict.fromkeys((q, tuple(v)) for q, v in whole if q % 50 == 0):
+        scores = sorted(((sum(a * b for a, b in zip(v, w, strict=False)), -i) for i, w in whole if i != q), reverse=True)[:k]
+        yield from ((q, rank + 1, -i, min(max(s, bit_sliced.LEAST), bit_sliced.MOST)) for rank, (s, i) in enumerate(scores))
+
+
+@pytest.mark.parametrize("huge", [1e6, 1e12, 1e18, 1e30])
+def test_top_k_of_huge_components(spark, huge):
+    rng = random.Random(11)
+    rows = [(k, [rng.gauss(0, 1) * (huge if (k + d) % 3 == 0 else 1) for d in range(4)]) for k in range(70)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = collected(bit_sliced.search(vectors, block=30))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(brute_top(rows))
+
+
+def test_top_k_agrees_with_its_sql_where_ids_repeat(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(12)
+    rows = [(k % 90, [rng.gauss(0, 1) for _ in range(5)]) for k in range(200)]
+    rows += [rows[0], rows[50], rows[50], (7, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors.write.parquet(f"{tmp_path}/v")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/v/*.parquet'")
+    want = con.sql(f"SELECT query_id, rank, vec_id, score FROM ({bit_sliced.ORACLE_SQL})").fetchall()
+    assert sorted(tuple(r) for r in bit_sliced.search(vectors, block=64).collect()) == sorted(want)
 
 
 # --- op10 ---
@@ -507,7 +758,7 @@ def edit_distance(a, b):
 
 def line_rows(seed=3):
     rng = random.Random(seed)
-    rows, bases = odd_rows()[:-2], [words(n, 40 + n, 5000) for n in (3, 7, 8, 9, 12, 20, 31)]
+    rows, bases = odd_rows(), [words(n, 40 + n, 5000) for n in (3, 7, 8, 9, 12, 20, 31)]
     for k in range(60):
         lines = []
         for _ in range(5):
@@ -526,7 +777,7 @@ def test_line_dedup_is_that_of_all_pairs(spark):
     found = collected(line_dedup.dedup_report(documents(spark, rows)))
     assert len(found) == len(rows)
     seen, want = [], {}
-    for i, t in sorted({(i, t) for i, t, *_ in rows if t is not None and i is not None}):
+    for i, t in sorted({(i, t) for i, t, *_ in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0)):  # a null id comes first
         kept = []
         for line in t.split("\n"):
             w = line.split()

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tests.llm.test_operators import documents, near_rows
+from tests.llm.test_operators import documents, near_rows, odd_rows
 
 
 def test_stages_run_in_order(spark, tmp_path):
     rng = random.Random(1)
-    rows = [r for r in near_rows() if r[0] is not None] + [(9000 + k, " ".join("x***" for _ in range(30 + rng.randrange(9))), "a", "s1") for k in range(5)]
+    rows = near_rows() + [(9000 + k, " ".join("x***" for _ in range(30 + rng.randrange(9))), "a", "s1") for k in range(5)]
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    labels = [(i, 0 if i >= 9000 else 1, 0) for i, *_ in rows]
+    labels = [(i, 0 if i and i >= 9000 else 1, 0) for i, *_ in rows]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns, sizes = docs.columns, []
@@ -27,3 +29,20 @@ def test_stages_run_in_order(spark, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert again.count() == sizes[-1]
     assert again.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
+
+
+def test_stages_take_empty_tables_and_odd_rows(spark, tmp_path):
+    """Null ids, texts, sources and labels, repeated rows, columns whose names clash; and no rows at all."""
+    given = documents(spark, odd_rows()).withColumns({c: F.lit(7) for c in ("id", "part", "line", "a", "b", "near", "copy", "key", "digest", "mark", "label", "row", "piece")})
+    labels = spark.createDataFrame([(None, 0, 0), (1, None, 0), (2, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for name, docs, known in (("odd", given, labels), ("none", given.limit(0), labels.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        known.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        rows = found.collect()
+        assert (name == "odd") == bool(rows) and "sequence_id" in found.columns
+        assert not any(r["doc_id"] == 100 for r in rows)  # null text fails the base rule
+    held = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:  # the stages after the quality rules see odd rows as well
+        done = stage(spark, held, f"{tmp_path}/odd")
+        assert done.columns == held.columns and done.count() > 0, name
