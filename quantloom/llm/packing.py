@@ -1,26 +1,29 @@
 """Best-fit packing of tokenised documents into sequences, improved by swap-based local search.
 
 Documents are cut into pieces of at most `capacity` tokens. Pieces are dealt by a hash of their
-row into shards of about SHARD pieces; a shard is packed by itself: best-fit decreasing first,
-then a local search over its underfull bins. Each step of the search takes the emptiest bin
-as donor and makes fuller bins fuller at its cost: it moves a piece that fits, or exchanges one
-for one, or two smaller ones for a larger one. Every step raises the sum of squared fills, so
-the search ends, and a donor whose pieces have all moved is a sequence saved. A shard ends with
-about one partly filled bin, a few thousandths of its sequences, at any size of input.
+row into shards of about SEQUENCES sequences (or SHARD pieces, if they are tiny); a shard is packed by itself. It is
+filled cheaply first, every piece as it comes going into the fullest sequence that has room, and then a local
+search empties sequences. Each step takes pieces from the emptiest underfull sequence, the donor, to make a
+fuller one fuller: a piece is moved, or exchanged for a shorter one, or two are exchanged for a shorter one;
+of the possible steps of the first kind that has any, the one that raises the sum of squared fills most.
+That sum rises at every step, so the search ends: where as few sequences are left as the tokens need, or no
+sequence can give anything. A donor whose pieces have all gone is a sequence saved. A shard ends with about one
+partly filled sequence, a thousandth of its sequences, at any size of input.
 
 Defined cases: null text is an empty text; an empty document is the single end id; repeated rows
 are pieces of their own; very long documents are cut, nothing else is; an empty table gives no
-rows; other columns are not looked at. Ties go to the piece that comes first in its shard.
+rows; a null doc_id is carried; other columns are not looked at. Ties go to the piece that comes first in its shard.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import struct
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,30 +37,51 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import stored
 
-#: Pieces of a shard, about; tokens of a sequence; the id that ends a document.
-SHARD, CAPACITY, END_ID = 4096, 4096, 1
+#: Sequences and pieces of a shard at most, about; tokens of a sequence; the id that ends a document.
+SEQUENCES, SHARD, CAPACITY, END_ID = 1024, 65_536, 4096, 1
 #: Distinct words that a Python worker remembers at most, then it starts anew; texts tokenised in one go.
 CACHE_WORDS, TOGETHER = 400_000, 1024
 #: New words that are tokenised as one text.
 RUN = 1000
+#: Numbers that a step of the search holds in one array at most, about.
+CELLS = 1_000_000
+#: Fixed value: the pattern of tokens before merges by which no token crosses white space or depends on it.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-class WordTokens:
-    """Token ids of whole texts from the ids of their words, each word tokenised once.
+def words_stand_alone(tokenizer: str) -> bool:
+    """Whether a tokenizer (its JSON) gives a text the ids of its words one after another.
 
-    Sound where the tokenizer drops white space and normalises character by character, so that
-    no token depends on what stands beyond white space, as in a word-end BPE that also parts letters
-    from other characters.
+    So it is if it marks ends of words, drops white space, parts letters from other characters by WORD_PATTERN, and
+    normalises by NFC and lower case at most.
     """
 
+    def steps(part: dict | None, inner: str) -> list[dict]:
+        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+    spec = json.loads(tokenizer)
+    model, before = spec["model"], steps(spec["pre_tokenizer"], "pretokenizers")
+    blank = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    plain = all(n["type"] in ("NFC", "Lowercase") or n == blank for n in steps(spec["normalizer"], "normalizers"))
+    split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+    rest = all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in before[1:])
+    return model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and plain and before[:1] == [split] and rest
+
+
+class WordTokens:
+    """Token ids of whole texts. Where words stand alone they come from the ids of words, each tokenised once; else texts are tokenised whole."""
+
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only wait for each other
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.alone = words_stand_alone(self.tokenizer.to_str())
+        if not self.alone:
+            return
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Special tokens are found in the whole text before words are, so such texts go whole.
         self.special = "|".join(map(re.escape, special)) if special else None
@@ -94,6 +118,8 @@ class WordTokens:
         Arrow splits the texts and numbers their distinct words; only those are looked up.
         """
         texts = texts.fill_null("")
+        if not self.alone:
+            return self._each(texts.to_pylist())
         whole = np.flatnonzero(pc.match_substring_regex(texts, self.special)) if self.special else np.zeros(0, int)
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.folds else texts)
         offsets = np.asarray(split.offsets)
@@ -145,90 +171,119 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
     return slim.mapInArrow(cut, PIECES)
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of indices: longest first, each into the fullest bin that still has room."""
+def filled(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of indices: every piece as it comes, into the fullest bin that still has room."""
     bins: list[list[int]] = []
     room: list[tuple[int, int]] = []  # (room, bin), sorted
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        at = bisect_left(room, (lengths[i], -1))
+    for i, length in enumerate(lengths):
+        at = bisect_left(room, (length, -1))
         if at == len(room):
             free, b = capacity, len(bins)
             bins.append([])
         else:
             free, b = room.pop(at)
         bins[b].append(i)
-        if free > lengths[i]:
-            insort(room, (free - lengths[i], b))
+        if free > length:
+            insort(room, (free - length, b))
     return bins
 
 
-def swap_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """The same pieces in no more bins: donors are emptied by moves and exchanges, emptiest first.
-
-    Ends where no donor gives anything more, or as few bins are left as the pieces need if cut at will.
-    """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    fewest, done = -(-sum(fill) // capacity), set()
-    while sum(map(bool, bins)) > fewest:
-        underfull = [b for b in range(len(bins)) if bins[b] and fill[b] < capacity and b not in done]
-        if len(underfull) < 2:
-            break
-        donor = min(underfull, key=lambda b: (fill[b], b))
-        others = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity and b != donor), key=lambda b: (-fill[b], b))
-        own = sorted((lengths[i], i) for i in bins[donor])
-        for b in others:
-            while own and fill[b] < capacity and (change := _best_change(own, bins[b], lengths, capacity - fill[b])):
-                given, taken = change
-                for i in given:
-                    own.remove((lengths[i], i))
-                    bins[b].append(i)
-                for i in taken:
-                    bins[b].remove(i)
-                    insort(own, (lengths[i], i))
-                fill[b] += sum(lengths[i] for i in given) - sum(lengths[i] for i in taken)
-            if not own:
-                break
-        bins[donor] = [i for _, i in own]
-        fill[donor] = sum(size for size, _ in own)
-        if bins[donor]:
-            done.add(donor)  # nothing more goes out of it
-    return [b for b in bins if b]
-
-
-def _best_change(own: list[tuple[int, int]], held: list[int], lengths: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """The donor's pieces to give and the pieces to take back that fill most of the room; None if none fill any."""
-    best, change = 0, None
-    for taken in [None, *sorted(held, key=lambda i: (lengths[i], i))]:
-        back = 0 if taken is None else lengths[taken]
-        most = room + back
-        at = bisect_right(own, (most, float("inf"))) - 1  # one piece
-        if at >= 0 and own[at][0] - back > best:
-            best, change = own[at][0] - back, ([own[at][1]], [] if taken is None else [taken])
-        if taken is not None and best < room:
-            low, high = 0, len(own) - 1  # two pieces for one
-            while low < high:
-                both = own[low][0] + own[high][0]
-                if both > most:
-                    high -= 1
-                else:
-                    if both - back > best:
-                        best, change = both - back, ([own[low][1], own[high][1]], [taken])
-                    low += 1
-        if best == room:
-            break
-    return change
-
-
-def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+class SwapSearch:
+    """Pieces in bins, and steps that make one bin emptier and a fuller one fuller."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.length, self.capacity = np.asarray(lengths, np.int64), capacity
+        self.bin = np.zeros(len(lengths), np.int64)
+        for b, members in enumerate(bins):
+            self.bin[members] = b
+        self.fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+        self.held = np.array([len(b) for b in bins], np.int64)
+        self.squares = [int((self.fill**2).sum())]  # after every step
+
+    def run(self) -> list[list[int]]:
+        fewest = -(-int(self.fill.sum()) // self.capacity)
+        done, changed = np.zeros(len(self.fill), bool), False
+        while (self.held > 0).sum() > fewest:
+            donors = np.flatnonzero((self.held > 0) & (self.fill < self.capacity) & ~done)
+            if not len(donors):
+                if not changed:
+                    break
+                done[:], changed = False, False  # what has been exchanged since may give a donor another step
+                continue
+            donor = donors[np.argmin(self.fill[donors])]
+            while self.held[donor] and (step := self.step(donor)):
+                self._take(donor, *step)
+                changed = True
+            done[donor] = True
+        order = np.argsort(self.bin, kind="stable")
+        return [b.tolist() for b in np.split(order, np.cumsum(self.held)[:-1]) if len(b)]
+
+    def _take(self, donor: int, to: int, given: list[int], taken: list[int]) -> None:
+        self.bin[given], self.bin[taken] = to, donor
+        gain = int(self.length[given].sum() - self.length[taken].sum())
+        before = self.fill[donor] ** 2 + self.fill[to] ** 2
+        self.fill[donor] -= gain
+        self.fill[to] += gain
+        self.held[donor] += len(taken) - len(given)
+        self.held[to] += len(given) - len(taken)
+        self.squares.append(self.squares[-1] + int(self.fill[donor] ** 2 + self.fill[to] ** 2 - before))
+
+    def step(self, donor: int) -> tuple[int, list[int], list[int]] | None:
+        """The receiver, the donor's pieces to give and the pieces to take back; None if nothing can be given."""
+        own = np.flatnonzero(self.bin == donor)
+        own = own[np.argsort(self.length[own], kind="stable")]
+        p = self.length[own]
+        open_ = (self.fill < self.capacity) & (self.held > 0) & (self.fill >= self.fill[donor])
+        open_[donor] = False
+        bins = np.flatnonzero(open_)
+        if not len(bins):
+            return None
+        # A piece moves: the longest that fits.
+        at = np.searchsorted(p, self.capacity - self.fill[bins], "right") - 1
+        if (k := self._best(donor, bins, np.where(at >= 0, p[at], 0))) is not None:
+            return int(bins[k]), [int(own[at[k]])], []
+        # One for one: the longest that fits in the place of a piece.
+        rest = np.flatnonzero(open_[self.bin])
+        to, back = self.bin[rest], self.length[rest]
+        most = back + self.capacity - self.fill[to]
+        at = np.searchsorted(p, most, "right") - 1
+        if (k := self._best(donor, to, np.where(at >= 0, p[at], 0) - back)) is not None:
+            return int(to[k]), [int(own[at[k]])], [int(rest[k])]
+        # Two for one: for every longer piece of a pair the longest shorter one that still fits.
+        best, found = 0, None
+        rows = max(1, CELLS // len(rest))
+        for low in range(1, len(own), rows):
+            longer = np.arange(low, min(low + rows, len(own)))
+            other = np.minimum(np.searchsorted(p, (most[None, :] - p[longer, None]).ravel(), "right").reshape(len(longer), -1) - 1, longer[:, None] - 1)
+            gain = np.where(other >= 0, p[longer, None] + p[other] - back[None, :], 0)
+            rise = np.where(gain > 0, gain * (self.fill[to][None, :] - self.fill[donor] + gain), 0)
+            i, k = np.unravel_index(rise.argmax(), rise.shape)
+            if rise[i, k] > best:
+                best, found = rise[i, k], (int(to[k]), [int(own[longer[i]]), int(own[other[i, k]])], [int(rest[k])])
+        return found
+
+    def _best(self, donor: int, to: np.ndarray, gain: np.ndarray) -> int | None:
+        """Where the sum of squares rises most; None if it rises nowhere."""
+        rise = np.where(gain > 0, gain * (self.fill[to] - self.fill[donor] + gain), 0)
+        k = int(rise.argmax()) if len(rise) else 0
+        return k if len(rise) and rise[k] > 0 else None
+
+
+def packed(lengths: list[int], capacity: int) -> list[list[int]]:
+    return SwapSearch(filled(lengths, capacity), lengths, capacity).run() if lengths else []
+
+
+def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, sequences: int = SEQUENCES) -> DataFrame:
     """Rows of PLACED: every piece of every document with its sequence and its place there."""
     cut = stored(pieces(docs, tokenizer_file, capacity), "pack-pieces")
-    shards = max(1, -(-cut.count() // shard))
+    size = cut.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens")).first()
+    shards = max(1, -(-size["n"] // SHARD), -(-(size["tokens"] or 0) // (sequences * capacity)))
 
     def place(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row", ignore_index=True)
         lengths = group["length"].tolist()
         sequence, offset = [0] * len(lengths), [0] * len(lengths)
-        for number, members in enumerate(swap_search(best_fit(lengths, capacity), lengths, capacity)):
+        for number, members in enumerate(packed(lengths, capacity)):
             at = 0
             for i in members:
                 sequence[i], offset[i] = key[0] << 32 | number, at
