@@ -7,7 +7,9 @@ by label in fixed-width buckets in Spark, and the driver picks from the counts.
 
 Defined cases: null text is a text without words and fails the base rule, as does any text of
 under 20 words; repeated rows and ties get equal scores and verdicts; with no labelled row of
-either kind the method rejects nothing; an empty table gives no rows; other columns, also those
+either kind the method rejects nothing; an id that is labelled good and bad counts as not labelled, one that is
+labelled alike several times counts once; rows of one id in docs all count; a null doc_id has no label;
+an empty table gives no rows; other columns, also those
 with clashing names, are carried by `filter_quality` and not looked at. Texts are never cut.
 """
 
@@ -159,9 +161,15 @@ def expected_path(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """labelled, quality: an id's quality, if it has but one."""
+    one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    return one.where("quality = most").select(F.col("doc_id").alias("labelled"), "quality")
+
+
 def fit_forest(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> IsolationForest:
-    """A forest over at most sample_rows rows labelled good (over any rows, if none is), taken by the hash of their id."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("labelled")).distinct()
+    """A forest over at most sample_rows different rows labelled good (over any rows, if none is), taken by a hash."""
+    good = known_labels(labels).where("quality = 1")
     usable = stats.where(~base_failed())
     known = usable.join(good, F.col("doc_id") == F.col("labelled"), "left_semi")
     rows = _hashed_sample(known, sample_rows) or _hashed_sample(usable, sample_rows)
@@ -169,11 +177,14 @@ def fit_forest(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
 
 def _hashed_sample(rows: DataFrame, most: int) -> list:
-    """At most that many rows' features, by the hash of the id; tasks send about as many in all, however many they are."""
-    h, parts = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), 1 << 30
+    """At most that many different rows' features, by a hash of id and features.
+
+    Tasks send about as many in all, however many they are: rows are thinned by the hash, and equal ones are one.
+    """
+    h, parts = F.pmod(F.xxhash64("doc_id", "features"), F.lit(1 << 30)), 1 << 30
     n = rows.count()
     thinned = rows.where(h < int(parts * min(1.0, 1.2 * most / max(n, 1)))) if n > most else rows
-    return sorted((r for r in thinned.select("features", h.alias("h")).collect()), key=lambda r: (r["h"], r["features"]))[:most]
+    return thinned.select("features", h.alias("h")).distinct().orderBy("h", "features").limit(most).collect()
 
 
 def scored(stats: DataFrame, forest: IsolationForest) -> DataFrame:
@@ -193,10 +204,9 @@ def calibrate(rows: DataFrame, labels: DataFrame, cost_of_good: float = COST_OF_
 
     All labelled rows count; what comes to the driver is one count a bucket and label.
     """
-    known = labels.where("quality is not null").select(F.col("doc_id").alias("labelled"), "quality")
     counts = (
         rows.where(~base_failed())
-        .join(known, F.col("doc_id") == F.col("labelled"))
+        .join(known_labels(labels), F.col("doc_id") == F.col("labelled"))
         .groupBy("quality", F.floor(F.col("anomaly") * BUCKETS).cast("int").alias("bucket"))
         .count()
         .collect()
