@@ -1,18 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 Two gated recurrent layers read the UTF-8 bytes of a text, one from the left and one from the right,
-in windows of WINDOW bytes; at every byte their states give a distribution over the languages. A
+in windows of WINDOW bytes, where their states begin anew; at every byte their states give a distribution over the languages. A
 document's probabilities are the mean over all its bytes. The network is small enough to read
 whole texts: matrices hold one column a window, thousands of windows to a numpy call.
 
 Training is plain backpropagation through time in numpy on the driver, with Adam, over a bounded
-sample: at most SAMPLE_DOCS labelled documents a language (by the hash of their id) and
-SAMPLE_WINDOWS windows a language, at most MOST_LANGUAGES languages (the most frequent).
+sample of all languages: at most SAMPLE_DOCS different labelled documents a language (by a hash of id and text), of
+which a stretch of STRETCH characters each is used, and SAMPLE_WINDOWS windows a language; where there
+are so many languages that this would be over MOST_WINDOWS windows, all have fewer.
 
 Defined cases: null text and text without a letter are `und` with score 0; every byte of long texts
-counts; rows without a lang are no training rows; with no training row at all every prediction is
-`und`; repeated rows get equal results; ties go to the language that is first by code point; an
-empty table gives no rows; other columns are not looked at.
+is read in prediction; rows without a lang are no training rows; with no training row at all every prediction is
+`und`; repeated rows get equal results and count once in training; a null doc_id is training data and not held out; ties go
+to the language that is first by code point; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import crc_mod
 
 HIDDEN, WINDOW, SEED = 8, 128, 5
-SAMPLE_DOCS, SAMPLE_WINDOWS, MOST_LANGUAGES = 600, 2000, 256
+SAMPLE_DOCS, SAMPLE_WINDOWS, MOST_WINDOWS, STRETCH = 600, 2000, 200_000, 8 * WINDOW
 EPOCHS, BATCH, RATE = 4, 256, 0.02
 #: Windows in one numpy call at most.
 LANES = 2048
@@ -210,25 +211,29 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame) -> Network | None:
     """A network from the rows of docs whose lang is known; None if there is none."""
     known = docs.where("lang is not null and text is not null and length(text) > 0")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return None
+    windows_each = max(1, min(SAMPLE_WINDOWS, MOST_WINDOWS // len(counts)))
+    docs_each = max(1, min(SAMPLE_DOCS, windows_each))
     # Documents of a language are thinned by a hash to about as many as are wanted, so no sort of a whole language is needed.
-    share = {r["lang"]: min(1.0, 1.3 * SAMPLE_DOCS / r["count"]) for r in counts}
+    share = {r["lang"]: min(1.0, 1.3 * docs_each / r["count"]) for r in counts}
     rates = docs.sparkSession.createDataFrame(list(share.items()), "name string, share double")
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    thinned = known.join(F.broadcast(rates), F.col("lang") == F.col("name")).where(draw < F.col("share"))
+    h = F.xxhash64("doc_id", "text")
+    thinned = known.join(rates, F.col("lang") == F.col("name")).where(F.pmod(h, F.lit(1_000_000)) / 1_000_000 < F.col("share"))
     # A long text gives one stretch of it, from a place that its hash picks.
-    stretch = 8 * WINDOW
-    place = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - stretch, F.lit(1)))).cast("int") + 1
-    rows = thinned.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", place, F.lit(stretch)).alias("text")).collect()
+    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - STRETCH, F.lit(1))).cast("int") + 1
+    rows = thinned.select("lang", h.alias("h"), F.substring("text", place, F.lit(STRETCH)).alias("text")).dropDuplicates(["lang", "h"]).collect()
+    texts: dict[str, list[tuple[int, bytes]]] = {}
+    for r in rows:
+        texts.setdefault(r["lang"], []).append((r["h"], r["text"].encode()))
     labels = sorted(share)
     rng = np.random.default_rng(SEED)
     windows, label = [], []
     for k, lang in enumerate(labels):
-        texts = [r["text"].encode() for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: r["h"])[:SAMPLE_DOCS]]
-        cut = [t[i : i + WINDOW].ljust(WINDOW) for t in texts for i in range(0, max(1, len(t) - WINDOW // 2), WINDOW)]
-        for i in rng.permutation(len(cut))[:SAMPLE_WINDOWS]:
+        held = [t for _, t in sorted(texts.get(lang, []))[:docs_each]]
+        cut = [t[i : i + WINDOW].ljust(WINDOW) for t in held for i in range(0, max(1, len(t) - WINDOW // 2), WINDOW)]
+        for i in rng.permutation(len(cut))[:windows_each]:
             windows.append(np.frombuffer(cut[i], np.uint8)), label.append(k)
     network = Network(labels)
     if windows:
