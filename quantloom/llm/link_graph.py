@@ -7,9 +7,10 @@ same on reversed links from the hosts of blocked pages (whoever links to a block
 suspect). A host is blocked where its distrust is more than TOLERANCE times its trust; hosts that
 neither reaches are allowed.
 
-Links of a page count once for each host; edges are summed before they are joined, so a host with
+Iteration goes on until no further host is reached and what STORED_EVERY iterations add to all ranks is below
+SETTLED of them, so that hosts at any distance from a seed have a rank. Links of a page count once for each host; edges are summed before they are joined, so a host with
 very many pages is one row, or one a neighbour. Ranks are DataFrames, cut by stored tables every
-few iterations; mass of hosts without links goes back to the seeds, from a one-row total.
+few iterations; mass of hosts without links goes back to the seeds.
 
 Defined cases: null url, or one without `://`: empty host and path, no rule, allowed; null html:
 no links; a host without pages of its own only passes ranks on; repeated rows count again as
@@ -31,7 +32,7 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-DAMPING, ITERATIONS, STORED_EVERY, TOLERANCE = 0.85, 16, 4, 1.0
+DAMPING, SETTLED, STORED_EVERY, TOLERANCE = 0.85, 1e-6, 8, 1.0
 
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -63,28 +64,29 @@ def links(pages: DataFrame) -> DataFrame:
     return found.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
     """host, rank: personalised PageRank over edges (source, target, n) from seeds (host, n).
 
-    Ranks sum to one. Hosts without a rank have none to give, so only reached hosts are rows.
+    What hosts without links have goes back to the seeds, so that ranks at rest are in proportion to what
+    reaches a host along all paths from the seeds, damped at each step: that is added up step by step and scaled to
+    a sum of one. Only reached hosts are rows.
     """
-    whole = seeds.agg(F.sum("n").alias("whole"))
-    start = stored(seeds.crossJoin(F.broadcast(whole)).select("host", (F.col("n") / F.col("whole")).alias("seed")), "links-seeds")
+    start = stored(seeds.select("host", F.col("n").cast("double").alias("rank")), "links-seeds")
     out = edges.groupBy("source").agg(F.sum("n").alias("out"))
-    shares = stored(edges.join(out, "source").select("source", "target", (F.col("n") / F.col("out")).alias("share")), "links-shares")
-    if shares.isEmpty() or start.isEmpty():
-        return start.select("host", F.col("seed").alias("rank"))
-    ranks = start.select("host", F.col("seed").alias("rank"))
-    for k in range(iterations):
-        passed = ranks.join(shares, F.col("host") == F.col("source")).groupBy(F.col("target").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        # What is not passed on (hosts without links) goes back to the seeds.
-        kept = passed.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("moved"))
-        back = start.crossJoin(F.broadcast(kept)).select("host", (F.col("seed") * (1 - damping * F.col("moved"))).alias("got"))
-        both = passed.select("host", (damping * F.col("got")).alias("got")).unionByName(back)
-        ranks = both.groupBy("host").agg(F.sum("got").alias("rank"))
-        if (k + 1) % STORED_EVERY == 0:
-            ranks = stored(ranks, "links-ranks")
-    return ranks
+    shares = stored(edges.join(out, "source").select("source", "target", (damping * F.col("n") / F.col("out")).alias("share")), "links-shares")
+    ranks, steady = start, shares.isEmpty() or start.isEmpty()
+    while not steady:
+        old = ranks.select("host", F.col("rank").alias("before"))
+        for _ in range(STORED_EVERY):
+            passed = ranks.join(shares, F.col("host") == F.col("source")).select(F.col("target").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+            ranks = start.unionByName(passed).groupBy("host").agg(F.sum("rank").alias("rank"))
+        ranks = stored(ranks, "links-ranks")
+        change = ranks.join(old, "host", "left").agg(
+            (F.sum(F.col("rank") - F.coalesce("before", F.lit(0.0))) / F.sum("rank")).alias("share"), F.count(F.when(F.col("before").isNull(), 1)).alias("new")
+        ).first()
+        steady = change["new"] == 0 and change["share"] < settled
+    whole = ranks.agg(F.sum("rank").alias("whole"))
+    return ranks.crossJoin(F.broadcast(whole)).select("host", (F.col("rank") / F.col("whole")).alias("rank"))  # whole is one row
 
 
 def host_verdicts(pages: DataFrame, rules: tuple = RULES, tolerance: float = TOLERANCE) -> DataFrame:
