@@ -63,25 +63,27 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-#: Bits of a filter, 16 MB: what one sends to every task, whatever is put in.
-FILTER_BITS = 1 << 27
+#: Bits of a filter for each member at least, and in all at most: 16 MB are sent to every task, whatever is put in.
+BITS_EACH, FILTER_BITS = 16, 1 << 27
 _PAGE = 15  # Spark's bitmaps have 2**15 bits
 
 
 class BitFilter:
-    """A set of 64-bit hashes in FILTER_BITS bits. It never denies a member.
+    """A set of 64-bit hashes in FILTER_BITS bits at most. It never denies a member.
 
-    Of other hashes it lets pass the share of its bits that are set, 1 - exp(-members / FILTER_BITS): a tenth
-    at 14 million members, two thirds at 150 million. So it only spares work: whatever passes has
+    Of other hashes it lets pass the share of its bits that are set, 1 - exp(-members / bits): under a sixteenth up to
+    8 million members, a tenth at 14 million, two thirds at 150 million. So it only spares work: whatever passes has
     to meet the members themselves in a join, and the plan is the same for any number of them.
+
+    members should be stored, since they are counted and read.
     """
 
     def __init__(self, members: DataFrame, column: str):
-        self.last = FILTER_BITS - 1
+        self.last = min(FILTER_BITS, max(1 << _PAGE, 1 << (BITS_EACH * members.count()).bit_length())) - 1
         at = F.col(column).bitwiseAND(F.lit(self.last))
         pages = members.select(F.shiftright(at, _PAGE).alias("page"), at.bitwiseAND(F.lit((1 << _PAGE) - 1)).alias("bit"))
-        bits = np.zeros((FILTER_BITS >> _PAGE, 1 << (_PAGE - 3)), np.uint8)
-        for r in pages.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # FILTER_BITS at most
+        bits = np.zeros((self.last + 1 >> _PAGE, 1 << (_PAGE - 3)), np.uint8)
+        for r in pages.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # FILTER_BITS bits at most
             bits[r["page"]] = np.frombuffer(r["bits"], np.uint8)
         self.sent = members.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 

@@ -19,7 +19,7 @@ deleted; that loses no link.
 
 Texts are not moved for this. Tasks read them once more and send on the lines that a `BitFilter` of the shared
 halves lets pass, of documents that have such lines by another filter; rows of variants that a filter of the variants of several lines denies go no farther,
-nor do the texts of documents that lose nothing. The filters have a fixed size and spare work only: the joins
+nor do the texts of documents that lose nothing. The filters have a bounded size and spare work only: the joins
 behind them are exact. Where there are so many members that a filter lets everything pass, all lines' words
 and all documents' texts are shuffled once each.
 
@@ -201,7 +201,8 @@ def near_lines(docs: DataFrame, index: DataFrame, least_words: int) -> DataFrame
     shared = half.groupBy("half").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least <> most").select("half")
     shared = stored(shared, "lines-halves")
     some = BitFilter(shared, "half")
-    found = _suspects(docs, BitFilter(_with_suspects(index, some), "key"), some, least_words)
+    having = stored(_with_suspects(index, some), "lines-having")
+    found = _suspects(docs, BitFilter(having, "key"), some, least_words)
     firsts = found.groupBy("a", "b").agg(F.min_by(F.struct("id", "part", "line", "n_words", "words", "halves"), F.struct("id", "part", "line")).alias("first"))
     firsts = stored(firsts.select("a", "b", "first.*"), "lines-suspects")
     # Numbered in order of their places, so that the earliest line of a key is the least number.

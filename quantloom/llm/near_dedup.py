@@ -21,7 +21,7 @@ Jaccard similarity. BANDS of ROWS coordinates make keys; documents with an equal
 
 Texts are not shuffled. Tasks read them again and send on the shingle sets of those that a `BitFilter` of the
 candidates lets pass; the join with the candidates themselves is exact, as it is for the filter of
-shared keys. Filters have a fixed size and only spare work, so the plan is the same at every size.
+shared keys. Filters have a bounded size and only spare work, so the plan is the same at every size.
 
 Components come from hooking to the least neighbour and pointer jumping, on DataFrames cut by
 stored tables; nothing of it is collected.
