@@ -49,6 +49,13 @@ def test_lm_buckets_follow_the_training_tokens():
     assert (lm_score._order(f) == np.argsort(f, kind="stable")).all()
 
 
+def test_lm_sums_of_runs():
+    rng = np.random.default_rng(3)
+    for sizes in ([1], [1, 2, 3, 8, 9, 40, 1, 7], rng.integers(1, 30, 50).tolist()):
+        rows, starts = rng.normal(size=(sum(sizes), 5)), np.cumsum([0, *sizes[:-1]])
+        assert lm_score.run_sums(rows, starts) == pytest.approx(np.add.reduceat(rows, starts, axis=0))
+
+
 # --- op8, op10 ---
 
 
