@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import bit_sliced, chat_format, language_id, line_dedup, link_graph, lm_score, mixing, near_dedup, packing, quality
+from quantloom.llm import bit_sliced, chat_format, fill_in_middle, language_id, line_dedup, link_graph, lm_score, mixing, near_dedup, packing, quality
 from quantloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fim_report(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_language_id,
     op2_lm_scoring,
@@ -70,6 +74,7 @@ OPERATORS = (
     op8_near_dedup,
     op9_exact_top_k,
     op10_line_dedup,
+    op11_fill_in_middle,
 )
 
 
@@ -79,4 +84,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """For those that SQL can express; the others are held against brute force in tests."""
-    return {"op7_source_mixing": mixing.ORACLE_SQL, "op9_exact_top_k": bit_sliced.ORACLE_SQL}
+    return {"op7_source_mixing": mixing.ORACLE_SQL, "op9_exact_top_k": bit_sliced.ORACLE_SQL, "op11_fill_in_middle": fill_in_middle.ORACLE_SQL}
