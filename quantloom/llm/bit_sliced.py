@@ -95,54 +95,70 @@ class Slices:
                 if abs(value) >> digit & 1:
                     for bit in range(len(planes)):
                         columns.setdefault(bit + digit, []).append(planes[bit])
-        out, place = [], 0
-        while columns:
-            stack = columns.pop(place, None)
-            if stack is None:
-                out.append(np.zeros_like(self.all))
-                place += 1
-                continue
-            slices = np.stack(stack)
-            while len(slices) > 1:
-                third = len(slices) // 3
-                if third:
-                    a, b, c = slices[:third], slices[third : 2 * third], slices[2 * third : 3 * third]
-                    either = a ^ b
-                    total, carry = either ^ c, (a & b) | (c & either)
-                    slices = np.concatenate([total, slices[3 * third :]])
-                else:
-                    total, carry = slices[:1] ^ slices[1:], slices[:1] & slices[1:]
-                    slices = total
-                columns.setdefault(place + 1, []).extend(carry)
-            out.append(slices[0])
-            place += 1
-        return (np.stack(out) if out else np.zeros((0, len(self.all)), np.uint64)), shift
+        return add_up(columns, self.all), shift
 
     def top(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
         """Ids and scores of the k best rows that are not the query's own, best first."""
         slices, shift = self.scores(query)
         open_ = self.all & ~_bitmaps((self.ids == own_id)[None, :], self.n)[0]
-        taken = np.zeros_like(open_)
-        for plane in slices[::-1]:
-            with_digit = open_ & plane
-            n = _count(taken | with_digit)
-            if n > k:
-                open_ = with_digit
+        rows = best_rows(slices, open_, k, self.n, self.ids)
+        return sorted(((i, s + shift) for i, s in zip(self.ids[rows].tolist(), read_off(slices, rows), strict=True)), key=lambda x: (-x[1], x[0]))
+
+
+def add_up(columns: dict[int, list[np.ndarray]], like: np.ndarray) -> np.ndarray:
+    """The sum of bitmaps, each standing for its place's power of two, as slices (least significant first).
+
+    Full adders take three bitmaps of a place to one there and a carry in the next, all of a place in one go.
+    """
+    out, place = [], 0
+    while columns:
+        stack = columns.pop(place, None)
+        if stack is None:
+            out.append(np.zeros_like(like))
+            place += 1
+            continue
+        slices = np.stack(stack)
+        while len(slices) > 1:
+            third = len(slices) // 3
+            if third:
+                a, b, c = slices[:third], slices[third : 2 * third], slices[2 * third : 3 * third]
+                either = a ^ b
+                total, carry = either ^ c, (a & b) | (c & either)
+                slices = np.concatenate([total, slices[3 * third :]])
             else:
-                taken = taken | with_digit
-                open_ = open_ & ~plane
-                if n == k:
-                    open_ = np.zeros_like(open_)
-                    break
-        sure, edge = _rows(taken, self.n), _rows(open_, self.n)
-        edge = edge[np.argsort(self.ids[edge], kind="stable")][: k - len(sure)]
-        rows = np.concatenate([sure, edge])
-        digits = (slices[:, rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1) if len(slices) else np.zeros((0, len(rows)), np.uint64)
-        if len(slices) <= SCORE_DIGITS:
-            scores = (digits.astype(np.int64) << np.arange(len(slices), dtype=np.int64)[:, None]).sum(0).tolist()
+                total, carry = slices[:1] ^ slices[1:], slices[:1] & slices[1:]
+                slices = total
+            columns.setdefault(place + 1, []).extend(carry)
+        out.append(slices[0])
+        place += 1
+    return np.stack(out) if out else np.zeros((0, len(like)), np.uint64)
+
+
+def best_rows(slices: np.ndarray, open_: np.ndarray, k: int, n: int, ids: np.ndarray) -> np.ndarray:
+    """Numbers of the k rows of greatest sum among the open ones, from the most significant slice down; ties to smaller ids."""
+    taken = np.zeros_like(open_)
+    for plane in slices[::-1]:
+        with_digit = open_ & plane
+        found = _count(taken | with_digit)
+        if found > k:
+            open_ = with_digit
         else:
-            scores = [sum(1 << place for place in np.flatnonzero(column).tolist()) for column in digits.T]
-        return sorted(((i, s + shift) for i, s in zip(self.ids[rows].tolist(), scores, strict=True)), key=lambda x: (-x[1], x[0]))
+            taken = taken | with_digit
+            open_ = open_ & ~plane
+            if found == k:
+                open_ = np.zeros_like(open_)
+                break
+    sure, edge = _rows(taken, n), _rows(open_, n)
+    edge = edge[np.argsort(ids[edge], kind="stable")][: k - len(sure)]
+    return np.concatenate([sure, edge])
+
+
+def read_off(slices: np.ndarray, rows: np.ndarray) -> list[int]:
+    """The sums of some rows."""
+    digits = (slices[:, rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1) if len(slices) else np.zeros((0, len(rows)), np.uint64)
+    if len(slices) <= SCORE_DIGITS:
+        return (digits.astype(np.int64) << np.arange(len(slices), dtype=np.int64)[:, None]).sum(0).tolist()
+    return [sum(1 << place for place in np.flatnonzero(column).tolist()) for column in digits.T]
 
 
 def _bitmaps(planes: np.ndarray, n: int) -> np.ndarray:
