@@ -1,7 +1,7 @@
 """Operations of the signal language as Columns.
 
-An operation is of one kind by what it needs: `time` a window over a symbol's bars, `cross` a window
-over the symbols of a bar, `value` nothing but the row. Operations on cross sections see only
+An operation is of one kind by what it needs: `time` a window over a symbol's bars, `frame` the sums of a frame of its last
+bars (a column of `quantloom.operators.frames`), `cross` a window over the symbols of a bar, `value` nothing but the row. Operations on cross sections see only
 members of the universe. Divisions give null where they have no value, never NaN or an error.
 """
 
@@ -25,12 +25,6 @@ def bars():
     return Window.partitionBy("symbol").orderBy("ts")
 
 
-def _full(aggregate: Callable[[Column], Column], x: Column, n: int) -> Column:
-    """An aggregate of the last n bars, null unless all n have a value."""
-    frame = bars().rowsBetween(-(n - 1), 0)
-    return F.when(F.count(x).over(frame) == n, aggregate(x).over(frame))
-
-
 def _masked(x: Column) -> Column:
     return F.when(F.col("in_universe"), x)
 
@@ -39,24 +33,24 @@ def _over_bar(aggregate: Callable[[Column], Column], x: Column) -> Column:
     return aggregate(x).over(Window.partitionBy("ts"))
 
 
-def ts_mean(x: Column, n: int) -> Column:
-    return _full(F.avg, x, n)
+def ts_mean(x: Column, frame: Column, n: int) -> Column:
+    return frame["mean"]
 
 
-def ts_std(x: Column, n: int) -> Column:
-    return _full(F.stddev_samp, x, n)
+def ts_std(x: Column, frame: Column, n: int) -> Column:
+    return F.sqrt(frame["squares"] / (n - 1)) if n > 1 else F.lit(None).cast("double")
 
 
-def ts_sum(x: Column, n: int) -> Column:
-    return _full(F.sum, x, n)
+def ts_sum(x: Column, frame: Column, n: int) -> Column:
+    return frame["sum"]
 
 
-def ts_ret(x: Column, n: int) -> Column:
-    return F.try_divide(x, F.lag(x, n).over(bars())) - 1
+def ts_zscore(x: Column, frame: Column, n: int) -> Column:
+    return F.try_divide(x - ts_mean(x, frame, n), ts_std(x, frame, n))
 
 
-def ts_zscore(x: Column, n: int) -> Column:
-    return F.try_divide(x - ts_mean(x, n), ts_std(x, n))
+def ts_ret(x: Column, n: int) -> Column:
+    return F.try_divide(x, F.lag(x, n).over(bars())) - 1
 
 
 def cs_demean(x: Column) -> Column:
@@ -91,11 +85,11 @@ FIELDS: dict[str, Callable[[], Column]] = {
 }
 
 OPERATIONS: dict[str, Operation] = {
-    "ts_mean": Operation("time", 1, ts_mean),
-    "ts_std": Operation("time", 1, ts_std),
-    "ts_sum": Operation("time", 1, ts_sum),
+    "ts_mean": Operation("frame", 1, ts_mean),
+    "ts_std": Operation("frame", 1, ts_std),
+    "ts_sum": Operation("frame", 1, ts_sum),
     "ts_ret": Operation("time", 1, ts_ret),
-    "ts_zscore": Operation("time", 1, ts_zscore),
+    "ts_zscore": Operation("frame", 1, ts_zscore),
     "cs_demean": Operation("cross", 0, cs_demean),
     "cs_zscore": Operation("cross", 0, cs_zscore),
     "cs_rank": Operation("cross", 0, cs_rank),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.time import HOUR_MICROS as HOUR
 from quantloom.functions.time import whole_hours
+from quantloom.operators.frames import range_sums
 
 
 @dataclass(frozen=True)
@@ -31,24 +33,27 @@ def universe(panel: DataFrame, rules: UniverseRules = UniverseRules()) -> DataFr
     """asof, symbol, adv_usd, history_h, coverage_24h, rank, by mean hourly volume at every rebalance bar.
 
     Frames are left-closed in time, [t - w, t): the bar itself, and whatever comes after it, cannot
-    change its universe. One partitioning by symbol serves all windows over time, one by bar the rank.
+    change its universe. Rebalance bars are on the hour, so their frames are whole slots of as many hours as divide all
+    windows and the day: bars are first added up by slot, and only slots and rebalance bars go on to the frames.
     """
-    by_symbol = Window.partitionBy("symbol")
-    micros = F.unix_micros("ts")
-    timed = panel.select("symbol", "ts", "quote_volume", "n_minutes", micros.alias("us"))
-    before = by_symbol.orderBy("us")
-    adv, stale = before.rangeBetween(-rules.adv_window_h * HOUR, -1), before.rangeBetween(-rules.stale_window_h * HOUR, -1)
-    seen = timed.select(
-        "symbol", "ts",
-        F.when(F.count("quote_volume").over(adv) >= rules.adv_min_bars, F.avg("quote_volume").over(adv)).alias("adv_usd"),
-        F.when(F.count("n_minutes").over(stale) >= (rules.stale_window_h if rules.stale_min_bars is None else rules.stale_min_bars), F.sum("n_minutes").over(stale)).alias("rows"),
-        whole_hours(F.min("ts").over(by_symbol), F.col("ts")).alias("history_h"),
+    slot = math.gcd(24, rules.rebalance_every_h, rules.adv_window_h, rules.stale_window_h) * HOUR
+    us = F.unix_micros("ts")
+    slots = panel.groupBy("symbol", (F.floor(us / slot) * slot).alias("us")).agg(
+        F.count("quote_volume").alias("bars"), F.sum("quote_volume").alias("volume"), F.count("n_minutes").alias("fresh"), F.sum("n_minutes").alias("rows")
+    )
+    first = panel.groupBy("symbol").agg(F.min("ts").alias("first"))
+    asks = panel.where((F.hour("ts") % rules.rebalance_every_h == 0) & (us % HOUR == 0)).select("symbol", us.alias("us"))
+    widths = {"adv": rules.adv_window_h * HOUR, "stale": rules.stale_window_h * HOUR}
+    sums = range_sums(slots, asks, "symbol", widths, ["bars", "volume", "fresh", "rows"]).join(first, "symbol")
+    seen = sums.select(
+        "symbol", F.timestamp_micros("us").alias("ts"),
+        F.when(F.col("adv_bars") >= rules.adv_min_bars, F.try_divide("adv_volume", "adv_bars")).alias("adv_usd"),
+        F.when(F.col("stale_fresh") >= (rules.stale_window_h if rules.stale_min_bars is None else rules.stale_min_bars), F.col("stale_rows")).alias("rows"),
+        whole_hours(F.col("first"), F.timestamp_micros("us")).alias("history_h"),
     )
     covered = seen.withColumn("coverage_24h", F.col("rows") / F.lit(rules.stale_window_h * rules.rows_per_h))
     eligible = covered.where(
-        (F.hour("ts") % rules.rebalance_every_h == 0)
-        & (F.minute("ts") == 0)
-        & (F.col("history_h") >= rules.min_history_h)
+        (F.col("history_h") >= rules.min_history_h)
         & (F.col("adv_usd") >= rules.min_adv_usd)
         & (F.col("rows") >= rules.min_coverage * rules.stale_window_h * rules.rows_per_h)
     )

@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from quantloom.functions.signals import FIELDS, OPERATIONS
+from quantloom.functions.signals import FIELDS, OPERATIONS, bars
+from quantloom.operators.frames import BAR, frame, parts
 from quantloom.plans.expressions import Call, Expression, as_expression
 
 
@@ -23,6 +25,11 @@ def depth(node: Expression) -> int:
     return 1 + depth(node.of) if isinstance(node, Call) else 0
 
 
+def _frame_name(node: Call) -> str:
+    """Equal frames of one column are one, whatever is asked of them."""
+    return f"f_{column_name(node.of)}_{node.parameters[0]}"
+
+
 def with_signals(panel: DataFrame, expressions: list[str | Expression | Column]) -> tuple[DataFrame, list[str]]:
     """panel with a column for every expression, and the columns' names in the order asked for.
 
@@ -40,11 +47,25 @@ def with_signals(panel: DataFrame, expressions: list[str | Expression | Column])
         if not isinstance(node, Column):
             gather(node)
     done = panel.withColumns({column_name(c): c for c in wanted if isinstance(c, Column)})
+    apart = True  # bars of a symbol may be in several places
     for step in sorted({depth(n) for n in nodes.values()}):
+        level = {name: node for name, node in nodes.items() if depth(node) == step}
+        framed = {name: node for name, node in level.items() if isinstance(node, Call) and OPERATIONS[node.name].kind == "frame"}
+        frames = {_frame_name(node): node for node in framed.values()}
+        if frames and apart:
+            done = done.withColumn(BAR, F.row_number().over(bars()) - 1)
+        # Parts of blocks first, then frames of them, each in one go.
+        made = {k: v for name, node in frames.items() for k, v in parts(name, F.col(column_name(node.of)), node.parameters[0]).items()}
+        done = done.withColumns(made).withColumns({name: frame(name, node.parameters[0]) for name, node in frames.items()}).drop(*made)
         added = {}
-        for name, node in nodes.items():
-            if depth(node) == step:
-                added[name] = OPERATIONS[node.name].build(done[column_name(node.of)], *node.parameters) if isinstance(node, Call) else FIELDS[node.name]()
-        done = done.withColumns(added)
+        for name, node in level.items():
+            if not isinstance(node, Call):
+                added[name] = FIELDS[node.name]()
+                continue
+            x = F.col(column_name(node.of))
+            needs = (x, F.col(_frame_name(node))) if name in framed else (x,)
+            added[name] = OPERATIONS[node.name].build(*needs, *node.parameters)
+        done = done.withColumns(added).drop(*frames)
+        apart = any(isinstance(n, Call) and OPERATIONS[n.name].kind == "cross" for n in level.values()) or (apart and not frames)
     keep = [column_name(n) for n in wanted]
     return done.select(*panel.columns, *dict.fromkeys(keep)), keep

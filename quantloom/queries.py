@@ -6,6 +6,7 @@ rounded on both sides, since engines add in different orders.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -140,12 +141,11 @@ _RHO = """pairs AS (SELECT x.trial AS a, y.trial AS b, count(*) AS n, sum(x.net)
   FROM numbered x JOIN numbered y USING (t) GROUP BY 1, 2),
 spreads AS (SELECT a, b, sxx - sx * sx / n AS u, syy - sy * sy / n AS v, sxy - sx * sy / n AS c FROM pairs),
 rho AS (SELECT a, b, CASE WHEN u > 1e-18 AND v > 1e-18 THEN CASE WHEN a = b THEN 1.0 ELSE c / sqrt(u * v) END ELSE 0.0 END AS rho FROM spreads)"""
-_U = "CAST('0x' || substr(md5('{seed}:' || b || ':' || t || ':{kind}'), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
-_DRAWS = f"""places_b AS (SELECT b, t, nt FROM (SELECT unnest(range(0, {BOOT})) AS b), taxis),
-begun AS (SELECT b, t, nt, CASE WHEN t = 0 OR {_U.format(seed=SEED, kind='block')} < {1 / MEAN_BLOCK!r} THEN t END AS spot,
-  CAST(floor({_U.format(seed=SEED, kind='start')} * nt) AS BIGINT) AS start FROM places_b),
-lasts AS (SELECT *, max(spot) OVER (PARTITION BY b ORDER BY t ROWS UNBOUNDED PRECEDING) AS since FROM begun),
-draws AS (SELECT x.b, x.t, (y.start + x.t - x.since) % x.nt AS source FROM lasts x JOIN begun y ON y.b = x.b AND y.t = x.since)"""
+_HALF = "CAST('0x' || substr(md5('{seed}:' || b || ':' || j), {at}, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
+_DRAWS = f"""jumps AS (SELECT b, j, nt, 1 + least(CAST(floor(ln({_HALF.format(seed=SEED, at=1)} + {2.0**-52!r}) / {math.log(1 - 1 / MEAN_BLOCK)!r}) AS BIGINT), nt) AS length,
+    CAST(floor({_HALF.format(seed=SEED, at=14)} * nt) AS BIGINT) AS start FROM (SELECT b, t AS j, nt FROM (SELECT unnest(range(0, {BOOT})) AS b), taxis)),
+begun AS (SELECT * FROM (SELECT *, CAST(sum(length) OVER (PARTITION BY b ORDER BY j ROWS UNBOUNDED PRECEDING) AS BIGINT) - length AS begin_ FROM jumps) WHERE begin_ < nt),
+draws AS (SELECT b, t, (start + t - begin_) % nt AS source FROM (SELECT b, start, begin_, nt, unnest(range(begin_, least(begin_ + length, nt))) AS t FROM begun))"""
 _NULLS = """stats AS (SELECT trial, avg(net) AS mean, stddev_samp(net) AS sd, any_value(nt) AS nt FROM numbered GROUP BY 1),
 drawn AS (SELECT d.b, n.trial, avg(n.net) AS drawn FROM draws d JOIN numbered n ON n.t = d.source GROUP BY 1, 2),
 nulls AS (SELECT b, trial, round(CASE WHEN sd > 0 THEN (drawn - mean) / sd ELSE 0.0 END, 12) AS sharpe FROM drawn JOIN stats USING (trial))"""
@@ -193,9 +193,9 @@ def bars_daily_items(spark, sf_dir):
     return found.withColumns({c: r(c) for c in ("open", "high", "low", "close")})
 
 
-@query(f"SELECT \"asof\", symbol, {_sql_round('adv_usd', 6)}, history_h, {_sql_round('coverage_24h', 6)}, rank FROM chosen", _BARS, _UNIVERSE)
+@query(f"SELECT \"asof\", symbol, {_sql_round('adv_usd')}, history_h, {_sql_round('coverage_24h')}, rank FROM chosen", _BARS, _UNIVERSE)
 def universe_pit(spark, sf_dir):
-    return rounded(universe(event_bars(spark, sf_dir), RULES), 6)
+    return rounded(universe(event_bars(spark, sf_dir), RULES))
 
 
 @query("SELECT * FROM grid", _BARS, _GRID)
@@ -425,8 +425,10 @@ def bootstrap_draws(spark, sf_dir):
 @query("SELECT b, source, count(*) AS times FROM draws GROUP BY 1, 2", *_UP_TO_SERIES, _AXIS, _DRAWS)
 def bootstrap_counts(spark, sf_dir):
     n = series(spark, sf_dir).select("ts").distinct().count()
-    counts = bootstrap.drawn_counts(spark, n, BOOT, MEAN_BLOCK, SEED).select("b", "bars", F.posexplode("times").alias("at", "times"))
-    return counts.where("times > 0").select("b", (F.col("bars") * audit.BARS + F.col("at")).alias("source"), F.col("times").cast("long").alias("times"))
+    runs = bootstrap.drawn_runs(spark, n, BOOT, MEAN_BLOCK, SEED).select("b", "bars", F.inline(F.arrays_zip("first", "length")))
+    at = F.col("bars") * audit.BARS + F.col("first")
+    bars = runs.select("b", F.explode(F.sequence(at, at + F.col("length") - 1)).alias("source"))
+    return bars.groupBy("b", "source").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query("SELECT b, trial, round(sharpe, 8) + 0.0 AS sharpe FROM nulls", *_UP_TO_SERIES, _AXIS, _NUMBERED, _DRAWS, _NULLS)

@@ -155,16 +155,33 @@ def test_correlations_and_participation(spark):
 def test_both_ways_draw_the_same_bars(spark):
     for n_bars, mean_block in ((50, 5.0), (7, 1.0), (1, 48.0)):
         walked = {(r["b"], r["source"]): r["times"] for r in bootstrap.draws(spark, n_bars, 6, mean_block, 3).groupBy("b", "source").agg(F.count(F.lit(1)).alias("times")).collect()}
-        counts = {(b, source): int(times) for b in range(6) for source, times in enumerate(bootstrap.times_drawn(b, n_bars, mean_block, 3)) if times}
+        counts = {(b, source): int(times) for b in range(6) for source, times in enumerate(bootstrap.times_drawn(*bootstrap.runs_drawn(b, n_bars, mean_block, 3), n_bars)) if times}
         assert walked == counts
         assert all(sum(t for (b, _), t in counts.items() if b == k) == n_bars for k in range(6))
 
 
+def test_blocks_are_geometric_and_start_anywhere():
+    runs = [bootstrap.runs_drawn(b, 5000, 20.0, 1) for b in range(40)]
+    lengths = np.concatenate([length[:-1] for _, length in runs])
+    # Runs that wrap around are in two, so a few are shorter.
+    assert lengths.mean() == pytest.approx(20, rel=0.05) and (lengths == 1).mean() == pytest.approx(0.05, rel=0.25)
+    starts = np.concatenate([first for first, _ in runs])
+    assert np.histogram(starts, 5, (0, 5000))[0] == pytest.approx(len(starts) / 5, rel=0.1)
+
+
+def test_a_hash_is_taken_for_a_block_and_not_for_a_bar(monkeypatch):
+    taken = []
+    real = bootstrap.hashlib.md5
+    monkeypatch.setattr(bootstrap.hashlib, "md5", lambda x: taken.append(1) or real(x))
+    bootstrap.runs_drawn(0, 40_152, 48.0, 0)
+    assert len(taken) < 1200
+
+
 def explicit(matrix, n_boot, mean_block, seed):
     """Null Sharpe ratios from the histories themselves."""
     sd = matrix.std(0, ddof=1)
     for b in range(n_boot):
-        history = np.repeat(np.arange(len(matrix)), bootstrap.times_drawn(b, len(matrix), mean_block, seed))
+        history = np.repeat(np.arange(len(matrix)), bootstrap.times_drawn(*bootstrap.runs_drawn(b, len(matrix), mean_block, seed), len(matrix)))
         yield (matrix[history].mean(0) - matrix.mean(0)) / np.where(sd > 0, sd, np.inf)
 
 
