@@ -36,6 +36,7 @@ with several texts is a document for each: texts are told apart by digest, and c
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -272,13 +273,17 @@ def near_classes(docs: DataFrame, texts: DataFrame, owned: DataFrame, threshold:
 def prefix_links(left: DataFrame, sets: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """Near copies (a, b) among left (id, label) with different labels, exactly, by prefix filtering.
 
-    In any one order of all elements, sets of similarity t or more share one of their first
-    n - ceil(t * n) + 1 elements, and the smaller has t times the size of the larger at least. At the first
+    In any one order of all elements, sets of similarity t or more share one of the first n - ceil(t * n) + 1 elements of the
+    larger, which are looked up, that is one of the first n - ceil(2t / (1 + t) * n) + 1 of the smaller, which are
+    indexed; and the smaller has t times the size of the larger at least. At the first
     element that they share, at places i and j, what can still be shared is 1 + min(m - i, n - j), and
     t / (1 + t) of the sum of sizes is needed. The order is by how many of the LEVELS of holders (documents
     with it) an element reaches, then by hash: so documents that share a common passage and
-    less than t besides do not meet. Levels come from filters; an element that one lets pass wrongly has
+    less than t besides do not meet: the passage comes last, and what is indexed ends before it. Levels come from filters; an element that one lets pass wrongly has
     the same place for all documents, so that no link depends on it.
+
+    Sizes are in classes, each 1 / t times as large as the one before, and only equal or next ones meet. Of an element's holders those with its most frequent
+    label are not paired with each other, so that the pairs made are at most twice those of different labels.
     """
     held = left.join(sets, "id").select("id", "label", "elements")
     counts = stored(held.select(F.explode("elements").alias("element")).groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-counts")
@@ -292,18 +297,28 @@ def prefix_links(left: DataFrame, sets: DataFrame, known: DataFrame, threshold:
             place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
             n = np.repeat(sizes, sizes)
             taken = np.flatnonzero((place <= n - np.ceil(threshold * n - 1e-9) + 1) & (level[order] > 0))  # level 0: no other document has it
-            of = np.repeat(np.arange(len(sizes)), sizes)[taken]
-            columns = [pa.array(elements[order[taken]]), part["id"].take(pa.array(of)), part["label"].take(pa.array(of)), pa.array(n[taken].astype(np.int32)), pa.array(place[taken].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["element", "id", "label", "n", "place"])
-
-    prefix = stored(held.mapInArrow(prefixes, "element long, id long, label long, n int, place int"), "near-prefix")
-    several = prefix.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element")
-    open_ = prefix.join(stored(several, "near-several"), "element", "left_semi")
-    a = open_.select("element", F.col("id").alias("a"), F.col("label").alias("p"), F.col("n").alias("m"), F.col("place").alias("i"))
-    b = open_.select("element", F.col("id").alias("b"), F.col("label").alias("q"), "n", F.col("place").alias("j"))
-    like = (F.col("n") >= threshold * F.col("m") - 1e-9) & (F.col("m") >= threshold * F.col("n") - 1e-9)
+            of, m = np.repeat(np.arange(len(sizes)), sizes)[taken], n[taken]
+            indexed = place[taken] <= m - np.ceil(2 * threshold / (1 + threshold) * m - 1e-9) + 1
+            columns = [pa.array(elements[order[taken]]), part["id"].take(pa.array(of)), part["label"].take(pa.array(of)), pa.array(m.astype(np.int32)), pa.array(place[taken].astype(np.int32)), pa.array(indexed)]
+            yield pa.RecordBatch.from_arrays(columns, ["element", "id", "label", "n", "place", "indexed"])
+
+    prefix = stored(held.mapInArrow(prefixes, "element long, id long, label long, n int, place int, indexed boolean"), "near-prefix")
+    by_label = prefix.groupBy("element", "label").agg(F.count(F.lit(1)).alias("held"), F.max("indexed").alias("indexed"))
+    several = by_label.groupBy("element").agg(F.max_by("label", F.struct("held", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.max("indexed").alias("indexed"))
+    open_ = prefix.join(stored(several.where("labels > 1 and indexed").select("element", "most"), "near-several"), "element")
+    # A set that is t times as large at least is in the same class or the one below.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int") if threshold < 1 else F.col("n")
+    classed = open_.withColumn("class", size_class)
+    below = F.array("class", F.col("class") - 1) if threshold < 1 else F.array("class")
+    a = classed.select("element", F.explode(below).alias("class"), "most", F.col("id").alias("a"), F.col("label").alias("p"), F.col("n").alias("m"), F.col("place").alias("i"))
+    b = classed.where("indexed").select("element", "class", F.col("id").alias("b"), F.col("label").alias("q"), "n", F.col("place").alias("j"), F.col("most").alias("main"))
+    like = (F.col("m") >= F.col("n")) & (F.col("n") >= threshold * F.col("m") - 1e-9)
     enough = 1 + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= threshold / (1 + threshold) * (F.col("m") + F.col("n")) - 1e-9
-    pairs = a.join(b, "element").where((F.col("p") > F.col("q")) & like & enough).select("a", "b").distinct()
+    found = []
+    for looked, index in ((a.where("p <> most"), b), (a.where("p = most"), b.where("q <> main"))):
+        met = looked.join(index.drop("main"), ["element", "class"]).where((F.col("p") != F.col("q")) & like & enough)
+        found.append(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    pairs = found[0].union(found[1]).distinct()
     either = known.union(known.select("b", "a"))
     fresh = stored(pairs.join(either, ["a", "b"], "left_anti"), "near-more")
     return stored(similarities(fresh, sets).where(F.col("similarity") >= threshold).select("a", "b"), "near-links")

@@ -115,3 +115,34 @@ def test_near_dedup_tells_the_texts_of_an_id_apart(spark):
     class_of = {(r["doc_id"], bytes(r["text_digest"])): bytes(r["class_text"]) for r in found}
     digest = {t: near_dedup.digest_of(t.encode()) for _, t in rows if t}
     assert class_of == {(i, digest[t]): digest[next(x for x in (a, b, c) if t.startswith(x))] for i, t in rows if t}
+
+
+def template_documents(spark, n, own=40, common=200):
+    """Documents of one template, none of them near copies: their signatures meet, their sets do not suffice."""
+    template = " ".join(f"t{k}" for k in range(common))
+    rest = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(own - 1)), lambda k: F.concat(F.lit("o"), F.col("id").cast("string"), F.lit("_"), k.cast("string"))), " ")
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(template + " "), rest).alias("text"))
+
+
+def test_documents_of_one_template_make_no_pairs(spark, monkeypatch):
+    """What is indexed of a set ends before the template begins."""
+    made = {}
+    real = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, tag: made.setdefault(tag, real(df, tag)) if tag in ("near-several", "near-more") else real(df, tag))
+    found = near_dedup.near_groups(template_documents(spark, 1500))
+    assert found.where("doc_id <> class_id").isEmpty() and found.count() == 1500
+    assert made["near-several"].isEmpty() and made["near-more"].isEmpty()
+
+
+def test_a_large_class_is_not_paired_with_itself(spark, monkeypatch):
+    """300 near copies and two others that share a passage with them: only pairs of different classes are compared."""
+    made = {}
+    real = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, tag: made.setdefault(tag, real(df, tag)) if tag == "near-more" else real(df, tag))
+    base, rows = [f"b{k}" for k in range(200)], []
+    for k in range(300):
+        rows.append((k, " ".join([*base, f"x{k}"])))
+    rows += [(1000 + k, " ".join([*base[:150], *[f"y{k}_{j}" for j in range(45)]])) for k in range(2)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {found[k] for k in range(300)} == {0} and found[1000] == 1000 and found[1001] == 1001
+    assert not made or made["near-more"].where("a < 300 and b < 300").isEmpty()
