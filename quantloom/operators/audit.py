@@ -20,6 +20,8 @@ from quantloom.operators.backtest import PERIODS_A_YEAR
 TIE_DIGITS = 12
 #: Bars whose returns, of all trials, a task holds as one matrix.
 BARS = 4096
+#: Choices of blocks that a task judges in one go.
+SPLITS = 1024
 #: The costs that results are reported at.
 COSTS_BPS = (0.0, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0)
 
@@ -66,11 +68,11 @@ def block_moments(bars: DataFrame, n_blocks: int) -> DataFrame:
     return inside.groupBy("trial", block.alias("block")).agg(F.max("size").alias("n"), F.sum("net").alias("s"), F.sum(F.col("net") * F.col("net")).alias("ss"))
 
 
-def _moment_sharpe(n: Column, s: Column, ss: Column) -> Column:
+def _moment_sharpes(n: np.ndarray, s: np.ndarray, ss: np.ndarray) -> np.ndarray:
     """Mean over population deviation, 0 for a constant series."""
     mean = s / n
-    variance = F.greatest(ss / n - mean * mean, F.lit(0.0))
-    return F.round(F.when(variance > 0, F.try_divide(mean, F.sqrt(variance))).otherwise(0.0), TIE_DIGITS)
+    spread = np.sqrt(np.maximum(ss / n - mean * mean, 0.0))
+    return np.round(np.divide(mean, spread, out=np.zeros_like(mean), where=spread > 0), TIE_DIGITS)
 
 
 def even(n_blocks: int) -> int:
@@ -80,29 +82,33 @@ def even(n_blocks: int) -> int:
 def cscv_cloud(series: DataFrame, n_blocks: int = 10) -> DataFrame:
     """split, is_sharpe, oos_sharpe, logit: the in-sample winner of every choice of half the blocks.
 
-    A split is a number whose binary digits say which blocks are in sample. At most 12 870 splits
-    (16 blocks) meet a row for each trial and block, so moments, not bars, are multiplied.
+    A split is a number whose binary digits say which blocks are in sample. A task has SPLITS splits and the moments of all
+    trials by block, and multiplies a matrix of the one by one of the other: there is a row for each split, and none for a split and a trial.
     """
     blocks = even(n_blocks)
     moments = block_moments(numbered(series), blocks)
-    masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << blocks) - 1).cast("long")), lambda m: F.bit_count(m) == blocks // 2)
-    side = F.expr("(split >> block) & 1") == 1
-    both = moments.withColumn("split", F.explode(masks)).groupBy("split", "trial").agg(
-        *[(F.max("n") * (blocks // 2)).alias(f"n{k}") for k in "io"],
-        *[F.sum(F.when(test, F.col(c)).otherwise(0.0)).alias(f"{c}{k}") for k, test in (("i", side), ("o", ~side)) for c in ("s", "ss")],
-    )
-    ratios = both.select(
-        "split", "trial", _moment_sharpe(F.col("ni"), F.col("si"), F.col("ssi")).alias("i"), _moment_sharpe(F.col("no"), F.col("so"), F.col("sso")).alias("o")
-    )
-    whole = Window.partitionBy("split")
-    best = F.max_by("o", F.struct("i", -F.col("trial"))).over(whole)
-    ranked = ratios.withColumn("chosen", best)
-    found = ranked.groupBy("split").agg(
-        F.max("i").alias("is_sharpe"), F.first("chosen").alias("oos_sharpe"),
-        F.sum(F.when(F.col("o") <= F.col("chosen"), 1).otherwise(0)).alias("rank"), F.count(F.lit(1)).alias("trials"),
-    )
-    omega = F.least(F.greatest(F.col("rank") / (F.col("trials") + 1), F.lit(1e-9)), F.lit(1 - 1e-9))
-    return found.select("split", "is_sharpe", "oos_sharpe", F.ln(omega / (1 - omega)).alias("logit"))
+    every = [m for m in range(1 << blocks) if m.bit_count() == blocks // 2]  # 12 870 for 16 blocks, which runs do not exceed
+
+    def judged(rows: pa.Table) -> pa.Table:
+        first = int(rows["part"][0].as_py()) * SPLITS
+        splits = np.array(every[first : first + SPLITS], np.int64)
+        inside = (splits[:, None] >> np.arange(blocks)) & 1
+        names, column = np.unique(np.asarray(rows["trial"]), return_inverse=True)
+        block = np.asarray(rows["block"]).astype(np.int64)
+        held = {c: np.zeros((blocks, len(names))) for c in ("n", "s", "ss")}
+        for c, matrix in held.items():
+            matrix[block, column] = np.asarray(rows[c]).astype(float)
+        held["n"][:] = held["n"].max()  # a trial without a bar in some block has zeros there
+        i, o = (_moment_sharpes(*(side @ held[c] for c in ("n", "s", "ss"))) for side in (inside, 1 - inside))
+        best = i.argmax(1)  # the first of equals, in order of trials
+        at = np.arange(len(splits))
+        chosen = o[at, best]
+        omega = np.clip((o <= chosen[:, None]).sum(1) / (len(names) + 1), 1e-9, 1 - 1e-9)
+        return pa.table({"split": splits, "is_sharpe": i[at, best], "oos_sharpe": chosen, "logit": np.log(omega / (1 - omega))})
+
+    parts = F.explode(F.sequence(F.lit(0), F.lit((len(every) - 1) // SPLITS))).alias("part")
+    dealt = moments.select(parts, F.col("trial").cast("long").alias("trial"), "block", "n", "s", "ss")
+    return dealt.groupBy("part").applyInArrow(judged, "split long, is_sharpe double, oos_sharpe double, logit double")
 
 
 def pbo_summary(cloud: DataFrame) -> DataFrame:

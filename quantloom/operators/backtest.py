@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators.scans import equity
 from quantloom.plans.expressions import Call, Expression, as_expression, lookback
 from quantloom.plans.grid import with_signals
 
@@ -107,13 +108,6 @@ def sharpe(x: str, periods: int = PERIODS_A_YEAR) -> Column:
     return F.when(spread > 0, F.avg(x) / spread * F.sqrt(F.lit(float(periods))))
 
 
-def equity(series: DataFrame, keys: tuple[str, ...] = ("trial",)) -> DataFrame:
-    """series with equity, equity_gross (growth of one unit) and peak."""
-    past = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    grown = series.withColumns({"equity": F.product(1 + F.col("net")).over(past), "equity_gross": F.product(1 + F.col("gross")).over(past)})
-    return grown.withColumn("peak", F.max("equity").over(past))
-
-
 def metrics(series: DataFrame, rebalances: dict[int, int], periods: int = PERIODS_A_YEAR) -> DataFrame:
     """One row a trial; series of fewer than two bars have no Sharpe ratio, return or deviation."""
     enough = F.count(F.lit(1)) >= 2

@@ -6,35 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.time import whole_hours
+from quantloom.operators import scans
+from quantloom.operators.scans import asof_join  # noqa: F401
 
 PRICES = ("open", "high", "low", "close")
 FLOWS = ("volume", "quote_volume", "trades", "taker_buy_quote", "n_minutes")
 
 
-def gap_free(panel: DataFrame, step: str = "1 hour") -> DataFrame:
-    """Every bar from a symbol's first to its last: prices carried forward, flows 0, is_real false where none was."""
-    ends = panel.groupBy("symbol").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    grid = ends.select("symbol", F.explode(F.sequence("lo", "hi", F.expr(f"interval {step}"))).alias("ts"))
-    held = grid.join(panel.withColumn("is_real", F.lit(True)), ["symbol", "ts"], "left")
-    past = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    filled = {c: F.last(c, ignorenulls=True).over(past) for c in PRICES if c in panel.columns}
-    filled |= {c: F.coalesce(c, F.lit(0).cast(held.schema[c].dataType)) for c in FLOWS if c in panel.columns}
-    return held.withColumns({**filled, "is_real": F.coalesce("is_real", F.lit(False))})
-
-
-def asof_join(left: DataFrame, right: DataFrame, on: str, right_on: str, by: str, carry: list[str]) -> DataFrame:
-    """left with the carried columns of the last row of right with right_on <= on, for the same `by`.
-
-    Both sides are one sorted stream by key, and the last row seen of right is carried forward: one
-    shuffle and no pair of rows, whatever the distance. Rows of right come before equal rows of left.
-    """
-    held = F.struct(F.col(right_on).alias("at"), *carry)
-    marked = right.select(F.col(by).alias("key"), F.col(right_on).alias("when"), F.lit(0).alias("side"), held.alias("held"))
-    rows = left.select(F.col(by).alias("key"), F.col(on).alias("when"), F.lit(1).alias("side"), F.struct("*").alias("row"))
-    both = marked.unionByName(rows, allowMissingColumns=True)
-    past = Window.partitionBy("key").orderBy("when", "side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("held", F.last("held", ignorenulls=True).over(past)).where("side = 1")
-    return found.select("row.*", F.col("held.at").alias(right_on), *[F.col(f"held.{c}").alias(c) for c in carry])
+def gap_free(panel: DataFrame) -> DataFrame:
+    """Every hourly bar from a symbol's first to its last: prices carried forward, flows 0, is_real false where none was."""
+    return scans.gap_free(panel, [c for c in PRICES if c in panel.columns], [c for c in FLOWS if c in panel.columns])
 
 
 def with_returns(grid: DataFrame) -> DataFrame:
@@ -47,15 +28,17 @@ def with_returns(grid: DataFrame) -> DataFrame:
 def with_membership(features: DataFrame, chosen: DataFrame, rebalance_every_h: int) -> DataFrame:
     """in_universe: chosen at a bar not rebalance_every_h or more hours before.
 
-    A choice is made at a bar of the same symbol, so an equal join finds it and a window carries it on.
+    Choices are put into the stream of their symbol's bars and carried on from there, so that no join moves the panel.
     """
-    picks = chosen.select("symbol", F.col("asof").alias("ts"), F.col("asof"))
-    past = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    joined = features.join(picks, ["symbol", "ts"], "left").withColumn("asof", F.last("asof", ignorenulls=True).over(past))
+    picks = chosen.select("symbol", F.col("asof").alias("ts"), "asof", F.lit(0).alias("side"))
+    past = Window.partitionBy("symbol").orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, 0)
+    both = features.withColumn("side", F.lit(1)).unionByName(picks, allowMissingColumns=True)
+    carried = both.withColumn("asof", F.last("asof", ignorenulls=True).over(past)).where("side = 1")
     inside = F.col("asof").isNotNull() & (whole_hours(F.col("asof"), F.col("ts")) < rebalance_every_h)
-    return joined.withColumn("in_universe", inside).drop("asof")
+    return carried.withColumn("in_universe", inside).drop("asof", "side")
 
 
 def feature_panel(panel: DataFrame, chosen: DataFrame, rebalance_every_h: int = 24) -> DataFrame:
-    """The panel that signals are evaluated on. All its windows are over a symbol's bars: one partitioning."""
-    return with_membership(with_returns(gap_free(panel)), chosen, rebalance_every_h)
+    """The panel that signals are evaluated on. Gaps are filled by segments of a symbol; the rest shares one partitioning by symbol, which signals go on with."""
+    done = with_returns(with_membership(gap_free(panel), chosen, rebalance_every_h))
+    return done.select(*[c for c in done.columns if c != "in_universe"], "in_universe")

@@ -18,6 +18,7 @@ from quantloom.operators.features import asof_join, feature_panel, gap_free
 from quantloom.operators.universe import UniverseRules, universe
 from quantloom.plans.grid import with_signals
 from quantloom.sources.bars import event_bars, item_bars
+from quantloom.sources.scratch import stored
 
 RULES = UniverseRules(rebalance_every_h=24, min_history_h=72, adv_window_h=72, adv_min_bars=24, min_adv_usd=0.0, stale_min_bars=6, min_coverage=0.2, max_symbols=4, rows_per_h=1.0)
 LOOKBACKS, REBALANCES, COST = (6, 24), (6, 24), 5.0
@@ -53,6 +54,11 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trial_series(panel(spark, sf_dir), TRIALS)
 
 
+def kept_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For what reads it several times, as a run does that has stored it."""
+    return stored(series(spark, sf_dir), "series")
+
+
 _BARS = """bars AS (
   SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
     last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume, CAST(sum(CAST(value AS DECIMAL(20, 2))) AS DOUBLE) AS quote_volume,
@@ -296,13 +302,13 @@ _SIGNED_LOG = "round(sign({0}) * ln(1 + abs({0})), 7) + 0.0 AS {0}"
 
 @query(f"SELECT trial, ts, {_SIGNED_LOG.format('equity')}, {_SIGNED_LOG.format('equity_gross')} FROM curve", *_UP_TO_SERIES, _CURVE)
 def equity_curve(spark, sf_dir):
-    return equity(series(spark, sf_dir)).select("trial", "ts", signed_log("equity").alias("equity"), signed_log("equity_gross").alias("equity_gross"))
+    return equity(kept_series(spark, sf_dir)).select("trial", "ts", signed_log("equity").alias("equity"), signed_log("equity_gross").alias("equity_gross"))
 
 
 @query(f"SELECT trial, {_SIGNED_LOG.format('max_drawdown')} FROM (SELECT trial, min((equity - peak) / nullif(peak, 0)) AS max_drawdown FROM peaks GROUP BY 1)", *_UP_TO_SERIES, _CURVE)
 def drawdown(spark, sf_dir):
     fall = F.min(F.try_divide(F.col("equity") - F.col("peak"), F.col("peak")))
-    return equity(series(spark, sf_dir)).groupBy("trial").agg(fall.alias("max_drawdown")).select("trial", signed_log("max_drawdown").alias("max_drawdown"))
+    return equity(kept_series(spark, sf_dir)).groupBy("trial").agg(fall.alias("max_drawdown")).select("trial", signed_log("max_drawdown").alias("max_drawdown"))
 
 
 _METRICS = f"""SELECT trial, count(*) AS n_bars, round(avg(net) / nullif(stddev_samp(net), 0) * {_ANN}, 6) + 0.0 AS sharpe, round(avg(gross) / nullif(stddev_samp(gross), 0) * {_ANN}, 6) + 0.0 AS gross_sharpe,
@@ -313,7 +319,7 @@ _METRICS = f"""SELECT trial, count(*) AS n_bars, round(avg(net) / nullif(stddev_
 
 @query(_METRICS, *_UP_TO_SERIES, _CURVE)
 def trial_metrics(spark, sf_dir):
-    return rounded(metrics(series(spark, sf_dir), {t.number: t.rebalance_every_h for t in TRIALS}), 6)
+    return rounded(metrics(kept_series(spark, sf_dir), {t.number: t.rebalance_every_h for t in TRIALS}), 6)
 
 
 @query("SELECT * FROM folds", *_UP_TO_SERIES, _AXIS, _EDGES, _FOLDS)
@@ -322,7 +328,7 @@ def walk_forward_folds(spark, sf_dir):
 
 
 def _fold_sharpes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = series(spark, sf_dir)
+    found = kept_series(spark, sf_dir)
     return fold_sharpes(found, folds(found, WALK), {t.number: t.lookback for t in TRIALS})
 
 
@@ -341,7 +347,7 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
   LEFT JOIN (SELECT trial, string_agg(fold || ':' || coalesce(printf('%.4f', round(is_sharpe, 4) + 0.0), 'null') || ':' || coalesce(printf('%.4f', round(oos_sharpe, 4) + 0.0), 'null'), ' ' ORDER BY fold) AS folds FROM fold_sharpes GROUP BY 1) USING (trial)""", *_UP_TO_FOLDS, _CURVE)
 def trial_results(spark, sf_dir):
     """The whole table of trials; nested folds are shown as text."""
-    found = trial_table(series(spark, sf_dir), TRIALS, WALK)
+    found = trial_table(kept_series(spark, sf_dir), TRIALS, WALK)
     fold = F.transform("folds", lambda f: F.format_string("%d:%.4f:%.4f", f["fold"], r(f["is_sharpe"], 4), r(f["oos_sharpe"], 4)))
     return rounded(found.withColumn("folds", F.array_join(fold, " ")), 6)
 
@@ -371,29 +377,29 @@ def spearman_is_oos(spark, sf_dir):
 
 @query(f"SELECT trial, block, n, {_sql_round('s ss', 6)} FROM moments", *_UP_TO_SERIES, _AXIS, _NUMBERED, _MOMENTS)
 def block_moments(spark, sf_dir):
-    return rounded(audit.block_moments(audit.numbered(series(spark, sf_dir)), BLOCKS), 6)
+    return rounded(audit.block_moments(audit.numbered(kept_series(spark, sf_dir)), BLOCKS), 6)
 
 
 @query(f"SELECT split, {_sql_round('is_sharpe oos_sharpe logit')} FROM cloud", *_UP_TO_CLOUD)
 def cscv_cloud(spark, sf_dir):
-    return rounded(audit.cscv_cloud(series(spark, sf_dir), BLOCKS))
+    return rounded(audit.cscv_cloud(kept_series(spark, sf_dir), BLOCKS))
 
 
 @query("""SELECT round(avg(CASE WHEN logit < 0 THEN 1.0 ELSE 0.0 END), 8) + 0.0 AS pbo, count(*) AS n_combinations, round(median(is_sharpe), 8) + 0.0 AS median_is_sharpe, round(median(oos_sharpe), 8) + 0.0 AS median_oos_sharpe,
   round(avg(CASE WHEN oos_sharpe < 0 THEN 1.0 ELSE 0.0 END), 8) + 0.0 AS prob_oos_loss, round(coalesce(nullif(regr_slope(oos_sharpe, is_sharpe), CAST('NaN' AS DOUBLE)), 0), 6) + 0.0 AS deterioration_slope, round(median(is_sharpe) - median(oos_sharpe), 8) + 0.0 AS selection_premium FROM cloud""", *_UP_TO_CLOUD)
 def pbo_summary(spark, sf_dir):
-    return rounded(audit.pbo_summary(audit.cscv_cloud(series(spark, sf_dir), BLOCKS)), 8, deterioration_slope=6)
+    return rounded(audit.pbo_summary(audit.cscv_cloud(kept_series(spark, sf_dir), BLOCKS)), 8, deterioration_slope=6)
 
 
 @query("SELECT a, b, round(rho, 7) + 0.0 AS rho FROM rho", *_UP_TO_SERIES, _AXIS, _NUMBERED, _RHO)
 def correlation_matrix(spark, sf_dir):
-    return rounded(audit.correlations(series(spark, sf_dir)), 7)
+    return rounded(audit.correlations(kept_series(spark, sf_dir)), 7)
 
 
 @query("""SELECT round(CASE WHEN k < 2 THEN 1.0 ELSE k * k / s END, 6) + 0.0 AS participation_ratio, round(m, 6) + 0.0 AS mean_abs_corr
   FROM (SELECT sum(CASE WHEN a = b AND rho = 1 THEN 1 ELSE 0 END) AS k, sum(rho * rho) AS s, coalesce(avg(CASE WHEN a <> b THEN abs(rho) END), 0) AS m FROM rho)""", *_UP_TO_SERIES, _AXIS, _NUMBERED, _RHO)
 def participation_ratio(spark, sf_dir):
-    return rounded(audit.participation(audit.correlations(series(spark, sf_dir))), 6)
+    return rounded(audit.participation(audit.correlations(kept_series(spark, sf_dir))), 6)
 
 
 @query("""SELECT trial, n AS n_obs, round(m, 9) + 0.0 AS mean, round(sqrt(v * n / (n - 1)), 9) + 0.0 AS sd, round(CASE WHEN v > 0 THEN m3 / v ** 1.5 ELSE 0.0 END, 5) + 0.0 AS skew, round(CASE WHEN v > 0 THEN m4 / (v * v) ELSE 3.0 END, 5) + 0.0 AS kurtosis
@@ -433,14 +439,14 @@ def bootstrap_counts(spark, sf_dir):
 
 @query("SELECT b, trial, round(sharpe, 8) + 0.0 AS sharpe FROM nulls", *_UP_TO_SERIES, _AXIS, _NUMBERED, _DRAWS, _NULLS)
 def bootstrap_null_sharpes(spark, sf_dir):
-    return rounded(bootstrap.null_sharpes(series(spark, sf_dir), BOOT, MEAN_BLOCK, SEED))
+    return rounded(bootstrap.null_sharpes(kept_series(spark, sf_dir), BOOT, MEAN_BLOCK, SEED))
 
 
 @query(f"""SELECT round(avg(CASE WHEN best >= statistic THEN 1.0 ELSE 0.0 END), 8) + 0.0 AS p_value, round(max(statistic), 8) + 0.0 AS statistic, round(avg(best), 8) + 0.0 AS mean_best, round(quantile_cont(best, 0.95), 8) + 0.0 AS q95,
   round(sqrt(greatest(sum(ss) / (count(*) * {len(TRIALS)}) - (sum(s) / (count(*) * {len(TRIALS)})) ** 2, 0)), 8) + 0.0 AS null_sd
   FROM (SELECT b, max(sharpe) AS best, sum(sharpe) AS s, sum(sharpe * sharpe) AS ss FROM nulls GROUP BY 1), (SELECT max(round(coalesce(mean / nullif(sd, 0), 0), 12)) AS statistic FROM stats)""", *_UP_TO_SERIES, _AXIS, _NUMBERED, _DRAWS, _NULLS)
 def reality_check(spark, sf_dir):
-    found = series(spark, sf_dir)
+    found = kept_series(spark, sf_dir)
     best = bootstrap.null_best(found, BOOT, MEAN_BLOCK, SEED)
     return rounded(bootstrap.reality_check(best, bootstrap.observed_best(found), len(TRIALS)))
 
@@ -457,5 +463,5 @@ def returns_wide(spark, sf_dir):
 def equity_thinned(spark, sf_dir):
     """Every so many bars and the last, about a hundred points a trial: the feature is a chart's line."""
     whole = Window.partitionBy("trial")
-    numbered = equity(series(spark, sf_dir)).select("trial", "ts", "equity", (F.row_number().over(whole.orderBy("ts")) - 1).alias("i"), F.count(F.lit(1)).over(whole).alias("n"))
+    numbered = equity(kept_series(spark, sf_dir)).select("trial", "ts", "equity", (F.row_number().over(whole.orderBy("ts")) - 1).alias("i"), F.count(F.lit(1)).over(whole).alias("n"))
     return numbered.where((F.col("i") % F.greatest(F.ceil(F.col("n") / 100), F.lit(1)) == 0) | (F.col("i") == F.col("n") - 1)).select("trial", "ts", signed_log("equity").alias("equity"))
