@@ -10,6 +10,7 @@ import json
 import math
 import posixpath
 import re
+import threading
 import time
 import traceback
 import uuid
@@ -32,6 +33,10 @@ from quantloom.plans.expressions import expand, parse
 SCHEMA_VERSION = 4
 
 
+#: In a table's folder: which of its versions is the table. Spark passes over names that begin so.
+POINTER = "_current.json"
+
+
 def _between(name: str, value: float, low: float, high: float = math.inf) -> None:
     if not (isinstance(value, int | float) and math.isfinite(value) and low <= value <= high):
         raise ValueError(f"{name} has to be {low} to {high}, not {value!r}")
@@ -117,7 +122,8 @@ class ResultStore:
         self.spark = spark
         fs = spark._jvm.org.apache.hadoop.fs
         configuration, root_ = spark._jsc.hadoopConfiguration(), fs.Path(root)
-        self.files = root_.getFileSystem(configuration)
+        self.files = fs.FileSystem.newInstance(root_.toUri(), configuration)
+        self.files.setWriteChecksum(False)  # on a local disk sums are files of their own, and would not be replaced in the same step
         self.root = self.files.makeQualified(root_).toString().rstrip("/")
         self.context = fs.FileContext.getFileContext(self.files.getUri(), configuration)
 
@@ -130,6 +136,16 @@ class ResultStore:
     def _at(self, path: str):  # noqa: ANN202
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
+    def _rename(self, part: str, to: str) -> None:
+        """In one step: readers see the old file or the new one."""
+        if self.files.getUri().getScheme() == "file":
+            self.files.getRaw().rename(self._at(part), self._at(to))  # that of the operating system, which replaces; Hadoop's own would delete first
+            return
+        kind = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        self.context.rename(self._at(part), self._at(to), options)
+
     def put_json(self, key: str, value: object) -> None:
         """The file appears whole, in the place of an older one."""
         to = self.path(key)
@@ -137,10 +153,7 @@ class ResultStore:
         stream = self.files.create(self._at(part), True)
         stream.write(bytearray(json.dumps(value, indent=1, default=str).encode()))
         stream.close()
-        kind = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(kind, 1)
-        options[0] = kind.OVERWRITE
-        self.context.rename(self._at(part), self._at(to), options)
+        self._rename(part, to)
 
     def get_json(self, key: str) -> dict:
         at = self._at(self.path(key))
@@ -153,14 +166,46 @@ class ResultStore:
             stream.close()
 
     def put_table(self, key: str, table: DataFrame, *by: str) -> DataFrame:
-        table.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(self.path(key))
+        """The table appears whole, in the place of an older one, which can be read until then and by those who have begun to.
+
+        Every write has a folder of its own, and a pointer, replaced in one step when all is written, says which one is the table. A write that was cut off
+        leaves a folder that no pointer names; the next write sweeps it away, with all that is older than the table before.
+        """
+        version = self._version()
+        table.write.option("compression", "zstd").partitionBy(*by).parquet(f"{self.path(key)}/{version}")
+        self._commit(key, version)
         return self.get_table(key)
 
+    def _version(self) -> str:
+        """Names in order of time."""
+        return f"version-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+    def _commit(self, key: str, version: str) -> None:
+        before = self._current(key)
+        self.put_json(f"{key}/{POINTER}", {"version": version})
+        for f in self.files.listStatus(self._at(self.path(key))):
+            name = f.getPath().getName()
+            if name.startswith("version-") and name < version and name != before:
+                self.files.delete(f.getPath(), True)
+
+    def _current(self, key: str) -> str | None:
+        try:
+            return self.get_json(f"{key}/{POINTER}")["version"]
+        except KeyError:
+            return None
+
     def get_table(self, key: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(key))
+        version = self._current(key)
+        return self.spark.read.parquet(f"{self.path(key)}/{version}" if version else self.path(key))  # a plain folder is a table, too
 
     def exists(self, key: str) -> bool:
-        return self.files.exists(self._at(self.path(key)))
+        """Whether there is such a file, or such a table that has been written to its end."""
+        at = self._at(self.path(key))
+        if not self.files.exists(at):
+            return False
+        if self.files.getFileStatus(at).isFile() or self._current(key):
+            return True
+        return not any(f.getPath().getName().startswith("version-") for f in self.files.listStatus(at))
 
     def keys(self, name: str = "status.json") -> list[str]:
         found = self.files.globStatus(self._at(f"{self.root}/*/{name}")) or []
@@ -170,11 +215,20 @@ class ResultStore:
         self.files.delete(self._at(self.path(prefix)), True)
 
     def copy(self, key: str, to: ResultStore) -> None:
-        """The artefact, a file or a table, in the place of what the other store has."""
+        """The artefact, a file or a table, in the place of what the other store has; it appears there whole."""
         configuration, util = self.spark._jsc.hadoopConfiguration(), self.spark._jvm.org.apache.hadoop.fs.FileUtil
-        to.delete(key)
-        to.files.mkdirs(to._at(posixpath.dirname(to.path(key))))
-        util.copy(self.files, self._at(self.path(key)), to.files, to._at(to.path(key)), False, configuration)
+        if version := self._current(key):
+            fresh = to._version()
+            to.files.mkdirs(to._at(to.path(key)))
+            util.copy(self.files, self._at(f"{self.path(key)}/{version}"), to.files, to._at(f"{to.path(key)}/{fresh}"), False, configuration)
+            to._commit(key, fresh)
+            return
+        part = f"{to.path(key)}.{uuid.uuid4().hex}.part"
+        to.files.mkdirs(to._at(posixpath.dirname(part)))
+        util.copy(self.files, self._at(self.path(key)), to.files, to._at(part), False, configuration)
+        if to.files.isDirectory(to._at(to.path(key))):  # a folder cannot be replaced in one step
+            to.delete(key)
+        to._rename(part, to.path(key))
 
 
 def _now() -> str:
@@ -189,13 +243,66 @@ def create(store: ResultStore, spec: RunSpec) -> str:
     return run
 
 
-def execute(store: ResultStore, run: str, bars: DataFrame, **rules: float) -> dict:
-    """Carries a recorded run out on a panel of bars; returns its status. An error ends the run, not the caller."""
+class Watch(threading.Thread):
+    """Writes a running run's progress to its status, and cancels its jobs when it is asked to stop.
+
+    Progress is that of the jobs that carry the run's tag: tasks done of those in their stages. Every look is a heartbeat, by which
+    `reconcile` tells runs whose application has gone.
+    """
+
+    def __init__(self, store: ResultStore, run: str, save: Callable[..., None], phase: Callable[[], str], n_trials: int, every: float):
+        super().__init__(daemon=True)
+        self.store, self.run_, self.save, self.phase, self.n_trials, self.every = store, run, save, phase, n_trials, every
+        self.context, self.ended, self.stopped = store.spark.sparkContext, threading.Event(), False
+        self.tasks: dict[int, tuple[int, int]] = {}
+        self.seen = ""
+
+    def run(self) -> None:
+        while not self.ended.wait(self.every):
+            self.look()
+
+    def look(self) -> None:
+        if self.store.exists(f"{self.run_}/{STOP}"):
+            self.stopped = True
+            self.context.cancelJobsWithTag(tag_of(self.run_))
+        if self.phase() != self.seen:  # each phase has its own stages
+            self.seen, self.tasks = self.phase(), {}
+        tracker = self.context._jsc.sc().statusTracker()
+        jobs = list(tracker.getJobIdsForTag(tag_of(self.run_)))
+        for info in filter(None, map(self.context.statusTracker().getJobInfo, jobs)):
+            for stage in info.stageIds if info.status == "RUNNING" else ():
+                found = self.context.statusTracker().getStageInfo(stage)
+                if found:
+                    self.tasks[stage] = (found.numCompletedTasks, found.numTasks)
+        done, known = (sum(t[k] for t in self.tasks.values()) for k in (0, 1))
+        more = {"n_done": min(self.n_trials - 1, self.n_trials * done // known)} if self.seen == "trials" and known else {}
+        self.save(tasks_done=done, tasks_known=known, heartbeat=_now())
+        if more:
+            self.save(only_in="trials", **more)
+
+
+#: A file beside a run's status that asks it to stop.
+STOP = "stop.json"
+#: Seconds between two looks at a running run.
+LOOK_S = 2.0
+
+
+def tag_of(run: str) -> str:
+    return f"quantloom-{run}"
+
+
+def execute(store: ResultStore, run: str, bars: DataFrame, look_s: float = LOOK_S, **rules: float) -> dict:
+    """Carries a recorded run out on a panel of bars; returns its status. An error, or a request to stop, ends the run, not the caller."""
     spec, status = RunSpec.of(store.get_json(f"{run}/spec.json")), store.get_json(f"{run}/status.json")
+    if status["state"] == "stopped":
+        return status
+    context, lock = store.spark.sparkContext, threading.Lock()
 
-    def save(**changes: object) -> None:
-        status.update(changes)
-        store.put_json(f"{run}/status.json", status)
+    def save(only_in: str | None = None, **changes: object) -> None:
+        with lock:
+            if only_in in (None, status["phase"]):  # else the phase has gone on meanwhile
+                status.update(changes)
+                store.put_json(f"{run}/status.json", status)
 
     began, seconds = time.monotonic(), {}
 
@@ -204,7 +311,10 @@ def execute(store: ResultStore, run: str, bars: DataFrame, **rules: float) -> di
         seconds[status["phase"]] = round(time.monotonic() - began - sum(seconds.values()), 3)
         save(phase=name, **changes)
 
-    save(state="running", phase="preparing", error=None, finished_at=None, n_done=0)
+    save(state="running", phase="preparing", error=None, finished_at=None, n_done=0, application_id=context.applicationId, heartbeat=_now())
+    context.addJobTag(tag_of(run))
+    watch = Watch(store, run, save, lambda: status["phase"], len(spec.trials()), look_s)
+    watch.start()
     try:
         limits = spec.universe.rules(**rules)
         panel = store.put_table(f"{run}/panel.parquet", feature_panel(bars, universe(bars, limits), limits.rebalance_every_h))
@@ -216,13 +326,40 @@ def execute(store: ResultStore, run: str, bars: DataFrame, **rules: float) -> di
         phase("audit", n_done=len(spec.trials()))
         finalise(store, run, spec, series, status["provenance"])
         phase("done", state="done", finished_at=_now())
-        context = store.spark.sparkContext
         store.put_json(f"{run}/execution.json", {"run_id": run, "seconds": seconds, "application_id": context.applicationId, "spark_version": context.version, "parallelism": context.defaultParallelism})
     except Exception:  # noqa: BLE001  whatever it is, it is the run's outcome
-        save(state="failed", phase="failed", error=traceback.format_exc(), finished_at=_now())
+        ended = {"state": "stopped", "phase": "stopped", "error": None} if watch.stopped else {"state": "failed", "phase": "failed", "error": traceback.format_exc()}
+        save(**ended, finished_at=_now())
+    finally:
+        watch.ended.set()
+        watch.join()
+        context.removeJobTag(tag_of(run))
     return status
 
 
+def stop(store: ResultStore, run: str) -> None:
+    """Asks a run to stop, from whatever process: one that is running ends at its next look, one that has not begun will not."""
+    status = store.get_json(f"{run}/status.json")
+    if status["state"] not in ("queued", "running"):
+        raise RuntimeError(f"{run} has ended")
+    if status["state"] == "queued":
+        store.put_json(f"{run}/status.json", {**status, "state": "stopped", "phase": "stopped", "finished_at": _now()})
+    else:
+        store.put_json(f"{run}/{STOP}", {"asked_at": _now()})
+
+
+def reconcile(store: ResultStore, patience_s: float = 60.0) -> list[str]:
+    """Marks running runs as failed whose application has not been heard of for that long; returns their ids."""
+    gone = []
+    for status in runs(store):
+        heard = status.get("heartbeat")
+        if status["state"] != "running" or (heard and (datetime.now(UTC) - datetime.fromisoformat(heard)).total_seconds() < patience_s):
+            continue
+        gone.append(status["run_id"])
+        store.put_json(f"{status['run_id']}/status.json", {**status, "state": "failed", "phase": "failed", "error": f"application {status.get('application_id')} has gone", "finished_at": _now()})
+    return gone
+
+
 def _row(df: DataFrame) -> dict:
     found = df.first()
     return {k: str(v) if isinstance(v, datetime) else v for k, v in found.asDict(recursive=True).items()} if found else {}
