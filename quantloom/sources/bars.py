@@ -19,41 +19,52 @@ RAW_COLUMNS = (
 )
 #: Columns of a stored panel.
 PANEL = "symbol string, ts timestamp, open double, high double, low double, close double, volume double, quote_volume double, trades long, taker_buy_quote double, n_minutes int"
-_WHOLE = ("open_time", "close_time", "trades")
-MINUTES = "symbol string, month string, ts timestamp, seq long, " + ", ".join(f"{c} {'long' if c in _WHOLE else 'double'}" for c in RAW_COLUMNS)
+WHOLE = ("open_time", "close_time", "trades")
+MINUTES = "symbol string, month string, ts timestamp, seq long, " + ", ".join(f"{c} {'long' if c in WHOLE else 'double'}" for c in RAW_COLUMNS)
 #: Fixed value: times of open above this are microseconds, others milliseconds; a file is of one kind.
 MICROS_FROM = 10**14
 #: Symbol (the folder, or its partition) and month (in the name, else the name itself) of an archive's path.
 _NAMES = (r"(?:symbol=)?([^/=]+)/[^/]*$", r"(\d{4}-\d{2})[^/]*$", r"([^/]+)\.[^/.]*$")
 
 
-def zipped(spark: SparkSession, path: str) -> DataFrame:
-    """symbol, month, modified, content of all zip files below path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+def named(files: DataFrame) -> DataFrame:
+    """symbol, month, modified, content of archives read as binary files."""
     symbol, month, name = (F.regexp_extract("path", pattern, 1) for pattern in _NAMES)
     return files.select(symbol.alias("symbol"), F.when(month != "", month).otherwise(name).alias("month"), F.col("modificationTime").alias("modified"), "content")
 
 
+def zipped(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, month, modified, content of all zip files below path."""
+    return named(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path))
+
+
+def parsed_archive(symbol: str, month: str, content: bytes) -> pd.DataFrame | None:
+    """The rows of MINUTES of one archive; a header line is passed over, an empty file has none."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(archive.namelist()[0]) as file:
+        raw = file.read()
+    rows = pd.read_csv(io.BytesIO(raw), header=None, names=list(RAW_COLUMNS), skiprows=1 if raw[:9].lower() == b"open_time" else 0)
+    if rows.empty:
+        return None
+    unit = "us" if rows["open_time"].iloc[0] > MICROS_FROM else "ms"
+    rows.insert(0, "seq", range(len(rows)))
+    rows.insert(0, "ts", pd.to_datetime(rows["open_time"], unit=unit))
+    rows.insert(0, "month", month)
+    rows.insert(0, "symbol", symbol)
+    return rows.astype({c: "int64" if c in WHOLE else "float64" for c in RAW_COLUMNS})
+
+
 def minutes(archives: DataFrame) -> DataFrame:
     """Minute bars of archives: symbol, month, ts, seq (line), RAW_COLUMNS.
 
-    Archives are unpacked and parsed one at a time in tasks; a header line is passed over.
+    Archives are unpacked and parsed one at a time in tasks.
     """
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for symbol, month, content in zip(batch["symbol"], batch["month"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(archive.namelist()[0]) as file:
-                    raw = file.read()
-                rows = pd.read_csv(io.BytesIO(raw), header=None, names=list(RAW_COLUMNS), skiprows=1 if raw[:9].lower() == b"open_time" else 0)
-                if rows.empty:
-                    continue
-                unit = "us" if rows["open_time"].iloc[0] > MICROS_FROM else "ms"
-                rows.insert(0, "seq", range(len(rows)))
-                rows.insert(0, "ts", pd.to_datetime(rows["open_time"], unit=unit))
-                rows.insert(0, "month", month)
-                rows.insert(0, "symbol", symbol)
-                yield rows.astype({c: "int64" if c in _WHOLE else "float64" for c in RAW_COLUMNS})
+                rows = parsed_archive(symbol, month, content)
+                if rows is not None:
+                    yield rows
 
     return archives.select("symbol", "month", "content").mapInPandas(parsed, MINUTES)
 
@@ -99,6 +110,12 @@ def outdated(archives: DataFrame, built: DataFrame) -> DataFrame:
     return found.where(F.col("built").isNull() | (F.col("modified") > F.col("built"))).select(archives.columns)
 
 
+def build(archives: DataFrame, path: str) -> None:
+    """Builds the months of archives, of one that is there twice from the later one; doing it again changes nothing."""
+    latest = archives.groupBy("symbol", "month").agg(F.max_by("content", "modified").alias("content"))
+    write_panel(hourly(minutes(latest)), path)
+
+
 def ingest(archives: DataFrame, path: str) -> int:
     """Builds the months of a panel that are missing or older than their archive, and no others; returns how many."""
     spark = archives.sparkSession
@@ -107,8 +124,7 @@ def ingest(archives: DataFrame, path: str) -> int:
     todo = outdated(latest, built_months(spark, path)).select("symbol", "month", "modified").collect()  # names only
     if todo:
         wanted = spark.createDataFrame(todo, "symbol string, month string, modified timestamp")
-        once = archives.join(wanted, ["symbol", "month", "modified"]).groupBy("symbol", "month").agg(F.any_value("content").alias("content"))
-        write_panel(hourly(minutes(once)), path)
+        build(archives.join(wanted, ["symbol", "month", "modified"]), path)
     return len(todo)
 
 
