@@ -12,7 +12,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.operators.universe import last_rebalance, universe
+from quantloom.operators.universe import manifest, universe
 from quantloom.plans import runs
 from quantloom.session import session
 from quantloom.sources import archive
@@ -72,16 +72,15 @@ def build(spark: SparkSession, asked: argparse.Namespace) -> int:
     archives = zipped(spark, asked.archive) if asked.zips else archive.archived(spark, asked.archive)
     rebuilt = ingest(archives, asked.panel)
     panel = read_panel(spark, asked.panel)
-    size = panel.agg(F.count(F.lit(1)).alias("bars"), F.countDistinct("symbol").alias("symbols"), F.min("ts").alias("start"), F.max("ts").alias("end")).first()
-    manifest = {"archives": archives.count(), "months_rebuilt": rebuilt, **size.asDict()}
     if asked.universe:
         universe(panel).write.mode("overwrite").option("compression", "zstd").parquet(asked.universe)
-        chosen = spark.read.parquet(asked.universe)
-        last = last_rebalance(chosen).first()
-        manifest |= {"universe_rows": chosen.count(), "last_rebalance": last.asDict() if last else None}
+        found = manifest(panel, spark.read.parquet(asked.universe)).first().asDict()
+    else:
+        found = manifest(panel, universe(panel).limit(0)).drop("universe_rows", "last_asof", "last_size", "last_top").first().asDict()
+    manifest_ = {"archives": archives.count(), "months_rebuilt": rebuilt, **found}
     if asked.manifest:
-        runs.ResultStore(spark, asked.manifest).put_json("manifest.json", manifest)
-    print(json.dumps(manifest, indent=1, default=str))
+        runs.ResultStore(spark, asked.manifest).put_json("manifest.json", manifest_)
+    print(json.dumps(manifest_, indent=1, default=str))
     return 0
 
 

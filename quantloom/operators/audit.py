@@ -232,13 +232,24 @@ def factor_model(panel: DataFrame) -> DataFrame:
 
 
 def provenance(panel: DataFrame, rebalance_every_h: int = 24) -> DataFrame:
-    """What a run was made on, one row."""
+    """What a run was made on, one row; turnover_ratio: symbols that were ever traded for each place in the universe.
+
+    What is counted are rows of two small tables, one of bars and one of symbols, which are added up before they are moved; no
+    row of the panel is multiplied for a distinct count.
+    """
     inside = F.when(F.col("in_universe"), F.lit(1))
     slot = F.floor(F.unix_seconds("ts") / (3600 * rebalance_every_h))
-    by_bar = panel.groupBy("ts").agg(F.count(inside).alias("members"))
-    size = by_bar.agg(F.avg(F.when(F.col("members") > 0, F.col("members"))).alias("mean_universe_size"))
-    row = panel.agg(
-        F.min("ts").alias("start"), F.max("ts").alias("end"), F.countDistinct("ts").alias("n_bars"), F.countDistinct("symbol").alias("n_symbols_available"),
-        F.countDistinct(F.when(F.col("in_universe"), F.col("symbol"))).alias("n_symbols_traded"), F.countDistinct(F.when(F.col("in_universe"), slot)).alias("n_rebalances"),
+    by_bar = panel.groupBy("ts").agg(F.count(inside).alias("members"), F.count(F.lit(1)).alias("rows"))
+    by_slot = by_bar.groupBy(slot.alias("slot")).agg(
+        F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("bars"), F.sum("members").alias("members"), F.sum((F.col("members") > 0).cast("long")).alias("held")
+    )
+    bars = by_slot.agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.coalesce(F.sum("bars"), F.lit(0)).alias("n_bars"),
+        F.coalesce(F.sum((F.col("members") > 0).cast("long")), F.lit(0)).alias("n_rebalances"), F.try_divide(F.sum("members"), F.sum("held")).alias("mean_universe_size"),
     )
-    return row.crossJoin(size)
+    by_symbol = panel.groupBy("symbol").agg(F.count(inside).alias("times"))
+    symbols = by_symbol.agg(F.count("symbol").alias("n_symbols_available"), F.count(F.when(F.col("times") > 0, F.col("symbol"))).alias("n_symbols_traded"))
+    row = bars.crossJoin(symbols)  # one row each
+    places = F.floor(F.col("mean_universe_size") + 0.5)
+    ratio = F.coalesce(F.when(places > 0, F.try_divide("n_symbols_traded", places)), F.lit(0.0)).alias("turnover_ratio")
+    return row.select("start", "end", "n_bars", "n_symbols_available", "n_symbols_traded", "n_rebalances", "mean_universe_size", ratio)

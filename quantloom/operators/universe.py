@@ -68,3 +68,12 @@ def last_rebalance(chosen: DataFrame, n: int = 5) -> DataFrame:
     by_bar = chosen.groupBy("asof").agg(F.array_sort(F.collect_list(F.struct("rank", "symbol"))).alias("members"))  # max_symbols at most
     row = by_bar.agg(F.max("asof").alias("asof"), latest.alias("members")).where("asof is not null")
     return row.select("asof", F.size("members").alias("size"), F.transform(F.slice("members", 1, n), lambda m: m["symbol"]).alias("top"))
+
+
+def manifest(panel: DataFrame, chosen: DataFrame, n: int = 5) -> DataFrame:
+    """What a panel and its universe hold, one row: bars, symbols, start, end, universe_rows, last_asof, last_size, last_top."""
+    size = panel.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.min("ts").alias("start"), F.max("ts").alias("end")).agg(
+        F.coalesce(F.sum("bars"), F.lit(0)).alias("bars"), F.count("symbol").alias("symbols"), F.min("start").alias("start"), F.max("end").alias("end")
+    )
+    rows, last = chosen.agg(F.count(F.lit(1)).alias("universe_rows")), last_rebalance(chosen, n)
+    return size.crossJoin(rows).join(last.select(F.col("asof").alias("last_asof"), F.col("size").alias("last_size"), F.col("top").alias("last_top")), F.lit(True), "left")  # one row each

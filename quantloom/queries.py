@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import asdict
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.deflation import EULER_GAMMA
 from quantloom.operators import audit, bootstrap
 from quantloom.operators.backtest import Trial, WalkForward, equity, fold_sharpes, folds, metrics, trial_series, trial_table, with_weights
 from quantloom.operators.features import asof_join, feature_panel, gap_free
-from quantloom.operators.universe import UniverseRules, universe
+from quantloom.operators.universe import UniverseRules, manifest, universe
+from quantloom.plans import runs
 from quantloom.plans.grid import with_signals
 from quantloom.sources.bars import event_bars, item_bars
 from quantloom.sources.scratch import stored
@@ -229,11 +233,21 @@ def panel_coverage(spark, sf_dir):
 
 @query("""SELECT min(ts) AS start, max(ts) AS "end", count(DISTINCT ts) AS n_bars, count(DISTINCT symbol) AS n_symbols_available,
   count(DISTINCT CASE WHEN in_universe THEN symbol END) AS n_symbols_traded, count(DISTINCT CASE WHEN in_universe THEN date_trunc('day', ts) END) AS n_rebalances,
-  round((SELECT avg(m) FROM (SELECT count(*) AS m FROM panel WHERE in_universe GROUP BY ts)), 8) + 0.0 AS mean_universe_size FROM panel""", *_UP_TO_PANEL)
+  round((SELECT avg(m) FROM sizes), 8) + 0.0 AS mean_universe_size,
+  round(count(DISTINCT CASE WHEN in_universe THEN symbol END) / (SELECT floor(avg(m) + 0.5) FROM sizes), 8) + 0.0 AS turnover_ratio FROM panel""", *_UP_TO_PANEL, "sizes AS (SELECT count(*) AS m FROM panel WHERE in_universe GROUP BY ts)")
 def provenance(spark, sf_dir):
     return rounded(audit.provenance(panel(spark, sf_dir), RULES.rebalance_every_h))
 
 
+@query("""SELECT (SELECT count(*) FROM bars) AS bars, (SELECT count(DISTINCT symbol) FROM bars) AS symbols, (SELECT min(ts) FROM bars) AS start, (SELECT max(ts) FROM bars) AS "end",
+  (SELECT count(*) FROM chosen) AS universe_rows, max("asof") AS last_asof, CAST(count(*) AS INTEGER) AS last_size, string_agg(symbol, ',' ORDER BY rank) FILTER (rank <= 3) AS last_top
+  FROM chosen WHERE "asof" = (SELECT max("asof") FROM chosen)""", _BARS, _UNIVERSE)
+def panel_manifest(spark, sf_dir):
+    held = event_bars(spark, sf_dir)
+    found = manifest(held, universe(held, RULES), 3)
+    return found.withColumn("last_top", F.array_join("last_top", ","))
+
+
 # --- operations of the signal language ---
 
 _N = 6
@@ -408,6 +422,58 @@ def return_moments(spark, sf_dir):
     return rounded(audit.return_moments(series(spark, sf_dir)), 9, skew=5, kurtosis=5)
 
 
+def _cdf(z: str) -> str:
+    """The normal distribution function in SQL, by Simpson's rule."""
+    return f"(0.5 + {z} / 6000 * (SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * pow({z} * i / 2000, 2))) FROM (SELECT unnest(range(0, 2001)) AS i)) / sqrt(2 * pi()))"
+
+
+def _psr(benchmark: str) -> str:
+    return _cdf(f"((bar - {benchmark}) * sqrt(n_obs - 1) / sqrt(1 - skew * bar + (kurtosis - 1) / 4 * bar * bar))")
+
+
+_EXPECTED_BEST = (1 - EULER_GAMMA) * NormalDist().inv_cdf(1 - 1 / len(TRIALS)) + EULER_GAMMA * NormalDist().inv_cdf(1 - 1 / (len(TRIALS) * math.e))
+_WINNER = f"""best AS (SELECT trial FROM ranked ORDER BY round(is_sharpe, 9) DESC NULLS LAST, trial LIMIT 1),
+sharpes AS (SELECT stddev_samp(s) AS spread FROM (SELECT avg(net) / nullif(stddev_samp(net), 0) * {_ANN} AS s FROM series GROUP BY trial)),
+shape AS (SELECT count(*) AS n_obs, any_value(m) AS m, avg((net - m) ** 2) AS v, avg((net - m) ** 3) AS m3, avg((net - m) ** 4) AS m4
+  FROM series JOIN best USING (trial) JOIN (SELECT trial, avg(net) AS m FROM series GROUP BY 1) USING (trial)),
+found AS (SELECT n_obs, spread, m / sqrt(v * n_obs / (n_obs - 1)) AS bar, m3 / v ** 1.5 AS skew, m4 / (v * v) AS kurtosis, spread * {_EXPECTED_BEST!r} AS sr0 FROM shape, sharpes)"""
+
+
+def _deflation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, audit.Deflation]:
+    """The stored series, and its best trial's deflation."""
+    held = kept_series(spark, sf_dir)
+    found = trial_table(held, TRIALS, WALK).select("trial", "sharpe", F.round("is_sharpe", 9).alias("is_sharpe")).collect()  # a row a trial
+    best = min(found, key=lambda x: (x["is_sharpe"] is None, -(x["is_sharpe"] or 0.0), x["trial"]))
+    moments = audit.return_moments(held.where(F.col("trial") == best["trial"])).first().asDict()
+    return held, audit.deflate(moments, [x["sharpe"] for x in found])
+
+
+@query(f"""SELECT {len(TRIALS)} AS n_trials, n_obs, round(bar * {_ANN}, 6) + 0.0 AS sr_ann, round(spread, 6) + 0.0 AS sr_trials_std_ann, round(sr0, 6) + 0.0 AS sr0_ann,
+  round(skew, 5) + 0.0 AS skew, round(kurtosis, 5) + 0.0 AS kurtosis, round({_psr("0.0")}, 7) + 0.0 AS psr_vs_zero, round({_psr(f"sr0 / {_ANN}")}, 7) + 0.0 AS dsr FROM found""", *_UP_TO_FOLDS, _WINNER)
+def deflation(spark, sf_dir):
+    found = asdict(_deflation(spark, sf_dir)[1])
+    row = {k: found[k] for k in ("n_trials", "n_obs", "sr_ann", "sr_trials_std_ann", "sr0_ann", "skew", "kurtosis", "psr_vs_zero", "dsr")}
+    made = spark.createDataFrame([tuple(row.values())], "n_trials int, n_obs long, " + ", ".join(f"{k} double" for k in list(row)[2:]))
+    return rounded(made, 6, skew=5, kurtosis=5, psr_vs_zero=7, dsr=7)
+
+
+@query(f"""SELECT {len(TRIALS)} AS n_trials, {BOOT} AS n_boot, {MEAN_BLOCK} + 0.0 AS mean_block, round(mean_best * {_ANN}, 6) + 0.0 AS sr0_ann, round(q95 * {_ANN}, 6) + 0.0 AS sr0_ann_q95, round(null_sd * {_ANN}, 6) + 0.0 AS sr_null_std_ann,
+  round(participation, 6) + 0.0 AS n_eff_participation, round(mean_abs_corr, 6) + 0.0 AS mean_abs_corr, round(p_value, 8) + 0.0 AS rc_p_value, round({_psr("mean_best")}, 7) + 0.0 AS dsr
+  FROM found, checked, spread_out""", *_UP_TO_FOLDS, _WINNER, _NUMBERED, _DRAWS, _NULLS, _RHO,
+  f"""checked AS (SELECT avg(CASE WHEN best >= statistic THEN 1.0 ELSE 0.0 END) AS p_value, avg(best) AS mean_best, quantile_cont(best, 0.95) AS q95, sqrt(greatest(sum(ss) / (count(*) * {len(TRIALS)}) - (sum(s) / (count(*) * {len(TRIALS)})) ** 2, 0)) AS null_sd
+    FROM (SELECT b, max(sharpe) AS best, sum(sharpe) AS s, sum(sharpe * sharpe) AS ss FROM nulls GROUP BY 1), (SELECT max(round(coalesce(mean / nullif(sd, 0), 0), 12)) AS statistic FROM stats))""",
+  """spread_out AS (SELECT CASE WHEN k < 2 THEN 1.0 ELSE k * k / s END AS participation, m AS mean_abs_corr
+    FROM (SELECT sum(CASE WHEN a = b AND rho = 1 THEN 1 ELSE 0 END) AS k, sum(rho * rho) AS s, coalesce(avg(CASE WHEN a <> b THEN abs(rho) END), 0) AS m FROM rho))""")
+def search_null(spark, sf_dir):
+    """What the search would have found in noise; the number of effective trials, an inverse, is held against published audits in tests."""
+    held, best = _deflation(spark, sf_dir)
+    found = runs.search_null(held, best, len(TRIALS), BOOT, MEAN_BLOCK, SEED)
+    kinds = {"n_trials": "int", "n_boot": "int"}
+    row = {k: v for k, v in found.items() if k != "n_eff"}
+    made = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kinds.get(k, 'double')}" for k in row))
+    return rounded(made, 6, rc_p_value=8, dsr=7)
+
+
 @query(f"""SELECT trial, CAST(cost_bps AS DOUBLE) AS cost_bps, round(CASE WHEN stddev_samp(gross - turnover * cost_bps / 1e4) > 0 THEN avg(gross - turnover * cost_bps / 1e4) / stddev_samp(gross - turnover * cost_bps / 1e4) * {_ANN} END, 6) + 0.0 AS sharpe,
   round(CASE WHEN avg(turnover) > 0 THEN avg(gross) / avg(turnover) * 1e4 END, 6) + 0.0 AS break_even_bps FROM series, (SELECT unnest([0.0, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0]) AS cost_bps) GROUP BY 1, 2""", *_UP_TO_SERIES)
 def cost_curve(spark, sf_dir):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.functions.deflation import effective_trials, expected_max_sharpe, probabilistic_sharpe
+from quantloom.functions.deflation import effective_trials, exact_expected_max, expected_max_sharpe, probabilistic_sharpe
 from quantloom.operators import audit, bootstrap
 from quantloom.operators.backtest import Trial, WalkForward, bar_sums, fold_sharpes, folds, trial_series, trial_table, with_weights
 from quantloom.operators.features import asof_join, feature_panel, gap_free
@@ -113,6 +113,13 @@ def test_effective_trials_invert_the_expected_best(n):
     assert effective_trials(expected_max_sharpe(n, 0.3), 0.3) == pytest.approx(n, rel=1e-8)
 
 
+@pytest.mark.parametrize(("n", "want"), [(1, 0.0), (2, 1 / math.sqrt(math.pi)), (3, 1.5 / math.sqrt(math.pi)), (5, 1.1629644736), (10, 1.5387527308), (100, 2.5075936351)])
+def test_the_exact_expected_best_and_how_near_the_closed_form_is(n, want):
+    """Known means of the largest of n standard normals."""
+    assert exact_expected_max(n) == pytest.approx(want, abs=1e-8)
+    assert n < 5 or expected_max_sharpe(n, 1.0) == pytest.approx(want, rel=0.03)
+
+
 def test_effective_trials_at_the_ends():
     assert effective_trials(0, 1) == effective_trials(1, 0) == effective_trials(-1, 1) == 1.0
     assert effective_trials(100, 1) == 1e7 and effective_trials(1e-9, 1) == 2.0
@@ -274,6 +281,18 @@ def test_factor_model_and_moments(spark):
     assert flat["skew"] == 0 and flat["kurtosis"] == 3
 
 
+def test_provenance_counts_without_multiplying_the_panel(panel):
+    found = audit.provenance(panel)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    row, held = found.first(), panel.where("in_universe")
+    assert row["n_bars"] == panel.select("ts").distinct().count() and row["n_symbols_available"] == 5 and row["n_symbols_traded"] == held.select("symbol").distinct().count()
+    sizes = [r["count"] for r in held.groupBy("ts").count().collect()]
+    assert row["mean_universe_size"] == pytest.approx(np.mean(sizes)) and row["turnover_ratio"] == pytest.approx(row["n_symbols_traded"] / math.floor(np.mean(sizes) + 0.5))
+    assert row["n_rebalances"] == len({(r["ts"] - datetime(1970, 1, 1)).days for r in held.select("ts").distinct().collect()})
+    empty = audit.provenance(panel.limit(0)).first()
+    assert empty["n_bars"] == empty["n_symbols_traded"] == 0 and empty["turnover_ratio"] == 0 and empty["mean_universe_size"] is None
+
+
 def test_the_last_rebalance(spark, panel):
     bars = random_walks(spark, {"AAA": 5e6, "BBB": 3e6, "CCC": 9e6}, 24 * 6)
     chosen = universe(bars, RULES)
