@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.deflation import expected_max_sharpe, probabilistic_sharpe
 from quantloom.operators.backtest import PERIODS_A_YEAR
+from quantloom.operators.scans import mean_rank, time_axis
 
 TIE_DIGITS = 12
 #: Bars whose returns, of all trials, a task holds as one matrix.
@@ -33,12 +34,8 @@ def finite(x: str | Column) -> Column:
 
 
 def numbered(series: DataFrame) -> DataFrame:
-    """trial, t (0, 1, ... in order of ts), n_bars (of all trials), net; where a trial has no bar, its return counts as 0.
-
-    The axis has one row a bar, so that numbering it in one task is little work beside the series.
-    """
-    order = F.row_number().over(Window.orderBy("ts")) - 1
-    axis = series.select("ts").distinct().select("ts", order.cast("long").alias("t"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("n_bars"))
+    """trial, t (0, 1, ... in order of ts), n_bars (of all trials), net; where a trial has no bar, its return counts as 0."""
+    axis = time_axis(series).select("ts", "t", "n_bars")
     return series.select("trial", "ts", finite("net").alias("net")).join(axis, "ts").select("trial", "t", "n_bars", "net")
 
 
@@ -208,12 +205,8 @@ def cost_curve(series: DataFrame, costs_bps: tuple[float, ...] = COSTS_BPS, peri
 
 def rank_correlation(table: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman's rank correlation of two columns, one row; equal values share their mean rank."""
-    held = table.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-
-    def place(c: str) -> Column:
-        return F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-
-    ranks = held.select(place(x).alias("p"), place(y).alias("q"))
+    held = table.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
+    ranks = mean_rank(mean_rank(held, "x", "p"), "y", "q")
     n = F.count(F.lit(1))
     cross = F.sum(F.col("p") * F.col("q")) - F.sum("p") * F.sum("q") / n
     sizes = (F.sum(F.col("p") * F.col("p")) - F.sum("p") * F.sum("p") / n) * (F.sum(F.col("q") * F.col("q")) - F.sum("q") * F.sum("q") / n)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.operators.scans import equity
+from quantloom.operators.scans import equity, time_axis
 from quantloom.plans.expressions import Call, Expression, as_expression, lookback
 from quantloom.plans.grid import with_signals
 
@@ -136,11 +136,10 @@ class WalkForward:
 def folds(series: DataFrame, walk: WalkForward = WalkForward()) -> DataFrame:
     """fold, train_lo, train_hi, test_lo, test_hi: expanding training up to a gap before each test block.
 
-    One pass over the time axis, which has one row a bar; too few bars give no fold.
+    Of the time axis, which has one row a bar, the ends of blocks are looked up by number; too few bars give no fold.
     """
-    blocks, whole = walk.n_splits + 1, Window.partitionBy(F.lit(0))
-    axis = series.select("ts").distinct()
-    axis = axis.select("ts", (F.row_number().over(Window.orderBy("ts")) - 1).alias("i"), F.count(F.lit(1)).over(whole).alias("n"), F.min("ts").over(whole).alias("first"))
+    blocks = walk.n_splits + 1
+    axis = time_axis(series).withColumnsRenamed({"t": "i", "n_bars": "n"})
     fold = axis.where(F.col("n") >= 2 * blocks).select("*", F.explode(F.sequence(F.lit(0), F.lit(walk.n_splits - 1))).alias("fold"))
 
     def edge(k: Column) -> Column:

@@ -87,3 +87,43 @@ def gap_free(panel: DataFrame, prices: list[str], flows: list[str], step_h: int
         kept = {"symbol": F.col(c), "ts": F.col("bar")} | {p: F.col(p) for p in prices} | {f: F.when(real, F.coalesce(F.col(f), F.lit(0).cast(panel.schema[f].dataType))).otherwise(F.lit(0).cast(panel.schema[f].dataType)) for f in flows}
         columns.append((kept[c] if c in kept else F.when(real, F.col(c))).alias(c))
     return spread.select(*columns, real.alias("is_real"))
+
+
+def time_axis(rows: DataFrame, segment_h: int = SEGMENT_H) -> DataFrame:
+    """ts, t (0, 1, ... in order), n_bars, first of the different times of rows.
+
+    Times are numbered within their segment, after as many as the segments before it have: only a row a segment is put in one order.
+    """
+    axis = rows.select("ts").distinct().withColumn("segment", segment_of("ts", segment_h))
+    return _placed(axis, "ts", F.row_number(), "t", {"first": F.min("ts")}).select("ts", (F.col("t") - 1).alias("t"), F.col("n_rows").alias("n_bars"), "first")
+
+
+def _placed(rows: DataFrame, order: str, place: Column, name: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """rows (segment, order, ...) with the place of each among all (row_number or rank), if segments are in order; n_rows; aggregates of all."""
+    more = more or {}
+    whole = Window.partitionBy("all")
+    sizes = rows.groupBy("segment").agg(F.count(F.lit(1)).alias("size"), *[c.alias(k) for k, c in more.items()]).withColumn("all", F.lit(0))
+    merged = [F.min(k).over(whole).alias(k) for k in more]
+    ahead = sizes.select("segment", F.coalesce(F.sum("size").over(upto("all")), F.lit(0)).alias("ahead"), F.sum("size").over(whole).alias("n_rows"), *merged)
+    return rows.join(ahead, "segment").withColumn(name, F.col("ahead") + place.over(Window.partitionBy("segment").orderBy(order))).drop("ahead")
+
+
+#: Parts of about equal size that values are dealt to for ranking.
+RANGES = 64
+
+
+def mean_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the rank of a column's values among all, equal values sharing their mean rank; a null has none.
+
+    Values are dealt by bounds between them, so that each range is ranked by itself, after as many values as lie below it. Where
+    the bounds are changes nothing; equal values are always in one range.
+    """
+    shares = [k / RANGES for k in range(1, RANGES)]
+    bounds = rows.agg(F.percentile_approx(column, F.array(*map(F.lit, shares)), F.lit(10_000)).alias("bounds"))
+    known = rows.where(F.col(column).isNotNull()).crossJoin(F.broadcast(bounds))  # one row
+    dealt = known.withColumn("segment", F.size(F.filter("bounds", lambda b: b < F.col(column)))).drop("bounds")
+    placed = _placed(dealt, column, F.rank(), name).drop("n_rows")
+    ties = F.count(F.lit(1)).over(Window.partitionBy("segment", column))
+    ranked = placed.withColumn(name, F.col(name) + (ties - 1) / 2).drop("segment")
+    missing = rows.where(F.col(column).isNull()).withColumn(name, F.lit(None).cast("double"))
+    return ranked.unionByName(missing)

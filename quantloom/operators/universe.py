@@ -45,6 +45,11 @@ def universe(panel: DataFrame, rules: UniverseRules = UniverseRules()) -> DataFr
     asks = panel.where((F.hour("ts") % rules.rebalance_every_h == 0) & (us % HOUR == 0)).select("symbol", us.alias("us"))
     widths = {"adv": rules.adv_window_h * HOUR, "stale": rules.stale_window_h * HOUR}
     sums = range_sums(slots, asks, "symbol", widths, ["bars", "volume", "fresh", "rows"]).join(first, "symbol")
+    return ranked(sums, rules)
+
+
+def ranked(sums: DataFrame, rules: UniverseRules = UniverseRules()) -> DataFrame:
+    """The universe from (symbol, us, adv_bars, adv_volume, stale_fresh, stale_rows, first): what a symbol's frames hold at a rebalance bar."""
     seen = sums.select(
         "symbol", F.timestamp_micros("us").alias("ts"),
         F.when(F.col("adv_bars") >= rules.adv_min_bars, F.try_divide("adv_volume", "adv_bars")).alias("adv_usd"),

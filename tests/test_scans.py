@@ -90,3 +90,29 @@ def test_cscv_of_sixteen_blocks_and_many_trials(spark):
         omega = (outside <= outside[k]).sum() / 41
         row = cloud[sum(1 << b for b in pick)]
         assert (row["is_sharpe"], row["oos_sharpe"], row["logit"]) == pytest.approx((inside[k], outside[k], math.log(omega / (1 - omega))), abs=1e-9)
+
+
+@pytest.mark.parametrize("segment_h", [1, 13, 10**6])
+def test_the_time_axis_is_numbered_over_segments(spark, segment_h):
+    times = [START + h for h in random.Random(1).sample(HOURS, 120)]
+    rows = spark.createDataFrame([(t,) for t in times * 3], "ts timestamp")
+    found = scans.time_axis(rows, segment_h).collect()
+    assert {(r["ts"], r["t"], r["n_bars"], r["first"]) for r in found} == {(t, k, 120, min(times)) for k, t in enumerate(sorted(times))} and len(found) == 120
+    assert scans.time_axis(rows.limit(0)).count() == 0
+
+
+def test_ranks_of_ranges_are_those_of_all(spark):
+    rng = random.Random(2)
+    values = [rng.choice([None, float(rng.randrange(30)), rng.gauss(0, 100), 5.0]) for _ in range(700)]
+    found = scans.mean_rank(spark.createDataFrame(list(enumerate(values)), "k long, x double"), "x", "r").collect()
+    known = sorted(v for v in values if v is not None)
+    want = {v: (2 * known.index(v) + known.count(v) + 1) / 2 for v in set(known)}
+    assert {r["k"]: r["r"] for r in found} == {k: None if v is None else want[v] for k, v in enumerate(values)} and len(found) == 700
+
+
+def test_nothing_long_is_ordered_in_one_task(spark):
+    rows = spark.createDataFrame([(0, START + h, 0.1, 0.2) for h in HOURS], "trial int, ts timestamp, net double, y double")
+    for made in (audit.numbered(rows), audit.rank_correlation(rows, "net", "y")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "row_number()" in line or "rank(" in line]
+        assert windows and all("windowspecdefinition(segment" in w for w in windows)

@@ -1,0 +1,68 @@
+"""Streams against the batch operators on what was replayed."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from quantloom import queries
+from quantloom.operators.universe import UniverseRules, ranked, universe
+from quantloom.sources.bars import event_bars
+from quantloom.streaming.universe import streaming_sums
+
+COLUMNS = "symbol string, ts timestamp, quote_volume double, n_minutes int"
+
+
+def replayed(spark, folder, batches, rules, late="2 hours"):
+    """The universe of a stream that got the batches (lists of bars) one after the other, and restarted in the middle."""
+    source, sink, checkpoint = (str(folder / name) for name in ("bars", "sums", "checkpoint"))
+
+    def run():
+        bars = spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).parquet(source)
+        streaming_sums(bars, rules, late).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, COLUMNS).coalesce(1).write.mode("append").parquet(source)
+        if k in (len(batches) // 2, len(batches) - 1):
+            run()
+    return ranked(spark.read.parquet(sink), rules)
+
+
+def same(spark, found, rows, rules, until):
+    want = universe(spark.createDataFrame(rows, COLUMNS), rules).where(F.col("asof") < F.lit(until))
+    as_rows = lambda df: sorted((r["asof"], r["rank"], r["symbol"], round(r["adv_usd"], 6), r["history_h"], round(r["coverage_24h"], 9)) for r in df.where(F.col("asof") < F.lit(until)).collect())
+    assert as_rows(found) == as_rows(want) and not want.isEmpty()
+
+
+@pytest.mark.parametrize(("every", "adv", "stale"), [(24, 48, 24), (6, 30, 12)])
+def test_a_replayed_universe_is_that_of_the_bars(spark, tmp_path, every, adv, stale):
+    rng, start = random.Random(every), datetime(2024, 1, 1)
+    rules = UniverseRules(rebalance_every_h=every, min_history_h=24, adv_window_h=adv, adv_min_bars=adv // 3, min_adv_usd=30.0, stale_window_h=stale, stale_min_bars=2, min_coverage=0.2, max_symbols=2)
+    rows = [(s, start + timedelta(hours=h), float(rng.randrange(100)), rng.randrange(61)) for s in ("a", "b", "c") for h in range(120) if rng.random() < 0.9]
+    # Bars come within two hours of their time, so out of order.
+    order = sorted(rows, key=lambda r: (r[1] + timedelta(minutes=rng.randrange(110)), r[0]))
+    batches = [order[k : k + 80] for k in range(0, len(order), 80)]
+    end = start + timedelta(hours=400)
+    batches.append([("z", end, 0.0, 0)])  # moves the watermark past all others
+    batches.append([("z", end + timedelta(hours=1), 0.0, 0)])
+    same(spark, replayed(spark, tmp_path, batches, rules), rows, rules, end)
+
+
+def test_replayed_events_give_the_registered_universe(spark, tmp_path):
+    bars = event_bars(spark, "/root/testdata/sf0.001").select("symbol", "ts", "quote_volume", "n_minutes").orderBy("ts").collect()
+    rows = [tuple(r) for r in bars]
+    end = max(r[1] for r in rows) + timedelta(hours=500)
+    third = len(rows) // 3 + 1
+    batches = [rows[k : k + third] for k in range(0, len(rows), third)] + [[("z", end, 0.0, 0)], [("z", end + timedelta(hours=1), 0.0, 0)]]
+    same(spark, replayed(spark, tmp_path, batches, queries.RULES), rows, queries.RULES, end)
+
+
+def test_bars_behind_the_watermark_are_left_out(spark, tmp_path):
+    rules = UniverseRules(rebalance_every_h=24, min_history_h=24, adv_window_h=24, adv_min_bars=1, min_adv_usd=0.0, stale_window_h=24, stale_min_bars=1, min_coverage=0.0, max_symbols=5)
+    at = datetime(2024, 1, 1)
+    rows = [("a", at + timedelta(hours=h), 10.0, 60) for h in range(60)]
+    late = [("a", at + timedelta(hours=30), 9999.0, 60)]
+    batches = [rows, late, [("z", at + timedelta(hours=300), 0.0, 0)], [("z", at + timedelta(hours=301), 0.0, 0)]]
+    found = replayed(spark, tmp_path, batches, rules)
+    assert {r["adv_usd"] for r in found.where("symbol = 'a'").collect()} == {10.0}
