@@ -26,6 +26,7 @@ from quantloom.operators import audit, bootstrap
 from quantloom.operators.backtest import PERIODS_A_YEAR, Trial, WalkForward, equity, trial_series, trial_table
 from quantloom.operators.features import feature_panel
 from quantloom.operators.universe import UniverseRules, universe
+from quantloom.plans.describe import counted, describe
 from quantloom.plans.expressions import expand, parse
 
 #: Fixed values, with the bounds and defaults below, the order of trials and the keys of artefacts: a run's specification and its
@@ -414,7 +415,8 @@ def search_null(series: DataFrame, deflation: audit.Deflation, n_trials: int, n_
 def preview(values: dict) -> dict:
     """The trials that a specification stands for."""
     trials = RunSpec.of(values).trials()
-    return {"n_trials": len(trials), "trials": [asdict(t) for t in trials]}
+    told = [{**asdict(t), "says": describe(t.expression)} for t in trials]
+    return {"n_trials": len(trials), "made_of": counted((t.expression, t.rebalance_every_h) for t in trials), "trials": told}
 
 
 def runs(store: ResultStore) -> list[dict]:

@@ -433,10 +433,11 @@ def _psr(benchmark: str) -> str:
 
 _EXPECTED_BEST = (1 - EULER_GAMMA) * NormalDist().inv_cdf(1 - 1 / len(TRIALS)) + EULER_GAMMA * NormalDist().inv_cdf(1 - 1 / (len(TRIALS) * math.e))
 _WINNER = f"""best AS (SELECT trial FROM ranked ORDER BY round(is_sharpe, 9) DESC NULLS LAST, trial LIMIT 1),
-sharpes AS (SELECT stddev_samp(s) AS spread FROM (SELECT avg(net) / nullif(stddev_samp(net), 0) * {_ANN} AS s FROM series GROUP BY trial)),
+sharpes AS (SELECT count(s) AS n_known, coalesce(stddev_samp(s), 0) AS spread FROM (SELECT avg(net) / nullif(stddev_samp(net), 0) * {_ANN} AS s FROM series GROUP BY trial)),
 shape AS (SELECT count(*) AS n_obs, any_value(m) AS m, avg((net - m) ** 2) AS v, avg((net - m) ** 3) AS m3, avg((net - m) ** 4) AS m4
   FROM series JOIN best USING (trial) JOIN (SELECT trial, avg(net) AS m FROM series GROUP BY 1) USING (trial)),
-found AS (SELECT n_obs, spread, m / sqrt(v * n_obs / (n_obs - 1)) AS bar, m3 / v ** 1.5 AS skew, m4 / (v * v) AS kurtosis, spread * {_EXPECTED_BEST!r} AS sr0 FROM shape, sharpes)"""
+found AS (SELECT n_obs, n_known, spread, coalesce(m / nullif(sqrt(v * n_obs / (n_obs - 1)), 0), 0) AS bar, CASE WHEN v > 0 THEN m3 / v ** 1.5 ELSE 0.0 END AS skew, CASE WHEN v > 0 THEN m4 / (v * v) ELSE 3.0 END AS kurtosis,
+  CASE WHEN n_known = {len(TRIALS)} THEN spread * {_EXPECTED_BEST!r} WHEN n_known < 2 THEN 0.0 END AS sr0 FROM shape, sharpes)"""
 
 
 def _deflation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, audit.Deflation]:
@@ -448,7 +449,7 @@ def _deflation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, audit.Defla
     return held, audit.deflate(moments, [x["sharpe"] for x in found])
 
 
-@query(f"""SELECT {len(TRIALS)} AS n_trials, n_obs, round(bar * {_ANN}, 6) + 0.0 AS sr_ann, round(spread, 6) + 0.0 AS sr_trials_std_ann, round(sr0, 6) + 0.0 AS sr0_ann,
+@query(f"""SELECT CAST(n_known AS INTEGER) AS n_trials, n_obs, round(bar * {_ANN}, 6) + 0.0 AS sr_ann, round(spread, 6) + 0.0 AS sr_trials_std_ann, round(sr0, 6) + 0.0 AS sr0_ann,
   round(skew, 5) + 0.0 AS skew, round(kurtosis, 5) + 0.0 AS kurtosis, round({_psr("0.0")}, 7) + 0.0 AS psr_vs_zero, round({_psr(f"sr0 / {_ANN}")}, 7) + 0.0 AS dsr FROM found""", *_UP_TO_FOLDS, _WINNER)
 def deflation(spark, sf_dir):
     found = asdict(_deflation(spark, sf_dir)[1])

@@ -92,3 +92,12 @@ def test_equal_parts_are_one_column(spark, walks):
     panel = feature_panel(walks, universe(walks, RULES))
     found, columns = with_signals(panel, ["cs_rank(ts_ret(close, 24))", "neg(cs_rank(ts_ret(close, 24)))", "cs_rank(ts_ret(close, 24))"])
     assert columns[0] == columns[2] and len(found.columns) == len(panel.columns) + 2
+
+
+def test_trials_in_words():
+    from quantloom.plans.describe import counted, describe
+
+    assert describe("cs_zscore(ts_ret(close, 24))") == "buys the most and sells the least change of the price over 24 bars"
+    assert describe("neg(cs_rank(ts_std(ret, 72)))") == "buys the least and sells the most deviation of the hourly return over 72 bars"
+    assert describe("ts_ret(close, 24)") is None and describe("cs_rank(clip(close, 1))") is None
+    assert counted([("cs_rank(close)", 6), ("neg(cs_rank(close))", 6), ("cs_rank(close)", 24), ("neg(cs_rank(close))", 24)]) == "1 signal, 2 signs, 2 rebalancing intervals, 4 trials"
