@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -250,6 +251,59 @@ def test_lm_scores_hardly_depend_on_the_deal(spark):
     assert one[0] == pytest.approx(many[0], rel=lm_score.SPREAD) and one[1] == pytest.approx(many[1]) and one[2] == many[2]
 
 
+def test_lm_of_many_tasks_learns_what_one_task_does(spark, monkeypatch):
+    rng = random.Random(22)
+    rows = []
+    for k in range(1200):
+        at, text = rng.randrange(40), []
+        for _ in range(60):  # a word mostly tells the next one
+            at = (at * 7 + 3) % 40 if rng.random() < 0.7 else rng.randrange(40)
+            text.append(f"{'xy'[k % 2]}{at}")
+        rows.append((k, " ".join(text), "a", "s"))
+    docs, deals = documents(spark, rows).repartition(64), []
+    whole = lm_score.train_round
+    monkeypatch.setattr(lm_score, "train_round", lambda d, m, number, rounds, tasks: (deals.append((number, rounds, tasks)), whole(d, m, number, rounds, tasks)))
+    gains, sums = [], []
+    for size in (1 << 19, 1 << 10):
+        monkeypatch.setattr(lm_score, "TASK_TOKENS", size)
+        found = collected(lm_score.score_report(docs))
+        gains.append(sum(r["score"] - r["base_score"] for r in found if r["held_out"]))
+        sums.append(sum(r["score"] for r in found))
+    assert deals[0] == (0, 2, 1) and len(deals) == 2 + 5 and deals[2][1:] == (5, 11)  # 57 tasks in five rounds
+    assert 0 < gains[0] < gains[1] / 0.9 and sums[1] == pytest.approx(sums[0], rel=5 * lm_score.SPREAD)
+
+
+def test_learner_takes_the_steps_of_a_dense_gradient():
+    rng = np.random.default_rng(5)
+    model = lm_score.blank(pd.DataFrame({"word": ["a", "b", "c", "\n"], "class": [0, 1, 2, 3], "c": [9, 6, 3, 9], "by": [[1] * 16] * 4}), {})[0]
+    t = lm_score.tokens(model, pa.array([" ".join(rng.choice(["a", "b", "c", "z"], 30)) for _ in range(9)]))
+    learner = lm_score.Learner(model)
+    learner.learn(t, batch=64)
+    for which, (table, features, target, bias) in enumerate(((model.class_weights, t.class_features, t.target_class, True), (model.slot_weights, t.slot_features, t.target_slot, False))):
+        weights, squares = table.astype(np.float64), np.full(len(table), lm_score.PRIOR)
+        for at in range(0, len(target), 64):
+            rows = [np.asarray(f[at : at + 64], np.int64) for f in features]
+            columns = ([np.zeros(len(rows[0]), np.int64)] if bias else []) + rows
+            logits = np.sum([weights[f] for f in columns], axis=0)
+            error = np.exp(logits - logits.max(1, keepdims=True))
+            error /= error.sum(1, keepdims=True)
+            error[np.arange(len(error)), target[at : at + 64]] -= 1
+            for f in columns:  # one feature after the other, all from the error before the step
+                gradient = np.zeros_like(weights)
+                np.add.at(gradient, f, error)
+                squares += (gradient**2).mean(1)
+                weights -= lm_score.RATE * gradient / np.sqrt(squares)[:, None]
+        assert np.abs(weights - table).max() > 0.1 and learner.tables[which] == pytest.approx(weights, abs=2e-4)
+
+
+def test_lm_hashes_of_words_at_once():
+    words = ["", "a", "b.", "?!", "é", "🙂x,", "ab" * 24, "ab" * 25, "z" * 9000, "\n", "tion)"]
+    for array in (pa.array(words), pa.array(["other", *words, "more"]).slice(1, len(words)), pa.array(words, pa.large_string())):
+        assert lm_score.crc32s(array).tolist() == [zlib.crc32(w.encode()) for w in words]
+        assert lm_score.classes_of(array).tolist() == [lm_score.class_of(w) for w in words]
+    assert lm_score.crc32s(pa.array([], pa.string())).tolist() == [] and lm_score.classes_of(pa.array([], pa.string())).tolist() == []
+
+
 def test_lm_of_empty_table(spark):
     assert lm_score.score_report(documents(spark, EMPTY)).count() == 0
 
