@@ -45,6 +45,8 @@ def test_lm_learns_from_the_third_word_before():
 
 def test_lm_buckets_follow_the_training_tokens():
     assert [lm_score.buckets_for(n) for n in (0, 1 << 24, (1 << 24) + 1, 1 << 26, (1 << 26) + 1, 1 << 32, 1 << 40)] == [1 << 14, 1 << 14, 1 << 15, 1 << 15, 1 << 16, 1 << 18, 1 << 18]
+    assert [lm_score.task_tokens(n) for n in (0, 1 << 24, 1 << 26, 1 << 40)] == [1 << 19, 1 << 19, 1 << 20, 1 << 23]
+    assert [lm_score.rounds_for(n) for n in (0, 1 << 22, (1 << 22) + 1, 1 << 24, 1 << 26, 1 << 33)] == [2, 2, 3, 4, 5, 9]
     f = np.random.default_rng(1).integers(0, 1 << 18, 5000).astype(np.uint32)
     assert (lm_score._order(f) == np.argsort(f, kind="stable")).all()
 
