@@ -365,6 +365,34 @@ def personalised(edges, seeds, n):
     return rank
 
 
+def test_url_verdicts_are_those_of_the_ranks(spark):
+    rng = random.Random(17)
+    hosts = ["a.org", "b.org", "c.com", "d.com", *(f"{x}.net" for x in "efghijklmn")]
+    rows, edges, allowed, blocked = [], Counter(), Counter(), Counter()
+    for k in range(120):
+        h = rng.randrange(len(hosts))
+        path = rng.choice(["/de/1", "/fr/1", "/x"]) if hosts[h].endswith(".com") else "/x"
+        targets = rng.sample(range(len(hosts)), rng.randrange(4))
+        rows.append((k, f"http://{hosts[h]}{path}?{k}", "".join(f'<a href="http://{hosts[t]}/">x</a>' for t in targets)))
+        edges.update((h, t) for t in targets if t != h)
+        allowed[h] += hosts[h].endswith(".org") or path == "/fr/1"
+        blocked[h] += path == "/de/1"
+    rows += [(1000, None, None), (1001, "http://e.net/", None)]  # neither url nor html
+    trust = personalised(edges, allowed, len(hosts))
+    distrust = personalised({(b, a): n for (a, b), n in edges.items()}, blocked, len(hosts))
+    assert np.abs(trust - distrust).min() > 1e-4  # no verdict hangs on the last digits
+    want = {h: "block" if d > t else "allow" for h, t, d in zip(hosts, trust, distrust, strict=True)}
+    assert set(want.values()) == {"allow", "block"}
+    found = collected(link_graph.url_report(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    assert len(found) == 122
+    for r in found:
+        if r["host"] and r["rule"] is None:
+            assert r["verdict"] == want[r["host"]]
+            at = hosts.index(r["host"])
+            assert (r["trust"], r["distrust"]) == (pytest.approx(trust[at], abs=1e-6), pytest.approx(distrust[at], abs=1e-6))
+    assert {(r["host"], r["rule"], r["verdict"]) for r in found if r["page_id"] == 1000} == {("", None, "allow")}
+
+
 def test_propagation_reaches_the_end_of_a_long_chain(spark):
     edges = {(k, k + 1): 1 for k in range(29)} | {(0, 20): 1}
     found = link_graph.propagate(
