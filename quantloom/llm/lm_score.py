@@ -3,8 +3,8 @@
 P(word | context) = P(class | context) * P(slot | class, context) * P(word | class, slot).
 
 Classes are of words that go together. Documents are dealt to CLUSTERS clusters by what words they
-have (centroids of hashed word profiles, from a bounded sample), and words are counted by cluster over all training
-documents; one of the HEAD most frequent words belongs to the cluster that it is most typical of, and to one of
+have (centres of the hashed word profiles of all training documents, by k-means with sums of whole numbers, so
+that they are the same however rows are dealt), and words are counted by cluster over all training documents; one of the HEAD most frequent words belongs to the cluster that it is most typical of, and to one of
 the cluster's classes by its ending. So a context tells apart the words of any rank, as far as they differ in kind. Rarer
 words have a class by a hash of their ending. The most frequent words of a class
 have a slot each; all others of the class share slot 0 and are told apart by their training
@@ -52,8 +52,8 @@ from quantloom.llm.common import crc_mod, sliced, stored
 
 CLUSTERS, KINDS, SLOTS, HEAD = 16, 2, 32, 1 << 17
 CLASSES = CLUSTERS * KINDS
-#: Numbers of a profile, and documents that centroids are fitted on at most.
-PROFILE, PROFILE_DOCS = 128, 4096
+#: Numbers of a profile, what stands for 1 in them, and levels of the distance between two.
+PROFILE, UNIT, LEVELS = 128, 1 << 14, 1024
 #: Rows of weights in each softmax: the least, the most, and the training tokens up to which the least do.
 BUCKETS, MOST_BUCKETS, TOKENS = 1 << 14, 1 << 18, 1 << 24
 BATCH, RATE = 16_384, 0.15
@@ -152,47 +152,95 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def profiles(words: pa.Array, which: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A row a text: square roots of the shares of its tokens by a hash of the word."""
+    """A row a text: square roots of the shares of its tokens by a hash of the word, in whole UNITs."""
     bucket = (crc32s(words) % PROFILE).astype(np.int64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     counts = np.bincount(owner * PROFILE + bucket[which], minlength=len(sizes) * PROFILE).reshape(len(sizes), PROFILE)
-    return np.sqrt(counts / np.maximum(sizes, 1)[:, None])
-
-
-def centroids(rows: np.ndarray, k: int = CLUSTERS, rounds: int = 25) -> np.ndarray:
-    """k centres of profiles by k-means; each begins at the profile that is farthest from the ones before."""
-    if not len(rows):
-        return np.zeros((k, PROFILE))
-    found = [rows.mean(0)]
-    while len(found) < k + 1:
-        far = np.min([((rows - c) ** 2).sum(1) for c in found], axis=0)
-        found.append(rows[int(np.argsort(far, kind="stable")[-1 - len(rows) // 50])])  # not the oddest of all
-    centres = np.array(found[1:])
-    for _ in range(rounds):
-        own = nearest(rows, centres)
-        held = [rows[own == j] for j in range(k)]
-        centres = np.array([h.mean(0) if len(h) else c for h, c in zip(held, centres, strict=True)])
-    return centres
+    return np.rint(np.sqrt(counts / np.maximum(sizes, 1)[:, None]) * UNIT)
 
 
 def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The first of the nearest centres of every row; exact, since both are whole numbers."""
     return (rows @ centres.T - (centres**2).sum(1) / 2).argmax(1)
 
 
-def fit_centroids(docs: DataFrame, most: int = PROFILE_DOCS) -> np.ndarray:
-    """Centroids of at most that many documents' profiles, taken by a hash of id and text."""
-    n = docs.count()
-    h, parts = F.xxhash64("doc_id", "text"), 1 << 30
-    thinned = docs.where(F.pmod(h, F.lit(parts)) < int(parts * min(1.0, 1.2 * most / max(n, 1))))
+def cluster_sums(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each centre; the last column counts them."""
+    mine = np.zeros((len(centres), len(rows)))
+    mine[nearest(rows, centres), np.arange(len(rows))] = 1
+    return (mine @ np.column_stack([rows, np.ones(len(rows))])).astype(np.int64)
+
+
+def levels(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """How far every row is from the nearest centre, by the square."""
+    square = (rows**2).sum(1) - 2 * (rows @ centres.T - (centres**2).sum(1) / 2).max(1)
+    return (square * LEVELS / (2 * UNIT**2)).astype(np.int64)
+
+
+def fit_centroids(docs: DataFrame, k: int = CLUSTERS, rounds: int = 25) -> np.ndarray:
+    """k centres of the profiles of all docs by k-means; each begins at a profile that is far from the ones before.
+
+    Tasks send sums for each centre, or a count and a profile for each level of distance, so what comes to the driver has a bound.
+    """
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, TOGETHER):
-            found = profiles(*numbered(batch["text"])).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch["h"], pa.array(list(found), pa.list_(pa.float32()))], ["h", "profile"])
-
-    sample = thinned.select(h.alias("h"), "text").dropDuplicates(["h"]).mapInArrow(profiled, "h long, profile array<float>")
-    rows = sample.orderBy("h").limit(most).collect()
-    return centroids(np.array([r["profile"] for r in rows], float).reshape(-1, PROFILE))
+            found = profiles(*numbered(batch["text"])).astype("<u2")
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in found], pa.binary())], ["profile"])
+
+    stored_rows = stored(docs.select("text").mapInArrow(profiled, "profile binary"), "lm-profiles")
+
+    def numbers(profile: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(profile), "<u2").reshape(-1, PROFILE).astype(np.float64)
+
+    def means(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rounded means of the rows of each centre (of none: the centre), and how many rows they have."""
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(centres), PROFILE + 1), np.int64)
+            for batch in batches:
+                total += cluster_sums(numbers(batch["profile"].to_numpy(zero_copy_only=False).tolist()), centres)
+            place = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total.reshape(-1)[place])], ["place", "s"])
+
+        total = np.zeros((len(centres), PROFILE + 1))
+        for r in stored_rows.mapInArrow(summed, "place long, s long").groupBy("place").agg(F.sum("s").alias("s")).collect():
+            total[divmod(r["place"], PROFILE + 1)] = r["s"]
+        n = total[:, -1]
+        return np.where(n[:, None] > 0, np.rint(total[:, :-1] / np.maximum(n, 1)[:, None]), centres), n
+
+    def far(centres: np.ndarray, skipped: int) -> np.ndarray:
+        """The first profile of the level of distance that is reached after so many profiles from the farthest on."""
+
+        def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n: dict[int, int] = {}
+            first: dict[int, bytes] = {}
+            for batch in batches:
+                profile = batch["profile"].to_numpy(zero_copy_only=False).tolist()
+                for level, p in zip(levels(numbers(profile), centres).tolist(), profile, strict=True):
+                    n[level] = n.get(level, 0) + 1
+                    if level not in first or p < first[level]:
+                        first[level] = p
+            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.int64()), pa.array(n.values(), pa.int64()), pa.array(first.values(), pa.binary())], ["level", "n", "profile"])
+
+        found = stored_rows.mapInArrow(seen, "level long, n long, profile binary").groupBy("level").agg(F.sum("n").alias("n"), F.min("profile").alias("profile"))
+        for r in sorted(found.collect(), key=lambda r: -r["level"]):
+            skipped -= r["n"]
+            if skipped < 0:
+                break
+        return numbers([r["profile"]])
+
+    centres, n = means(np.zeros((1, PROFILE)))
+    if not n[0]:
+        return np.zeros((k, PROFILE))
+    for _ in range(k):
+        centres = np.concatenate([centres, far(centres, int(n[0]) // 50)])  # not the oddest of all
+    centres = centres[1:]
+    for _ in range(rounds):
+        before, (centres, _) = centres, means(centres)
+        if (centres == before).all():
+            break
+    return centres
 
 
 def count_words(docs: DataFrame, centres: np.ndarray) -> DataFrame:

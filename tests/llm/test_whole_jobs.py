@@ -43,6 +43,27 @@ def test_lm_learns_from_the_third_word_before():
     assert told.min() > 0.5  # one in eight without it
 
 
+def test_lm_centres_are_means_of_all_documents(spark):
+    kinds = [[f"{chr(97 + k)}{i}" for i in range(9)] for k in range(4)]
+    texts = [" ".join(kinds[i % 4][(i * j) % 9] for j in range(1, 2 + i % 7)) if i % 50 else None for i in range(6000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    centres = lm_score.fit_centroids(docs, 4, 100)
+    rows = lm_score.profiles(*lm_score.numbered(pa.array(texts, pa.string())))
+    own = lm_score.nearest(rows, centres)
+    held = [rows[own == j] for j in range(4)]
+    assert sum(map(len, held)) == 6000 and min(map(len, held)) > 0
+    assert (centres == np.rint([h.sum(0) / len(h) for h in held])).all()  # whichever document is left out, a mean moves
+    assert (lm_score.fit_centroids(docs.repartition(7), 4, 100) == centres).all()
+
+
+def test_lm_centres_of_few_and_of_equal_documents(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None)], "doc_id long, text string")
+    centres = lm_score.fit_centroids(docs, 4)
+    rows = lm_score.profiles(*lm_score.numbered(pa.array(["a b", "a b", None])))
+    assert (centres[lm_score.nearest(rows, centres)] == rows).all()
+    assert (lm_score.fit_centroids(docs.limit(0), 4) == 0).all()
+
+
 def test_lm_buckets_follow_the_training_tokens():
     assert [lm_score.buckets_for(n) for n in (0, 1 << 24, (1 << 24) + 1, 1 << 26, (1 << 26) + 1, 1 << 32, 1 << 40)] == [1 << 14, 1 << 14, 1 << 15, 1 << 15, 1 << 16, 1 << 18, 1 << 18]
     assert [lm_score.task_tokens(n) for n in (0, 1 << 24, 1 << 26, 1 << 40)] == [1 << 19, 1 << 19, 1 << 20, 1 << 23]
