@@ -124,19 +124,27 @@ class WordTokens:
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.folds else texts)
         offsets = np.asarray(split.offsets)
         numbered = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        words, which = numbered.dictionary.to_pylist(), np.asarray(numbered.indices)
+        words, which = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(numbered.indices)
         new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache = {"": b""} | {w: self.cache[w] for w in words if w in self.cache}
         self._learn(new)
         held = [self.cache[w] for w in words]
-        numbers, cuts = which.tolist(), (offsets - offsets[0]).tolist()
-        out = [b"".join(map(held.__getitem__, numbers[i:j])) for i, j in itertools.pairwise(cuts)]
+        ids, ends = gathered(np.frombuffer(b"".join(held), "<u4"), np.fromiter(map(len, held), np.int64, len(held)) // 4, which)
+        cuts = np.concatenate([[0], ends])[offsets - offsets[0]]
+        out = [ids[i:j].tobytes() for i, j in itertools.pairwise(cuts.tolist())]
         for i in whole:
             out[i] = _packed(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids)
         return out
 
 
+def gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of flat (of those sizes, one after another) in the order of which, and where each of them ends."""
+    own = sizes[which]
+    ends = np.cumsum(own)
+    return flat[np.arange(own.sum()) + np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - own), own)], ends
+
+
 @lru_cache(maxsize=1)
 def word_tokens(tokenizer_file: str) -> WordTokens:
     """One for all tasks that a Python worker runs, so that a word is tokenised once a worker."""

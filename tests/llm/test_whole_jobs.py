@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import common, line_dedup, lm_score, near_dedup
+from quantloom.llm import common, line_dedup, lm_score, near_dedup, packing
 
 # --- op2 ---
 
@@ -169,3 +169,16 @@ def test_a_large_class_is_not_paired_with_itself(spark, monkeypatch):
     found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {found[k] for k in range(300)} == {0} and found[1000] == 1000 and found[1001] == 1001
     assert not made or made["near-more"].where("a < 300 and b < 300").isEmpty()
+
+
+# --- op5 ---
+
+
+def test_packing_gathers_ids_of_words_as_a_join_would():
+    rng = np.random.default_rng(5)
+    held = [rng.integers(0, 1 << 32, n, dtype=np.uint32).astype("<u4").tobytes() for n in (0, 3, 1, 0, 7, 2)]
+    flat, sizes = np.frombuffer(b"".join(held), "<u4"), np.array([len(h) // 4 for h in held])
+    for n in (0, 1, 500):
+        which = rng.integers(0, len(held), n)
+        ids, ends = packing.gathered(flat, sizes, which)
+        assert ids.tobytes() == b"".join(held[i] for i in which) and ends.tolist() == np.cumsum(sizes[which]).tolist()
