@@ -55,16 +55,22 @@ def _short(data: bytes, seed: int = 0) -> int:
     return xxh3_64_intdigest(data, seed) - (1 << 63)
 
 
-def halves(words: list[bytes]) -> list[tuple[int, int, int]]:
+def halves(words: list[bytes], whole: bytes | None = None) -> list[tuple[int, int, int]]:
     """Hashes such that two lines within one edit have one in common, and between which places the edit is then.
 
     A line and a partner no shorter agree on the first half of the shorter one's words or on the
     rest of them from the end, so a line gives both for its own length and for one word less.
+    whole is the words joined by spaces, if at hand; halves are cut from it.
     """
     n = len(words)
     k = n // 2
-    firsts, lasts = ((k, k + 1), (k,)) if n % 2 else ((k,), (k - 1, k))
-    return [(_short(b" ".join(words[:i]), 1), i, n) for i in firsts] + [(_short(b" ".join(words[n - i :]), 2), 0, n - i) for i in lasts]
+    whole = b" ".join(words) if whole is None else whole
+    at = sum(map(len, words[:k])) + k  # where word k begins, and the one behind it
+    after = at + len(words[k]) + 1
+    first, last = _short(whole[: max(at - 1, 0)], 1), _short(whole[after:], 2)
+    if n % 2:
+        return [(first, k, n), (_short(whole[: after - 1], 1), k + 1, n), (last, 0, k + 1)]
+    return [(first, k, n), (last, 0, k + 1), (_short(whole[at:], 2), 0, k)]
 
 
 def variant_keys(words: list[bytes], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,17 +116,23 @@ class _Lines:
 
     def __init__(self, batch: pa.RecordBatch, least_words: int, documents: np.ndarray | None = None):
         texts, some = batch["text"], range(batch.num_rows) if documents is None else np.flatnonzero(documents).tolist()
-        self.words: list[list[bytes]] = []
-        self.halves: list[list[tuple[int, int, int]]] = []
-        digests, numbers, counts = [], [], []
+        self.words: list[bytes] = []  # joined: lists of words of many lines would be slow to hold
+        digests, numbers, counts, lengths, sizes = [], [], [], [], []
+        flat: list[int] = []  # hash, low and high of every half
         for i in some:
             before = len(numbers)
             for number, line in enumerate((texts[i].as_py() or b"").split(b"\n")):
                 if words := line.split():
+                    whole = b" ".join(words)
                     numbers.append(number)
-                    digests.append(xxh3_128_digest(b" ".join(words)))
-                    self.words.append(words)
-                    self.halves.append(halves(words) if len(words) >= least_words - 1 else [])
+                    digests.append(xxh3_128_digest(whole))
+                    self.words.append(whole)
+                    lengths.append(len(words))
+                    had = len(flat)
+                    if len(words) >= least_words - 1:
+                        for half in halves(words, whole):
+                            flat += half
+                    sizes.append((len(flat) - had) // 3)
             counts.append(len(numbers) - before)
         owner = np.repeat(np.array(some, np.int64), counts)
         copies = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
@@ -128,8 +140,8 @@ class _Lines:
             "id": np.asarray(batch["id"])[owner], "part": np.asarray(batch["part"])[owner], "line": np.array(numbers, np.int32),
             "a": np.ascontiguousarray(copies[:, 0]), "b": np.ascontiguousarray(copies[:, 1]),
         }
-        self.sizes = np.fromiter(map(len, self.halves), np.int64, len(self.halves))
-        self.flat = np.fromiter((h for f in self.halves for h, _, _ in f), np.int64, int(self.sizes.sum()))
+        self.lengths, self.sizes = np.array(lengths, np.int32), np.array(sizes, np.int64)
+        self.flat, self.low, self.high = np.ascontiguousarray(np.array(flat, np.int64).reshape(-1, 3).T)
 
     def where(self, flat: np.ndarray) -> np.ndarray:
         """Places of the lines that have a half for which flat says so."""
@@ -170,10 +182,13 @@ def _suspects(docs: DataFrame, documents: BitFilter, shared: BitFilter, least_wo
         for batch in sliced(batches, TOGETHER):
             found = _Lines(batch, least_words, documents.holds(np.asarray(batch["key"])))
             some = found.where(shared.holds(found.flat))
-            words = [found.words[i] for i in some.tolist()]
-            held = [[{"half": h, "low": low, "high": high} for h, low, high in found.halves[i]] for i in some.tolist()]
+            chosen = np.zeros(len(found.sizes), bool)
+            chosen[some] = True
+            chosen = np.repeat(chosen, found.sizes)  # their halves
+            inner = pa.StructArray.from_arrays([pa.array(x[chosen], f.type) for x, f in zip((found.flat, found.low, found.high), half, strict=True)], fields=list(half))
+            held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(found.sizes[some])]), pa.int32()), inner)
             place = [pa.array(c[some]) for c in found.columns.values()]
-            own = [pa.array(map(len, words), pa.int32()), pa.array(map(b" ".join, words), pa.binary()), pa.array(held, pa.list_(half))]
+            own = [pa.array(found.lengths[some]), pa.array([found.words[i] for i in some.tolist()], pa.binary()), held]
             yield pa.RecordBatch.from_arrays([*place, *own], [*found.columns, "n_words", "words", "halves"])
 
     keyed = docs.select(*_keyed(docs)).withColumn("key", F.xxhash64("id", "part"))

@@ -182,3 +182,30 @@ def test_packing_gathers_ids_of_words_as_a_join_would():
         which = rng.integers(0, len(held), n)
         ids, ends = packing.gathered(flat, sizes, which)
         assert ids.tobytes() == b"".join(held[i] for i in which) and ends.tolist() == np.cumsum(sizes[which]).tolist()
+
+
+# --- op10 ---
+
+
+def test_line_halves_are_those_of_joined_words():
+    def hashed(words, seed):
+        return line_dedup._short(b" ".join(words), seed)
+
+    for n in range(1, 12):
+        words = [b"w%d" % (k % 3) * (1 + k % 2) for k in range(n)]
+        k = n // 2
+        firsts, lasts = ((k, k + 1), (k,)) if n % 2 else ((k,), (k - 1, k))
+        want = [(hashed(words[:i], 1), i, n) for i in firsts] + [(hashed(words[n - i :], 2), 0, n - i) for i in lasts]
+        assert line_dedup.halves(words) == line_dedup.halves(words, b" ".join(words)) == want
+
+
+def test_lines_of_a_batch_are_held_joined():
+    texts = [b"a b\n\n c  d e f g h i j \nz", None, b"", b"q r s t u v w x"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([5, 6, 7, 8]), pa.array(texts, pa.binary())], ["id", "part", "text"])
+    found = line_dedup._Lines(batch, 8)
+    assert found.words == [b"a b", b"c d e f g h i j", b"z", b"q r s t u v w x"]
+    assert found.lengths.tolist() == [2, 8, 1, 8] and found.sizes.tolist() == [0, 3, 0, 3]
+    assert found.columns["id"].tolist() == [1, 1, 1, 4] and found.columns["line"].tolist() == [0, 2, 3, 0]
+    want = [h for w in (found.words[1], found.words[3]) for h in line_dedup.halves(w.split())]
+    assert list(zip(found.flat.tolist(), found.low.tolist(), found.high.tolist(), strict=True)) == want
+    assert len(line_dedup._Lines(batch.slice(1, 2), 8).flat) == 0
