@@ -51,6 +51,21 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of the Arrow batches between Spark and Python at most, where rows hold whole texts.
+BATCH_ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have BATCH_ROWS rows at most; fewer, where it asks for fewer.
+
+    A batch of texts is held by the executor, while it grows twice, and by its Python worker. Ten thousand texts, as
+    Spark has it by itself, are some 20 MB each time, and what an executor frees of so large pieces stays with it.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches of that many rows at most: what is made of them is held for so many at a time."""
     for batch in batches:

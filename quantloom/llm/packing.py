@@ -41,7 +41,7 @@ from quantloom.llm.common import stored
 SEQUENCES, SHARD, CAPACITY, END_ID = 1024, 65_536, 4096, 1
 #: Distinct words that a Python worker remembers at most, then it starts anew; texts tokenised in one go.
 CACHE_WORDS, TOGETHER = 400_000, 1024
-#: New words that are tokenised as one text.
+#: New words that are tokenised as one text, or in one go.
 RUN = 1000
 #: Numbers that a step of the search holds in one array at most, about.
 CELLS = 1_000_000
@@ -109,7 +109,9 @@ class WordTokens:
                 data, to = ids.tobytes(), (4 * (last + 1)).tolist()
                 cache.update(zip(run, [data[i:j] for i, j in zip([0, *to], to, strict=False)], strict=True))
         others = [w for w in wanted if w not in cache]
-        cache.update(zip(others, self._each(others), strict=True))
+        for at in range(0, len(others), RUN):
+            run = others[at : at + RUN]
+            cache.update(zip(run, self._each(run), strict=True))
         cache.update([(w, cache[w[:-1]] + self.marks[w[-1]]) for w in marked])
 
     def ids(self, texts: pa.Array) -> list[bytes]:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quantloom.llm import packing
+from quantloom.llm.common import BATCH_ROWS
+from quantloom.llm.queries import tokenizer_file
 from tests.llm.test_operators import documents, near_rows, odd_rows
 
 
@@ -46,3 +51,32 @@ def test_stages_take_empty_tables_and_odd_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[1:-1]:  # the stages after the quality rules see odd rows as well
         done = stage(spark, held, f"{tmp_path}/odd")
         assert done.columns == held.columns and done.count() > 0, name
+
+
+@pytest.mark.parametrize("asked", [10_000, 0, 500])
+def test_stages_send_texts_to_python_in_small_batches(spark, tmp_path, asked):
+    rows, given = "spark.sql.execution.arrow.maxRecordsPerBatch", documents(spark, near_rows()[:20])
+    labels = [(i, 1, 0) for i in range(20)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    many, before = spark.range(0, 5000, 1, 1), spark.conf.get(rows)
+
+    def sizes(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(rows, str(asked))
+            stage(spark, given, str(tmp_path))
+            found = [r["n"] for r in many.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) == 5000 and max(found) == (asked if asked == 500 else BATCH_ROWS), name
+    finally:
+        spark.conf.set(rows, before)
+
+
+def test_new_words_are_tokenised_a_run_at_a_time(monkeypatch):
+    tokens, each, most = packing.WordTokens(tokenizer_file()), packing.WordTokens._each, []
+    monkeypatch.setattr(packing.WordTokens, "_each", lambda self, words: most.append(len(words)) or each(self, words))
+    text = " ".join(f"{k}x-{k}" for k in range(2 * packing.RUN + 5))
+    assert tokens.ids(pa.array([text])) == [packing._packed(tokens.tokenizer.encode(text, add_special_tokens=False).ids)]
+    assert max(most) == packing.RUN
