@@ -54,6 +54,8 @@ CLUSTERS, KINDS, SLOTS, HEAD = 16, 2, 32, 1 << 17
 CLASSES = CLUSTERS * KINDS
 #: Numbers of a profile, what stands for 1 in them, and levels of the distance between two.
 PROFILE, UNIT, LEVELS = 128, 1 << 14, 1024
+#: Profiles in a stored row, and rows that are read in one go.
+ROW_PROFILES, ROWS_READ = 32, 64
 #: Rows of weights in each softmax: the least, the most, and the training tokens up to which the least do.
 BUCKETS, MOST_BUCKETS, TOKENS = 1 << 14, 1 << 18, 1 << 24
 BATCH, RATE = 16_384, 0.15
@@ -65,6 +67,8 @@ PRIOR = 0.1
 TASK_TOKENS, SPREAD = 1 << 19, 0.02
 #: Documents taken together, and tokens scored in one go.
 TOGETHER, BLOCK = 512, 4096
+#: Rows of logits that are worked on in one go: so many stay in a core's cache.
+CACHED = 2048
 #: Documents whose words are counted in one go.
 COUNTED = 4096
 #: Rows of weights in one block of a change, and blocks that one group sums at most.
@@ -186,20 +190,25 @@ def fit_centroids(docs: DataFrame, k: int = CLUSTERS, rounds: int = 25) -> np.nd
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, TOGETHER):
             found = profiles(*numbered(batch["text"])).astype("<u2")
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in found], pa.binary())], ["profile"])
+            rows = [found[at : at + ROW_PROFILES].tobytes() for at in range(0, len(found), ROW_PROFILES)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["profiles"])
 
-    stored_rows = stored(docs.select("text").mapInArrow(profiled, "profile binary"), "lm-profiles")
+    stored_rows = stored(docs.select("text").mapInArrow(profiled, "profiles binary"), "lm-profiles")
 
-    def numbers(profile: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(profile), "<u2").reshape(-1, PROFILE).astype(np.float64)
+    def numbers(profile: bytes) -> np.ndarray:
+        return np.frombuffer(profile, "<u2").reshape(-1, PROFILE).astype(np.float64)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for batch in sliced(batches, ROWS_READ):
+            yield b"".join(batch["profiles"].to_pylist())
 
     def means(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rounded means of the rows of each centre (of none: the centre), and how many rows they have."""
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(centres), PROFILE + 1), np.int64)
-            for batch in batches:
-                total += cluster_sums(numbers(batch["profile"].to_numpy(zero_copy_only=False).tolist()), centres)
+            for some in read(batches):
+                total += cluster_sums(numbers(some), centres)
             place = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total.reshape(-1)[place])], ["place", "s"])
 
@@ -215,9 +224,9 @@ def fit_centroids(docs: DataFrame, k: int = CLUSTERS, rounds: int = 25) -> np.nd
         def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n: dict[int, int] = {}
             first: dict[int, bytes] = {}
-            for batch in batches:
-                profile = batch["profile"].to_numpy(zero_copy_only=False).tolist()
-                for level, p in zip(levels(numbers(profile), centres).tolist(), profile, strict=True):
+            for some in read(batches):
+                for k, level in enumerate(levels(numbers(some), centres).tolist()):
+                    p = some[2 * PROFILE * k : 2 * PROFILE * (k + 1)]
                     n[level] = n.get(level, 0) + 1
                     if level not in first or p < first[level]:
                         first[level] = p
@@ -228,7 +237,7 @@ def fit_centroids(docs: DataFrame, k: int = CLUSTERS, rounds: int = 25) -> np.nd
             skipped -= r["n"]
             if skipped < 0:
                 break
-        return numbers([r["profile"]])
+        return numbers(r["profile"])
 
     centres, n = means(np.zeros((1, PROFILE)))
     if not n[0]:
@@ -244,7 +253,7 @@ def fit_centroids(docs: DataFrame, k: int = CLUSTERS, rounds: int = 25) -> np.nd
 
 
 def count_words(docs: DataFrame, centres: np.ndarray) -> DataFrame:
-    """word, class (by its ending), c, by (c by cluster) of every word of docs; a task sends a word once for many documents."""
+    """word, class (by its ending), cluster, c of every word of docs in every cluster that has it; a task sends a word once for many documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, COUNTED):
@@ -252,16 +261,18 @@ def count_words(docs: DataFrame, centres: np.ndarray) -> DataFrame:
             cluster = nearest(profiles(words, which, sizes), centres)
             c = np.bincount(np.repeat(cluster, sizes) * len(words) + which, minlength=len(words) * CLUSTERS)
             some = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([words.take(pa.array(some % len(words))), pa.array(some // len(words)), pa.array(c[some])], ["word", "cluster", "c"])
+            place, classes = some % len(words), classes_of(words).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(place)), pa.array(classes[place]), pa.array((some // len(words)).astype(np.int32)), pa.array(c[some])], ["word", "class", "cluster", "c"])
+
+    sent = _texts(docs).select("text").mapInArrow(counted, "word string, class int, cluster int, c long")
+    return sent.groupBy("word", "class", "cluster").agg(F.sum("c").alias("c"))
 
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            classes = pa.array(classes_of(batch["word"]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["word"], classes, batch["c"], batch["by"]], ["word", "class", "c", "by"])
 
-    sent = _texts(docs).select("text").mapInArrow(counted, "word string, cluster long, c long")
-    by = F.array(*[F.sum(F.when(F.col("cluster") == k, F.col("c")).otherwise(0)) for k in range(CLUSTERS)])
-    return sent.groupBy("word").agg(F.sum("c").alias("c"), by.alias("by")).mapInArrow(classed, "word string, class int, c long, by array<long>")
+def with_clusters(head: DataFrame, by_cluster: DataFrame) -> DataFrame:
+    """head (word, class, c; HEAD words at most, so it is broadcast) with by, the counts in each cluster."""
+    by = F.array(*[F.sum(F.when(F.col("cluster") == k, F.col("n")).otherwise(0)) for k in range(CLUSTERS)])
+    found = by_cluster.select("word", "cluster", F.col("c").alias("n")).join(F.broadcast(head), "word")
+    return found.groupBy("word", "class", "c").agg(by.alias("by"))
 
 
 @dataclass
@@ -334,19 +345,43 @@ def _order(features: np.ndarray) -> np.ndarray:
     return order[np.argsort((features >> 16).astype(np.uint16)[order], kind="stable")]
 
 
-def run_sums(rows: np.ndarray, starts: np.ndarray, short: int = 8) -> np.ndarray:
-    """Sums of the runs of rows that begin at starts: of short runs row by row for all at once, of each long one as a product."""
-    sizes = np.diff(np.append(starts, len(rows)))
-    out = np.take(rows, starts, axis=0)
+class Space:
+    """Rows of numbers to write results in, held to be used again: the system hands out large arrays anew and zeroed each time, which takes longer than to fill them."""
+
+    def __init__(self) -> None:
+        self._held: dict[str, np.ndarray] = {}
+
+    def rows(self, name: str, n: int, like: np.ndarray) -> np.ndarray:
+        """n rows as wide as those of `like`; what was written under that name is lost."""
+        held = self._held.get(name)
+        if held is None or len(held) < n or held.shape[1] != like.shape[1] or held.dtype != like.dtype:
+            held = self._held[name] = np.empty((n, like.shape[1]), like.dtype)
+        return held[:n]
+
+    def taken(self, name: str, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """rows[at]; places are known to be in range."""
+        return np.take(rows, at, axis=0, out=self.rows(name, len(at), rows), mode="clip")
+
+
+def run_sums(rows: np.ndarray, starts: np.ndarray, short: int = 8, order: np.ndarray | None = None, space: Space | None = None) -> np.ndarray:
+    """Sums of the runs of rows, taken in that order, that begin at starts: of short runs row by row for all at once, of each long one as a product."""
+    order, space = np.arange(len(rows)) if order is None else order, space or Space()
+    sizes = np.diff(np.append(starts, len(order)))
+    out = space.taken("sums", rows, order[starts])
     left = np.flatnonzero((sizes > 1) & (sizes <= short))
     for k in range(1, short):
         if not len(left):
             break
-        out[left] += np.take(rows, starts[left] + k, axis=0)
+        some = space.taken("some", out, left)
+        some += space.taken("more", rows, order[starts[left] + k])
+        out[left] = some
         left = left[sizes[left] > k + 1]
-    ones = np.ones(sizes.max(initial=0), rows.dtype)
-    for i in np.flatnonzero(sizes > short).tolist():
-        out[i] = ones[: sizes[i]] @ rows[starts[i] : starts[i] + sizes[i]]
+    long = sizes > short
+    ones, held = np.ones(sizes.max(initial=0), rows.dtype), space.taken("more", rows, order[np.repeat(long, sizes)])
+    at = 0
+    for i, n in zip(np.flatnonzero(long).tolist(), sizes[long].tolist(), strict=True):
+        out[i] = ones[:n] @ held[at : at + n]
+        at += n
     return out
 
 
@@ -397,27 +432,42 @@ def tokens(model: Model, texts: pa.Array) -> Tokens:
     return Tokens(words, of_class, which, sizes, k, slot[which], rank[which], class_features, slot_features)
 
 
-def _probabilities(weights: np.ndarray, features: list[np.ndarray], bias: bool) -> np.ndarray:
-    logits = np.take(weights, features[0], axis=0)
-    for f in features[1:]:
-        logits += np.take(weights, f, axis=0)
-    if bias:
-        logits += weights[0]
-    np.clip(logits, -40, 40, out=logits)
-    np.exp(logits, out=logits)
-    logits *= 1 / (logits @ np.ones(logits.shape[1], np.float32))[:, None]
-    return logits
+def _exponentials(weights: np.ndarray, features: list[np.ndarray], bias: bool, space: Space) -> np.ndarray:
+    """exp of the sums of weights: probabilities, times what a row of them adds up to."""
+    out = space.rows("logits", len(features[0]), weights)
+    for at in range(0, len(out), CACHED):
+        logits = out[at : at + CACHED]
+        np.take(weights, features[0][at : at + CACHED], axis=0, out=logits, mode="clip")
+        for f in features[1:]:
+            logits += space.taken("part", weights, f[at : at + CACHED])
+        if bias:
+            logits += weights[0]
+        np.clip(logits, -40, 40, out=logits)
+        np.exp(logits, out=logits)
+    return out
+
 
+def _probabilities(weights: np.ndarray, features: list[np.ndarray], bias: bool, space: Space | None = None) -> np.ndarray:
+    found = _exponentials(weights, features, bias, space or Space())
+    found *= 1 / (found @ np.ones(found.shape[1], np.float32))[:, None]
+    return found
 
-def score_tokens(model: Model, t: Tokens) -> np.ndarray:
+
+def score_tokens(model: Model, t: Tokens, space: Space | None = None) -> np.ndarray:
     """log10 of P(class) * P(slot), and of P(word | class, slot) for words of the head."""
+    space = space or Space()
+
+    def of_target(weights: np.ndarray, features: list[np.ndarray], target: np.ndarray, bias: bool) -> np.ndarray:
+        found = _exponentials(weights, features, bias, space)
+        p = found[np.arange(len(found)), target] / (found @ np.ones(found.shape[1], np.float32))
+        return np.maximum(p.astype(np.float64), 1e-30)
+
     out = np.empty(len(t.rank))
     for at in range(0, len(out), BLOCK):
         part = slice(at, at + BLOCK)
-        rows = np.arange(len(out[part]))
-        p = _probabilities(model.class_weights, [f[part] for f in t.class_features], True)[rows, t.target_class[part]]
-        q = _probabilities(model.slot_weights, [f[part] for f in t.slot_features], False)[rows, t.target_slot[part]]
-        out[part] = np.log10(np.maximum(p.astype(np.float64), 1e-30)) + np.log10(np.maximum(q.astype(np.float64), 1e-30))
+        p = of_target(model.class_weights, [f[part] for f in t.class_features], t.target_class[part], True)
+        q = of_target(model.slot_weights, [f[part] for f in t.slot_features], t.target_slot[part], False)
+        out[part] = np.log10(p * q)
     known = t.rank >= 0
     if len(model.words):
         out[known] += model.within[t.rank[known]]
@@ -431,6 +481,7 @@ class Learner:
         self.tables = [model.class_weights.copy(), model.slot_weights.copy()]
         self.start = [model.class_weights, model.slot_weights]
         self.squares = [np.full(len(w), PRIOR, np.float32) for w in self.tables]
+        self.space = Space()
 
     def learn(self, t: Tokens, batch: int = BATCH) -> None:
         for at in range(0, len(t.rank), batch):
@@ -440,7 +491,7 @@ class Learner:
 
     def _step(self, which: int, features: list[np.ndarray], target: np.ndarray, bias: bool) -> None:
         weights, squares = self.tables[which], self.squares[which]
-        error = _probabilities(weights, features, bias)
+        error = _probabilities(weights, features, bias, self.space)
         error[np.arange(len(target)), target] -= 1
         if bias:
             self._move(weights, squares, np.zeros(1, np.int64), error.sum(0, keepdims=True))
@@ -448,14 +499,13 @@ class Learner:
             order = _order(f)
             in_order = f[order]
             starts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
-            self._move(weights, squares, in_order[starts].astype(np.int64), run_sums(np.take(error, order, axis=0), starts))
+            self._move(weights, squares, in_order[starts].astype(np.int64), run_sums(error, starts, order=order, space=self.space))
 
-    @staticmethod
-    def _move(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
+    def _move(self, weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
         seen = squares[rows] + np.einsum("ij,ij->i", gradient, gradient) / np.float32(gradient.shape[1])
         squares[rows] = seen
         gradient *= (RATE / np.sqrt(seen))[:, None]
-        weights[rows] = np.subtract(np.take(weights, rows, axis=0), gradient, out=gradient)
+        weights[rows] = np.subtract(self.space.taken("moved", weights, rows), gradient, out=gradient)
 
     def changes(self) -> Iterator[tuple[int, bytes]]:
         """Blocks of rows of both tables, numbered through."""
@@ -544,7 +594,8 @@ def blank(head: pd.DataFrame, rare: dict[int, tuple[int, int]]) -> tuple[Model,
 
 def fit(docs: DataFrame) -> Fitted:
     """Counts and weights from all of docs."""
-    counts = stored(count_words(docs, fit_centroids(docs)), "lm-counts")
+    by_cluster = stored(count_words(docs, fit_centroids(docs)), "lm-clusters")
+    counts = stored(by_cluster.groupBy("word", "class").agg(F.sum("c").alias("c")), "lm-counts")
     # The most frequent words, by a count that not more than HEAD reach: what comes to the driver has that bound.
     grade = F.floor(F.log2("c") * 64)
     reached, least = 0, 0
@@ -554,7 +605,7 @@ def fit(docs: DataFrame) -> Fitted:
             break
         reached += r["count"]
     rare = counts.where(grade < least).groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
-    model, n, total, tails = blank(counts.where(grade >= least).toPandas(), {r["class"]: (r["c"], r["v"]) for r in rare})
+    model, n, total, tails = blank(with_clusters(counts.where(grade >= least), by_cluster).toPandas(), {r["class"]: (r["c"], r["v"]) for r in rare})
     rounds = rounds_for(n)
     for number in range(rounds if n else 0):
         train_round(docs, model, number, rounds, max(1, n // (rounds * task_tokens(n))))
@@ -569,10 +620,10 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(fitted.model)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row = held.value, TaskContext.get().partitionId() << 40
+        model, row, space = held.value, TaskContext.get().partitionId() << 40, Space()
         for batch in sliced(batches, TOGETHER):
             t = tokens(model, batch["text"])
-            lp, known = score_tokens(model, t), t.rank >= 0
+            lp, known = score_tokens(model, t, space), t.rank >= 0
             starts = np.cumsum(t.sizes) - t.sizes
             base = np.where(known, model.base[t.rank], 0.0) if len(model.words) else np.zeros(len(known))
             # Rarer words of each document, with how often it has them.

@@ -79,6 +79,53 @@ def test_lm_sums_of_runs():
         assert lm_score.run_sums(rows, starts) == pytest.approx(np.add.reduceat(rows, starts, axis=0))
 
 
+def test_lm_sums_of_runs_need_no_sorted_copy():
+    rng, space = np.random.default_rng(4), lm_score.Space()
+    for sizes in ([1, 2, 3, 8, 9, 40, 1, 7], [1], rng.integers(1, 30, 50).tolist()):
+        rows, starts = rng.normal(size=(sum(sizes), 5)), np.cumsum([0, *sizes[:-1]])
+        order = rng.permutation(len(rows))
+        found = lm_score.run_sums(rows, starts, order=order, space=space)
+        assert found == pytest.approx(np.add.reduceat(rows[order], starts, axis=0))
+
+
+def test_lm_space_is_used_again_without_traces():
+    rng, space = np.random.default_rng(5), lm_score.Space()
+    weights = rng.normal(size=(40, lm_score.CLASSES)).astype(np.float32)
+    for n in (lm_score.CACHED + 3, 7, 0, 2 * lm_score.CACHED):
+        features = [rng.integers(0, 40, n).astype(np.uint16) for _ in range(3)]
+        logits = np.exp(sum(weights[f].astype(float) for f in features) + weights[0])
+        found = lm_score._probabilities(weights, features, True, space)
+        assert found == pytest.approx(logits / logits.sum(1, keepdims=True), rel=1e-4)
+    assert np.shares_memory(found, lm_score._probabilities(weights, features, True, space))
+
+
+def test_lm_profiles_are_stored_many_in_a_row(spark, monkeypatch):
+    written, kept = {}, lm_score.stored
+    monkeypatch.setattr(lm_score, "stored", lambda df, tag: written.setdefault(tag, kept(df, tag)))
+    docs = spark.range(0, 1000, 1, 2).selectExpr("id doc_id", "concat('a', id % 7, ' b', id % 3) text")
+    assert len(lm_score.fit_centroids(docs, 4)) == 4
+    rows = [r[0] for r in written["lm-profiles"].collect()]  # passes over them are paid by the row
+    assert len(rows) <= 1000 // lm_score.ROW_PROFILES + 2 and sum(map(len, rows)) == 1000 * 2 * lm_score.PROFILE
+
+
+def test_lm_counts_by_cluster_are_kept_of_the_head_only(spark):
+    texts = ["a b a", "B c", None, "c c d", "a"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    centres = lm_score.fit_centroids(docs, lm_score.CLUSTERS)
+    by_cluster = lm_score.count_words(docs, centres)
+    expected = {}
+    for t in texts:
+        words, which, sizes = lm_score.numbered(pa.array([t], pa.string()))
+        own = int(lm_score.nearest(lm_score.profiles(words, which, sizes), centres)[0])
+        for w in which.tolist():
+            by = expected.setdefault(words[w].as_py(), [0] * lm_score.CLUSTERS)
+            by[own] += 1
+    assert {(r["word"], r["cluster"]): r["c"] for r in by_cluster.collect()} == {(w, k): n for w, by in expected.items() for k, n in enumerate(by) if n}
+    head = by_cluster.groupBy("word", "class").agg({"c": "sum"}).withColumnRenamed("sum(c)", "c").where("c > 1")
+    found = {r["word"]: (r["class"], r["c"], r["by"]) for r in lm_score.with_clusters(head, by_cluster).collect()}
+    assert found == {w: (lm_score.class_of(w), sum(by), by) for w, by in expected.items() if sum(by) > 1}
+
+
 # --- op8, op10 ---
 
 
